@@ -124,9 +124,9 @@ def flapping(history: DataFrame, asof: Column, window_seconds: int = FLAP_WINDOW
     """Add the number of retained restarts strictly after ``asof - window`` and
     whether that makes the agent flapping."""
     cutoff = F.timestamp_micros(F.unix_micros(asof) - window_seconds * 1_000_000)
-    recent = F.filter("restart_history", lambda t: F.coalesce(rfc3339(t) > cutoff, F.lit(False)))
-    return history.withColumn("restart_count_recent", F.size(recent)).withColumn(
-        "flapping", F.col("restart_count_recent") >= threshold)
+    recent = F.filter("restart_history", lambda t: F.coalesce(rfc3339(t) > F.col("_cutoff"), F.lit(False)))
+    return history.withColumn("_cutoff", cutoff).withColumn("restart_count_recent", F.size(recent)).withColumn(
+        "flapping", F.col("restart_count_recent") >= threshold).drop("_cutoff")
 
 
 def flap_episodes(restarts_: DataFrame, window_seconds: int = FLAP_WINDOW_SECONDS, threshold: int = FLAP_THRESHOLD) -> DataFrame:
