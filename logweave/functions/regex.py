@@ -42,6 +42,9 @@ class Pattern:
 
 def _read_class(src: str, i: int) -> tuple[str, int]:
     """Rewrite one ``[...]`` starting at ``i``; returns text and next index."""
+    for anything in (r"[\s\S]", r"[\S\s]"):
+        if src.startswith(anything, i):
+            return anything, i + len(anything)
     out, i = "[", i + 1
     if src.startswith("^", i):
         out, i = out + "^", i + 1

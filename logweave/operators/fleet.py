@@ -51,17 +51,14 @@ def inventory(messages: DataFrame, asof: Column | None = None, actions: DataFram
         rows = rows.filter(F.col("ts") <= asof)
     always = F.col("_from_agent")
     has = lambda name: F.col(name).isNotNull()
-    hash_ = config_hash(F.col("effective_config"))
     state = latest(rows, ["agent_id"], "seq", {
         "_description": (F.col("description"), has("description")),
         "_health": (F.col("health"), has("health")),
         "snapshot_json": (F.col("snapshot_json"), has("snapshot_json")),
         "last_started_at": (F.col("started_at"), _text(F.col("started_at")) != ""),
-        "effective_config_hash": (hash_, has("effective_config")),
-    })
-    seen = rows.groupBy("agent_id").agg(
-        F.max(F.when(always, F.col("ts"))).alias("_seen"), F.min_by("ts", "seq").alias("_created"))
-    return state.join(seen, "agent_id").select(
+        "effective_config": (F.col("effective_config"), has("effective_config")),
+    }, [F.max(F.when(always, F.col("ts"))).alias("_seen"), F.min_by("ts", "seq").alias("_created")])
+    return state.withColumn("effective_config_hash", config_hash(F.col("effective_config"))).select(
         "agent_id",
         *[_text(F.col(f"_description.{n}")).alias(n) for n in ("hostname", "service_version", "local_ui_addr")],
         F.date_trunc("second", F.coalesce("_seen", "_created")).alias("last_seen"),
@@ -177,7 +174,7 @@ def _rollout(pushes: DataFrame, outcomes: DataFrame, payload: list[str], span: i
         "pushed": (F.col("payload"), push),
         "push_seq": (F.col("seq"), push),
         "outcome_seq": (F.col("seq"), ~push),
-    })
+    }, [F.min_by("event", "seq").alias("first_event")])
     open_ = F.col("push_seq") > F.coalesce("outcome_seq", F.lit(-(2**63)))
     return state.withColumn("pending", F.when(open_, F.col("pushed")))
 

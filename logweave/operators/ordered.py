@@ -83,10 +83,14 @@ def count_within(df: DataFrame, keys: Sequence[str], at: str, width: int, name:
     return base.unionByName(copies).withColumn(name, F.count("*").over(near)).filter("_own").drop("_chunk", "_own")
 
 
-def latest(df: DataFrame, keys: Sequence[str], order: str, fields: dict[str, tuple[Column, Column]]) -> DataFrame:
+def latest(df: DataFrame, keys: Sequence[str], order: str, fields: dict[str, tuple[Column, Column]],
+           extra: Sequence[Column] = ()) -> DataFrame:
     """Per key, for each ``{name: (value, condition)}`` the value of the last
-    row by ``order`` that meets the condition; partial results combine map-side."""
+    row by ``order`` that meets the condition, plus ``extra`` aggregates.
+
+    One pass; every task sends one row per key it saw.
+    """
     return df.groupBy(*keys).agg(*[
         F.max_by(F.when(cond, value), F.when(cond, F.col(order))).alias(name)
         for name, (value, cond) in fields.items()
-    ])
+    ], *extra)

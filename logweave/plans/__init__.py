@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("sources_to_records", "volume", "fleet_config", "log_search", "fleet_state")
+MODULES = ("sources_to_records", "volume", "fleet_config", "log_search", "fleet_state", "delivery")
 
 
 def load():

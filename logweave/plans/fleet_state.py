@@ -127,8 +127,8 @@ def restart_history(spark, sf):
 
 
 _ASOF = f"(select max(started_at) from ({DUCK}))"
-_FLAP = f"""select agent_id, sum((t::timestamptz > asof::timestamptz - interval {f.FLAP_WINDOW_SECONDS} seconds)::integer) as restart_count_recent
-    from (select agent_id, unnest(h) as t, {_ASOF} as asof from ({_HISTORY})) group by 1"""
+_FLAP = f"""select agent_id, sum((t::timestamptz > cut::timestamptz - interval {f.FLAP_WINDOW_SECONDS} seconds)::integer) as restart_count_recent
+    from (select agent_id, unnest(h) as t, {_ASOF} as cut from ({_HISTORY})) group by 1"""
 
 
 def _asof(spark, sf):

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -31,14 +32,14 @@ def build(app: str = "logweave", master: str | None = None, shuffle_partitions:
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, default: str | None = None) -> str:
-    """The folder all executors can write to, for checkpoints and state tables.
-
-    Taken from ``spark.checkpoint.dir``. ``default`` is for single-machine
-    tests; without it an unset folder is an error, as a machine-local one
-    would not survive the loss of an executor.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or os.environ.get("LOGWEAVE_SHARED_DIR") or default
-    if not path:
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors can write to, for checkpoints and state tables:
+    ``spark.checkpoint.dir``. Unset, it is a fresh local folder in local mode
+    and an error on a cluster, where such a folder would not survive the loss
+    of an executor."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return f"{path.rstrip('/')}/{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    return path
+    return tempfile.mkdtemp(prefix="run-")
