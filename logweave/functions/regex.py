@@ -116,7 +116,8 @@ def translate(src: str) -> Pattern:
             depth -= ch == ")"
             top_alt = top_alt or (ch == "|" and depth == 0)
             out, i = out + ch, i + 1
-    re.compile(re.sub(r"\(\?P?<\w+>", "(", src))  # balanced brackets, sane repeats
+    if depth:
+        raise ValueError(f"unbalanced brackets in {src!r}")
     head = "" if src.startswith("^") and not top_alt and not multiline else r"\A[\s\S]*?"
     tail = "" if src.endswith("$") and not src.endswith("\\$") and not top_alt and not multiline else r"[\s\S]*\z"
     whole = f"(?d){head}{out}{tail}" if not head and not tail else f"(?d){head}(?:{out}){tail}"

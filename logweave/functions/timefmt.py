@@ -96,7 +96,7 @@ def parse_time(text: Column, layout: str, layout_type: str = "strptime") -> Colu
 
 def _epoch(text: Column, unit: str) -> Column:
     if unit == "ns":
-        return F.timestamp_micros(F.expr("1") * (text.try_cast("bigint") / 1000).cast("bigint"))
+        return F.timestamp_micros((text.try_cast("decimal(38,0)") / 1000).cast("bigint"))
     whole = unit.split(".")[0]
     if whole not in EPOCH_UNITS:
         raise ValueError(f"unknown epoch layout {unit!r}")

@@ -330,8 +330,9 @@ def fleet_overview(state: DataFrame, counters: DataFrame) -> DataFrame:
     sums = counters.agg(
         total("receivers", "events_in").alias("events_in"), total("pipelines", "events_dropped").alias("events_dropped"),
         total("pipelines", "parse_errors").alias("parse_errors"), total("exporters", "batches_failed").alias("batches_failed"))
-    # Both sides are one row.
-    return agents.withColumn("_one", F.lit(1)).join(F.broadcast(sums.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    # Both are one row; adding them up puts them side by side.
+    both = agents.unionByName(sums, allowMissingColumns=True)
+    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
 
 
 def agent_stats(inventory_: DataFrame) -> DataFrame:

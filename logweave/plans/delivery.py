@@ -230,7 +230,7 @@ def live_fleet_state(spark, sf):
     deletes included; equal to the batch result over the whole log."""
     root = shared_dir(spark)
     ops = _operations(spark, sf)
-    _arrive(ops, f"{root}/in", parts=4)
+    _arrive(ops, f"{root}/in")
     live.fleet_state_stream(_stream(spark, ops, f"{root}/in"), f"{root}/out", f"{root}/cp").awaitTermination()
     state = live.current_state(spark, f"{root}/out")
     pair = lambda p: F.trim(F.concat_ws(" ", f"{p}_package_name", f"{p}_package_version"))

@@ -19,7 +19,7 @@ _PLAIN = "/=:@!$&'()+,;~-._"
 
 def glob_regex(glob: str) -> str:
     """Regex on a file URI that matches what a path glob matches."""
-    path = re.sub(r"^[a-zA-Z][\w+.-]*://?(?=/)", "", glob)
+    scheme, host, path = re.match(r"(?s)^(?:([a-zA-Z][\w+.-]*):)?(?://([^/]*))?(.*)$", glob).groups()
     out, i, depth = "", 0, 0
     while i < len(path):
         ch = path[i]
@@ -43,6 +43,8 @@ def glob_regex(glob: str) -> str:
             out += re.escape(ch if ch.isalnum() or ch in _PLAIN or ord(ch) > 127 else f"%{ord(ch):02X}")
         i += 1
     anchor = "" if path.startswith("/") else "(?:.*/)?"
+    if host:
+        return f"^{re.escape(scheme)}://{re.escape(host)}{out}$"
     return f"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?)?{anchor}{out}$"
 
 
