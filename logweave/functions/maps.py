@@ -17,11 +17,15 @@ def last_wins(keys: Column, values: Column) -> Column:
     """Map from two equally long arrays; the last value of a key is kept."""
     rkeys, rvalues = F.reverse(keys), F.reverse(values)
     distinct = F.array_distinct(keys)
-    return F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.get(rvalues, (F.array_position(rkeys, k) - 1).cast("int"))))
+    deduped = F.map_from_arrays(distinct, F.transform(distinct, lambda k: F.get(rvalues, (F.array_position(rkeys, k) - 1).cast("int"))))
+    return F.when(F.size(distinct) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(deduped)
 
 
 def merge(old: Column, new: Column) -> Column:
-    return F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)
+    """Union of two maps; ``new`` wins. Only maps that share a key pay for the
+    per-entry filter."""
+    rest = F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k))
+    return F.when(F.arrays_overlap(F.map_keys(old), F.map_keys(new)), F.map_concat(rest, new)).otherwise(F.map_concat(old, new))
 
 
 def from_json_object(text: Column) -> Column:

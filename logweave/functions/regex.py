@@ -150,10 +150,11 @@ def capture(text: Column, pattern: Pattern) -> Column:
     return F.when(F.contains(text, F.lit(_SEP)), one_by_one).otherwise(F.split(rewritten, _SEP, -1))
 
 
-def matched(captured: Column, pattern: Pattern) -> Column:
-    return F.coalesce(F.size(captured) == len(pattern.names) + 1, F.lit(False))
+def matched(captured: str, pattern: Pattern) -> Column:
+    """Whether the line behind a captured column matched."""
+    return F.expr(f"coalesce(size(`{captured}`) = {len(pattern.names) + 1}, false)")
 
 
-def group(captured: Column, pattern: Pattern, name: str) -> Column:
+def group(captured: str, pattern: Pattern, name: str) -> Column:
     """Text of one named group; NULL when the line did not match."""
-    return F.get(captured, F.lit(pattern.names.index(name) + 1))
+    return F.expr(f"get(`{captured}`, {pattern.names.index(name) + 1})")

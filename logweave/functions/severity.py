@@ -31,26 +31,23 @@ PRESETS = {
 }
 
 
-def _lookup(table: dict[str, int], key: Column) -> Column:
-    if not table:
-        return F.lit(None).cast("int")
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.element_at(F.create_map(*entries), key)
-
-
 def preset_number(value: Column, preset: str = "default") -> Column:
     """Severity number for a field value, ignoring case; NULL if unknown."""
     if preset not in PRESETS:
         raise ValueError(f"unknown severity preset {preset!r}")
-    return _lookup(PRESETS[preset], F.lower(value))
+    entries = ", ".join(f"'{word}', {number}" for word, number in PRESETS[preset].items())
+    if not entries:
+        return F.lit(None).cast("int")
+    return F.element_at(F.expr(f"map({entries})"), F.lower(value))
 
 
 def syslog_number(level: Column) -> Column:
-    return F.get(F.array(*[F.lit(n) for n in SYSLOG_NUMBERS]), level)
+    return F.get(F.expr(f"array({', '.join(map(str, SYSLOG_NUMBERS))})"), level)
 
 
 def number_name(number: Column) -> Column:
-    return F.get(F.array(*[F.lit(n) for n in NUMBER_NAMES]), number)
+    names = ", ".join(f"'{name}'" for name in NUMBER_NAMES)
+    return F.get(F.expr(f"array({names})"), number)
 
 
 def label(text: Column, number: Column) -> Column:

@@ -67,31 +67,46 @@ def move(from_: str, to: str) -> dict:
 
 # --- key=value text, usable on any column ---
 
-def kv_pairs(text: Column, delimiter: str = "=", pair_delimiter: str | None = None) -> Column:
-    """Array of ``{key, value}``; ``key`` is NULL where a token has no delimiter.
+_BLANK = r"\t\n\f\r "
 
-    Double-quoted stretches are not split and lose their quotes in values.
-    """
-    stop = r"\s" if not pair_delimiter else re.escape(pair_delimiter)
-    token = rf'((?:[^"{stop}]|"[^"]*"?)+)' if not pair_delimiter or len(pair_delimiter) == 1 else None
-    tokens = F.regexp_extract_all(text, F.lit(token), F.lit(1)) if token else F.filter(
-        F.split(text, stop, -1), lambda t: F.trim(t) != "")
-
-    def pair(tok: Column) -> Column:
-        tok = F.trim(tok)
-        at = F.instr(tok, F.lit(delimiter))
-        value = F.substring(tok, at + F.lit(len(delimiter)), F.length(tok))
-        return F.struct(
-            F.when(at > 1, F.trim(F.substring(tok, F.lit(1), at - 1))).alias("key"),
-            F.replace(F.trim(value), F.lit('"'), F.lit("")).alias("value"),
-        )
 
-    return F.transform(tokens, pair)
+def kv_parts(text: Column, delimiter: str = "=", pair_delimiter: str | None = None) -> Column:
+    """``{keys, values}`` of the tokens of key=value text; the key is '' where a
+    token has no key or no delimiter.
 
-
-def kv_map(pairs: Column) -> Column:
-    good = F.filter(pairs, lambda p: p["key"].isNotNull())
-    return maps.last_wins(F.transform(good, lambda p: p["key"]), F.transform(good, lambda p: p["value"]))
+    Tokens are split at blanks unless ``pair_delimiter`` is given. Double-quoted
+    stretches are not split and lose their quotes in values.
+    """
+    if pair_delimiter:
+        stop = re.escape(pair_delimiter)
+        token = rf'((?:[^"{stop}]+|"[^"]*"?)+)' if len(pair_delimiter) == 1 else None
+        tokens = F.regexp_extract_all(text, F.lit(token), F.lit(1)) if token else F.split(text, stop, -1)
+        tokens = F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != "")
+        at = lambda t: F.instr(t, F.lit(delimiter))
+        keys = F.transform(tokens, lambda t: F.when(at(t) > 1, F.trim(F.substring(t, F.lit(1), at(t) - 1))).otherwise(""))
+        values = F.transform(tokens, lambda t: F.trim(F.substring(t, at(t) + F.lit(len(delimiter)), F.length(t))))
+    else:
+        # Each match is one whole token: a pair, or else anything up to a blank.
+        d = re.escape(delimiter)
+        rest = rf'[^"{_BLANK}]*(?:"[^"]*"?[^"{_BLANK}]*)*'
+        pair = rf'(?!{d})([^"{_BLANK}]+?){d}({rest})|(?=[^{_BLANK}]){rest}'
+        keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
+        values = F.regexp_extract_all(text, F.lit(pair), F.lit(2))
+    bare = F.when(F.contains(text, F.lit('"')), F.transform(values, lambda v: F.replace(v, F.lit('"'), F.lit("")))).otherwise(values)
+    return F.struct(keys.alias("keys"), bare.alias("values"))
+
+
+def kv_ok(parts: Column, lenient: bool = False) -> Column:
+    keys = parts["keys"]
+    some = F.size(F.array_remove(keys, "")) > 0 if lenient else (F.size(keys) > 0) & ~F.array_contains(keys, "")
+    return F.coalesce(some, F.lit(False))
+
+
+def kv_map(parts: Column, lenient: bool = False) -> Column:
+    if not lenient:
+        return maps.last_wins(parts["keys"], parts["values"])
+    good = F.filter(F.arrays_zip(parts["keys"].alias("k"), parts["values"].alias("v")), lambda p: p["k"] != "")
+    return maps.last_wins(F.transform(good, lambda p: p["k"]), F.transform(good, lambda p: p["v"]))
 
 
 # Spec keys that are not usable as argument names here.
@@ -109,31 +124,51 @@ def computed_once(df: DataFrame, name: str, expr: Column) -> DataFrame:
 
 
 class _Fields:
-    """One string map of a record: planned columns plus an optional map column."""
+    """One string map of a record: planned columns plus an optional map column.
+
+    The columns are expressions over working columns that are never rewritten,
+    so they can be read at any later stage.
+    """
 
     def __init__(self, dynamic: str | None = None):
-        self.static: dict[str, str] = {}
+        self.static: dict[str, Column] = {}
         self.dynamic = dynamic
 
-    def get(self, key: str) -> Column:
-        options = [F.col(self.static[key])] if key in self.static else []
+    def options(self, key: str) -> list[Column]:
+        """Where the value may be, the first that is not NULL counts."""
+        out = [self.static[key]] if key in self.static else []
         if self.dynamic:
-            options.append(F.col(self.dynamic)[key])
+            out.append(F.col(self.dynamic)[key])
             if "." in key:
                 head, rest = key.split(".", 1)
-                options.append(F.get_json_object(F.col(self.dynamic)[head], f"$.{rest}"))
+                out.append(F.get_json_object(F.col(self.dynamic)[head], f"$.{rest}"))
+        return out
+
+    def get(self, key: str) -> Column:
+        options = self.options(key)
         if not options:
             return F.lit(None).cast("string")
         return F.coalesce(*options) if len(options) > 1 else options[0]
 
+    def put(self, values: dict[str, Column]) -> None:
+        """Set fields where the new value is not NULL."""
+        for key, value in values.items():
+            options = self.options(key)
+            self.static[key] = F.coalesce(value, *options) if options else value
+
     def as_map(self) -> Column:
-        known = maps.present({k: F.col(c) for k, c in self.static.items()})
+        known = maps.present(self.static)
         if not self.dynamic:
             return known
         old = F.coalesce(F.col(self.dynamic), maps.empty())
         return maps.merge(old, known) if self.static else old
 
 
+# Record columns that operators rewrite in place.
+_PLAIN = {"body": "body", "severity": "severity_text", "severity_text": "severity_text",
+          "severity_number": "severity_number", "ts": "ts", "timestamp": "ts"}
+
+
 class Chain:
     """Plans operators over ``df``; nothing runs until the result is used."""
 
@@ -141,14 +176,14 @@ class Chain:
         self.df = df
         self.attributes = _Fields("attributes" if "attributes" in df.columns else None)
         self.resource = _Fields("resource" if "resource" in df.columns else None)
-        self.errors: list[tuple[str, str, str]] = []
-        self.dropped: list[str] = []
+        self.errors: list[tuple[str, str, Column]] = []
+        self.dropped: list[Column] = []
         self._n = 0
         missing = {"severity_text": "string", "severity_number": "int", "ts": "timestamp"}
         absent = {c: F.lit(None).cast(t) for c, t in missing.items() if c not in df.columns}
         if absent:
             self.df = df.withColumns(absent)
-        self._carried = [c for c in df.columns if c not in ("body", "attributes", "resource", "ts", "severity_text", "severity_number")]
+        self.carried = [c for c in df.columns if c not in ("body", "attributes", "resource", "ts", "severity_text", "severity_number")]
 
     # -- staging --
 
@@ -183,25 +218,24 @@ class Chain:
         found = self._fields(path)
         if found:
             return found[0].get(found[1])
-        plain = {"body": "body", "severity": "severity_text", "severity_text": "severity_text",
-                 "severity_number": "severity_number", "ts": "ts", "timestamp": "ts"}
-        if path in plain:
-            return F.col(plain[path]).cast("string")
+        if path in _PLAIN:
+            return F.col(_PLAIN[path]).cast("string")
         if path in ("attributes", "resource"):
             return F.to_json(getattr(self, path).as_map())
         raise ValueError(f"unknown field {path!r}")
 
-    def set(self, path: str, value: Column, where: Column | None = None) -> None:
-        old = self.get(path)
-        new = value if where is None else F.when(where, value).otherwise(old)
+    def fixed(self, path: str) -> Column:
+        """The field's value as it is now, safe to use after later changes."""
+        return self.get(path) if self._fields(path) else F.col(*self.stage(value=self.get(path)))
+
+    def put(self, path: str, value: Column) -> None:
+        """Set a field where ``value`` is not NULL."""
         found = self._fields(path)
         if found:
-            fields, key = found
-            (fields.static[key],) = self.stage(set=new)
-        elif path == "body":
-            self.replace(body=new)
-        elif path in ("severity", "severity_text"):
-            self.replace(severity_text=new)
+            found[0].put({found[1]: value})
+        elif path in ("body", "severity", "severity_text"):
+            name = _PLAIN[path]
+            self.replace(**{name: F.coalesce(value, F.col(name))})
         else:
             raise ValueError(f"cannot write field {path!r}")
 
@@ -212,10 +246,8 @@ class Chain:
             fields.static.pop(key, None)
             if fields.dynamic:
                 (fields.dynamic,) = self.stage(map=F.map_filter(F.col(fields.dynamic), lambda k, _: k != key))
-        elif path == "body":
-            self.replace(body=F.lit(None).cast("string"))
-        elif path in ("severity", "severity_text"):
-            self.replace(severity_text=F.lit(None).cast("string"))
+        elif path in ("body", "severity", "severity_text"):
+            self.replace(**{_PLAIN[path]: F.lit(None).cast("string")})
         else:
             raise ValueError(f"cannot remove field {path!r}")
 
@@ -224,16 +256,17 @@ class Chain:
     def live(self, cond: Column) -> Column:
         """``cond`` on records no earlier operator has dropped."""
         for flag in self.dropped:
-            cond = cond & ~F.col(flag)
+            cond = cond & ~flag
         return cond
 
     def fail(self, op: str, reason: str, cond: Column, on_error: str = "send") -> None:
         if on_error not in ON_ERROR:
             raise ValueError(f"on_error must be one of {ON_ERROR}, not {on_error!r}")
-        (flag,) = self.stage(err=self.live(F.coalesce(cond, F.lit(False))))
-        self.errors.append((op, reason, flag))
+        flag = self.live(cond)
         if on_error.startswith("drop"):
+            flag = F.col(*self.stage(drop=flag))
             self.dropped.append(flag)
+        self.errors.append((op, reason, flag))
 
     # -- operators --
 
@@ -249,117 +282,110 @@ class Chain:
         return self
 
     def _store(self, parse_to: str, values: dict[str, Column], ok: Column) -> None:
-        """Put planned fields under ``parse_to`` on rows where ``ok``."""
+        """Put planned fields, all NULL unless ``ok``, under ``parse_to``."""
         if parse_to in ("attributes", "resource"):
-            fields = getattr(self, parse_to)
-            new = {k: F.when(ok, v).otherwise(fields.get(k)) for k, v in values.items()}
-            for key, name in zip(new, self.stage(**{f"f{i}": c for i, c in enumerate(new.values())})):
-                fields.static[key] = name
+            getattr(self, parse_to).put(values)
         else:
-            self.set(parse_to, F.to_json(maps.present(values)), ok)
+            self.put(parse_to, F.when(ok, F.to_json(maps.present(values))))
 
-    def _store_map(self, parse_to: str, parsed: str, ok: Column) -> None:
-        """Merge a parsed map column into the target on rows where ``ok``."""
+    def _store_map(self, parse_to: str, parsed: str) -> None:
+        """Merge a parsed map column into the target where it is not NULL."""
         new = F.col(parsed)
-        if parse_to in ("attributes", "resource"):
-            fields = getattr(self, parse_to)
-            old = F.coalesce(F.col(fields.dynamic), maps.empty()) if fields.dynamic else None
-            staged = {f"f{i}": F.when(ok, F.coalesce(new[k], F.col(c))).otherwise(F.col(c)) for i, (k, c) in enumerate(fields.static.items())}
-            if old is None:
-                staged["map"] = F.when(ok, new).otherwise(maps.empty())
-            else:
-                staged["map"] = F.when(ok, maps.merge(old, new)).otherwise(old)
-            *names, fields.dynamic = self.stage(**staged)
-            fields.static = dict(zip(fields.static, names))
+        if parse_to not in ("attributes", "resource"):
+            self.put(parse_to, F.to_json(new))
+            return
+        fields = getattr(self, parse_to)
+        fields.static = {k: F.coalesce(new[k], c) for k, c in fields.static.items()}
+        if fields.dynamic is None:
+            fields.dynamic = parsed
         else:
-            self.set(parse_to, F.to_json(new), ok)
+            old = F.coalesce(F.col(fields.dynamic), maps.empty())
+            fields.dynamic = self.once("merged", F.when(new.isNotNull(), maps.merge(old, new)).otherwise(old))
 
     def _regex_parser(self, op, source, parse_from="body", parse_to="attributes", on_error="send"):
         pattern = regex.named(source)
         got = self.once("g", regex.capture(self.get(parse_from), pattern))
-        (ok,) = self.stage(ok=self.live(regex.matched(F.col(got), pattern)))
-        self.fail(op, "regex does not match", ~F.col(ok), on_error)
-        self._store(parse_to, {n: regex.group(F.col(got), pattern, n) for n in pattern.names}, F.col(ok))
+        ok = regex.matched(got, pattern)
+        self.fail(op, "regex does not match", ~ok, on_error)
+        self._store(parse_to, {n: regex.group(got, pattern, n) for n in pattern.names}, ok)
 
     def _json_parser(self, op, parse_from="body", parse_to="attributes", on_error="send"):
         got = self.once("json", maps.from_json_object(self.get(parse_from)))
-        (ok,) = self.stage(ok=self.live(F.col(got).isNotNull()))
-        self.fail(op, "not a JSON object", ~F.col(ok), on_error)
-        self._store_map(parse_to, got, F.col(ok))
+        self.fail(op, "not a JSON object", F.col(got).isNull(), on_error)
+        self._store_map(parse_to, got)
 
     def _key_value_parser(self, op, parse_from="body", parse_to="attributes", delimiter="=", pair_delimiter=None,
                           on_error="send", lenient=False):
         if not delimiter or delimiter == pair_delimiter:
             raise ValueError("delimiter must be set and differ from pair_delimiter")
-        pairs = self.once("pairs", kv_pairs(self.get(parse_from), delimiter, pair_delimiter))
-        some = F.coalesce(F.size(pairs) > 0, F.lit(False))
-        good = some if lenient else some & F.forall(F.col(pairs), lambda p: p["key"].isNotNull())
-        (ok,) = self.stage(ok=self.live(F.coalesce(good, F.lit(False))))
-        got = self.once("kv", F.when(F.col(ok), kv_map(F.col(pairs))))
-        self.fail(op, "not key=value text", ~F.col(ok), on_error)
-        self._store_map(parse_to, got, F.col(ok))
+        parts = self.once("kv", kv_parts(self.get(parse_from), delimiter, pair_delimiter))
+        got = self.once("map", F.when(kv_ok(F.col(parts), lenient), kv_map(F.col(parts), lenient)))
+        self.fail(op, "not key=value text", F.col(got).isNull(), on_error)
+        self._store_map(parse_to, got)
 
     def _severity_parser(self, op, parse_from="attributes.severity", preset="default", on_error="send"):
         (num,) = self.stage(sev=severity.preset_number(self.get(parse_from), preset))
-        ok = self.live(F.col(num).isNotNull())
         self.fail(op, "unknown severity", F.col(num).isNull(), on_error)
         self.replace(
-            severity_number=F.when(ok, F.col(num)).otherwise(F.col("severity_number")),
-            severity_text=F.when(ok, severity.number_name(F.col(num))).otherwise(F.col("severity_text")),
+            severity_number=F.coalesce(F.col(num), F.col("severity_number")),
+            severity_text=F.coalesce(severity.number_name(F.col(num)), F.col("severity_text")),
         )
 
     def _time_parser(self, op, parse_from, layout_type="strptime", layout="%Y-%m-%dT%H:%M:%SZ", on_error="send"):
         (got,) = self.stage(time=timefmt.parse_time(self.get(parse_from), layout, layout_type))
-        ok = self.live(F.col(got).isNotNull())
         self.fail(op, "time does not fit the layout", F.col(got).isNull(), on_error)
-        self.replace(ts=F.when(ok, F.col(got)).otherwise(F.col("ts")))
+        self.replace(ts=F.coalesce(F.col(got), F.col("ts")))
 
     def _add(self, op, field, value):
-        self.set(field, F.lit(str(value)))
+        self.put(field, F.lit(str(value)))
 
     def _remove(self, op, field):
-        self.fail(op, f"{field} is missing", self.get(field).isNull())
+        self.fail(op, f"{field} is missing", self.fixed(field).isNull())
         self.unset(field)
 
     def _copy(self, op, from_, to):
-        (value,) = self.stage(value=self.get(from_))
-        self.fail(op, f"{from_} is missing", F.col(value).isNull())
-        self.set(to, F.col(value), F.col(value).isNotNull())
+        value = self.fixed(from_)
+        self.fail(op, f"{from_} is missing", value.isNull())
+        self.put(to, value)
 
     def _move(self, op, from_, to):
-        (value,) = self.stage(value=self.get(from_))
-        self.fail(op, f"{from_} is missing", F.col(value).isNull())
+        value = self.fixed(from_)
+        self.fail(op, f"{from_} is missing", value.isNull())
         self.unset(from_)
-        self.set(to, F.col(value), F.col(value).isNotNull())
+        self.put(to, value)
 
     # -- results --
 
-    def _outcome(self) -> dict[str, Column]:
-        reasons = [F.when(F.col(flag), F.struct(F.lit(op).alias("op"), F.lit(why).alias("reason"))) for op, why, flag in self.errors]
-        none = F.array().cast("array<struct<op:string,reason:string>>")
-        dropped = F.lit(False)
+    def _is_dropped(self) -> Column:
+        gone = F.lit(False)
         for flag in self.dropped:
-            dropped = dropped | F.col(flag)
-        return {"_errors": F.array_compact(F.array(*reasons)) if reasons else none, "_dropped": dropped}
+            gone = gone | flag
+        return gone
+
+    def _failed(self) -> Column:
+        out = F.lit(False)
+        for _, _, flag in self.errors:
+            out = out | flag
+        return out
+
+    def _errors(self) -> Column:
+        none = F.array().cast("array<struct<op:string,reason:string>>")
+        reasons = [F.when(flag, F.struct(F.lit(op).alias("op"), F.lit(why).alias("reason"))) for op, why, flag in self.errors]
+        # Most records have no error; they skip the building of the list.
+        return F.when(self._failed(), F.array_compact(F.array(*reasons))).otherwise(none) if reasons else none
 
     def _kept(self, keep_dropped: bool) -> DataFrame:
-        if keep_dropped or not self.dropped:
-            return self.df
-        gone = F.lit(False)
-        for flag in self.dropped:
-            gone = gone | F.col(flag)
-        return self.df.filter(~gone)
+        return self.df if keep_dropped or not self.dropped else self.df.filter(~self._is_dropped())
 
     def records(self, keep_dropped: bool = False) -> DataFrame:
         """The record table, with ``_errors`` (and ``_dropped`` if kept)."""
-        out = self._outcome()
         cols = [
-            *[F.col(c) for c in self._carried], "ts", "severity_text", "severity_number", "body",
+            *[F.col(c) for c in self.carried], "ts", "severity_text", "severity_number", "body",
             self.attributes.as_map().alias("attributes"), self.resource.as_map().alias("resource"),
-            out["_errors"].alias("_errors"),
+            self._errors().alias("_errors"),
         ]
         if keep_dropped:
-            cols.append(out["_dropped"].alias("_dropped"))
+            cols.append(self._is_dropped().alias("_dropped"))
         return self._kept(keep_dropped).select(*cols)
 
     def flat(self, fields: dict[str, str] | list[str], keep: Iterable[str] = (), keep_dropped: bool = False) -> DataFrame:
@@ -369,12 +395,9 @@ class Chain:
         """
         if not isinstance(fields, dict):
             fields = {f.rsplit(".", 1)[-1]: f for f in fields}
-        out = self._outcome()
-        failed = F.lit(False)
-        for _, _, flag in self.errors:
-            failed = failed | F.col(flag)
-        special = {**out, "_parse_error": failed, "severity_number": F.col("severity_number"), "ts": F.col("ts")}
-        cols = [(special[p] if p in special else self.get(p)).alias(name) for name, p in fields.items()]
+        special = {"_errors": self._errors, "_dropped": self._is_dropped, "_parse_error": self._failed,
+                   "severity_number": lambda: F.col("severity_number"), "ts": lambda: F.col("ts")}
+        cols = [(special[p]() if p in special else self.get(p)).alias(name) for name, p in fields.items()]
         return self._kept(keep_dropped).select(*keep, *cols)
 
 

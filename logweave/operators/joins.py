@@ -40,6 +40,15 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str
     return fact.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a table with fewer splits than the cluster has cores
+    over all cores, ahead of CPU-heavy parsing. A larger table is not moved."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def _hashable(df: DataFrame) -> bool:
     """Spark hashes every type but maps (and variants); a salt from the row's
     own values stays the same when a lost task is run again."""

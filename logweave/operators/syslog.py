@@ -34,7 +34,8 @@ def structured_data(text: Column) -> Column:
     def params(e: Column) -> Column:
         names = F.regexp_extract_all(e, F.lit(_SD_PARAM), F.lit(1))
         values = F.regexp_extract_all(e, F.lit(_SD_PARAM), F.lit(2))
-        return F.to_json(maps.last_wins(names, F.transform(values, lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"))))
+        plain = F.when(F.contains(e, F.lit("\\")), F.transform(values, lambda v: F.regexp_replace(v, r'\\(["\\\]])', "$1"))).otherwise(values)
+        return F.to_json(maps.last_wins(names, plain))
 
     bodies = F.transform(elements, params)
     keyed = F.transform(F.arrays_zip(ids.alias("id"), bodies.alias("body")), lambda z: F.concat(
@@ -57,50 +58,48 @@ def rfc3164_time(text: Column, year: int | None = None, reference: Column | None
 
 
 def envelope(chain: Chain, protocol: str, year: int | None = None, reference: Column | None = None) -> str:
-    """Decode the header on a chain; returns the name of the match column."""
+    """Decode the header on a chain; returns the name of the column of header
+    parts, NULL where there is no valid header."""
     if protocol not in PATTERNS:
         raise ValueError(f"protocol must be one of {sorted(PATTERNS)}, not {protocol!r}")
     pattern = regex.named(PATTERNS[protocol])
-    got = chain.once("env", regex.capture(F.col("body"), pattern))
-    part = {n: regex.group(F.col(got), pattern, n) for n in pattern.names}
-    (pri,) = chain.stage(pri=F.when(regex.matched(F.col(got), pattern), part["pri"].cast("int")))
-    (ok,) = chain.stage(envelope=F.coalesce(F.col(pri) <= MAX_PRIORITY, F.lit(False)))
-    level = (F.col(pri) % 8).cast("int")
-    fields = {
-        "priority": F.col(pri).cast("string"),
-        "facility": F.floor(F.col(pri) / 8).cast("string"),
-        "content": part["content"],
-    }
-    if protocol != "none":
-        fields["hostname"] = part["hostname"]
-        fields["message"] = part["content"]
+    raw = chain.once("env", regex.capture(F.col("body"), pattern))
+    # NULL unless the header and its priority are valid, and so are its parts.
+    valid = regex.group(raw, pattern, "pri").cast("int") <= MAX_PRIORITY
+    (got,) = chain.stage(env=F.when(valid, F.col(raw)))
+    part = lambda name: regex.group(got, pattern, name)
+    pri = part("pri").cast("int")
+    fields = {"priority": pri.cast("string"), "facility": F.floor(pri / 8).cast("string")}
     if protocol == "rfc5424":
-        fields["message"] = F.regexp_replace(part["content"], "^\ufeff", "")
-        fields["content"] = fields["message"]
-        fields |= {n: F.nullif(part[n], F.lit("-")) for n in ("hostname", "appname", "proc_id", "msg_id")}
-        fields["version"] = part["version"]
-        fields["structured_data"] = structured_data(part["structured_data"])
-        time = F.try_to_timestamp(F.nullif(part["time"], F.lit("-")))
+        text = F.regexp_replace(part("content"), "^\ufeff", "")
+        fields |= {n: F.nullif(part(n), F.lit("-")) for n in ("hostname", "appname", "proc_id", "msg_id")}
+        fields |= {"version": part("version"), "structured_data": structured_data(part("structured_data"))}
+        time = F.try_to_timestamp(F.nullif(part("time"), F.lit("-")))
     elif protocol == "rfc3164":
-        time = rfc3164_time(part["time"], year, reference)
+        text = part("content")
+        fields["hostname"] = part("hostname")
+        time = rfc3164_time(part("time"), year, reference)
     else:
-        time = F.lit(None).cast("timestamp")
-    number = severity.syslog_number(level)
-    chain._store("attributes", fields, F.col(ok))
+        text, time = part("content"), None
+    fields["content"] = text
+    if protocol != "none":
+        fields["message"] = text
+    number = severity.syslog_number(pri % 8)
+    chain._store("attributes", fields, F.col(got).isNotNull())
     chain.replace(
-        severity_number=F.when(F.col(ok), number).otherwise(F.col("severity_number")),
-        severity_text=F.when(F.col(ok), severity.number_name(number)).otherwise(F.col("severity_text")),
-        ts=F.when(F.col(ok), F.coalesce(time, F.col("ts"))).otherwise(F.col("ts")),
+        severity_number=F.coalesce(number, F.col("severity_number")),
+        severity_text=F.coalesce(severity.number_name(number), F.col("severity_text")),
+        **({} if time is None else {"ts": F.coalesce(time, F.col("ts"))}),
     )
-    return ok
+    return got
 
 
 def normalize_syslog(df: DataFrame, protocol: str = "rfc3164", year: int | None = None, reference: Column | None = None) -> DataFrame:
     """Record table with the envelope decoded; adds ``envelope_matched``."""
     chain = Chain(df)
-    ok = envelope(chain, protocol, year, reference)
-    chain.replace(envelope_matched=F.col(ok))
-    chain._carried.append("envelope_matched")
+    got = envelope(chain, protocol, year, reference)
+    chain.replace(envelope_matched=F.col(got).isNotNull())
+    chain.carried.append("envelope_matched")
     return chain.records()
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import maps, regex, severity
 from . import chain as ops
-from .chain import Chain, computed_once, kv_map, kv_pairs
+from .chain import Chain, computed_once, kv_map, kv_ok, kv_parts
 from .syslog import MAX_PRIORITY, PATTERNS, envelope, rfc3164_time, structured_data
 
 # The line grammar of each source (RE2 syntax).
@@ -120,15 +120,13 @@ def plan(df: DataFrame, key: str, sourcetype: str | None = None, year: int | Non
     if template.envelope:
         envelope(chain, template.envelope, year, reference)
         if key == "ubiquiti":
-            chain.set("body", F.coalesce(chain.get("attributes.content"), F.col("body")))
+            chain.put("body", chain.get("attributes.content"))
     specs = template.operators(sourcetype)
     if template.envelope and template.pattern:
         # Vendor grammars start after the header where there is one.
-        (text,) = chain.stage(text=F.coalesce(chain.get("attributes.content"), F.col("body")))
-        chain.attributes.static["_text"] = text
-        specs[0]["parse_from"] = "attributes._text"
-        chain.apply(specs[:1])
-        chain.attributes.static.pop("_text")
+        chain.attributes.static["_text"] = F.coalesce(chain.get("attributes.content"), F.col("body"))
+        chain.apply([specs[0] | {"parse_from": "attributes._text"}])
+        del chain.attributes.static["_text"]
         specs = specs[1:]
     return chain.apply(specs)
 
@@ -172,10 +170,10 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     for p, keys in by_head.items():
         head = F.when(k.isin(keys), regex.capture(F.col("body"), heads[p])).otherwise(head)
     df = computed_once(df, "_head", head)
-    part = lambda p, name: regex.group(F.col("_head"), heads[p], name)
+    part = lambda p, name: regex.group("_head", heads[p], name)
     pri = null_str
     for p, keys in by_head.items():
-        pri = F.when(k.isin(keys) & regex.matched(F.col("_head"), heads[p]), part(p, "pri")).otherwise(pri)
+        pri = F.when(k.isin(keys) & regex.matched("_head", heads[p]), part(p, "pri")).otherwise(pri)
     df = df.withColumn("_pri", pri.cast("int"))
     ok = F.coalesce(F.col("_pri") <= MAX_PRIORITY, F.lit(False))
     five, three = k.isin(by_head["rfc5424"]), k.isin(by_head["rfc3164"])
@@ -189,7 +187,7 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     lines = {t.key: regex.named(t.pattern) for t in TEMPLATES.values() if t.pattern}
     df = df.withColumn("_text", F.coalesce(F.col("_content"), F.col("body")))
     df = computed_once(df, "_got", _pick(k, {n: regex.capture(F.col("_text"), p) for n, p in lines.items()}, no_groups))
-    hit = _pick(k, {n: regex.matched(F.col("_got"), p) for n, p in lines.items()}, F.lit(None).cast("boolean"))
+    hit = _pick(k, {n: regex.matched("_got", p) for n, p in lines.items()}, F.lit(None).cast("boolean"))
     df = df.withColumn("_hit", hit)
     names = _pick(k, {n: F.array(*[F.lit(g) for g in p.names]) for n, p in lines.items()}, no_groups)
     parsed = F.when(F.col("_hit"), F.map_from_arrays(names, F.slice("_got", 2, F.size("_got") - 1)))
@@ -215,10 +213,10 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     kv_text = _pick(k, {t.key: F.col("_attrs")[t.kv_from] for t in TEMPLATES.values() if t.kv_from}, null_str)
     json_keys = [t.key for t in TEMPLATES.values() if t.json]
     kv_keys = [t.key for t in TEMPLATES.values() if t.kv_from]
-    df = computed_once(df, "_pairs", F.when(k.isin(kv_keys), kv_pairs(kv_text)))
+    df = computed_once(df, "_pairs", F.when(k.isin(kv_keys), kv_parts(kv_text)))
     df = computed_once(df, "_json", F.when(k.isin(json_keys), maps.from_json_object(F.col("body"))))
-    kv_ok = F.coalesce((F.size("_pairs") > 0) & F.forall("_pairs", lambda p: p["key"].isNotNull()), F.lit(False))
-    df = computed_once(df, "_more", F.when(kv_ok, kv_map(F.col("_pairs"))).otherwise(F.col("_json")))
+    pairs_ok = kv_ok(F.col("_pairs"))
+    df = computed_once(df, "_more", F.when(pairs_ok, kv_map(F.col("_pairs"))).otherwise(F.col("_json")))
     df = computed_once(df, "_attributes", F.when(F.col("_more").isNotNull(), maps.merge(F.col("_attrs"), F.col("_more"))).otherwise(F.col("_attrs")))
 
     # 5. severity, tags, body
@@ -239,7 +237,7 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
         err("regex_parser", "regex does not match", F.col("_hit") == F.lit(False)),
         err("json_parser", "not a JSON object", k.isin(json_keys) & F.col("_json").isNull()),
         err("severity_parser", "unknown severity", k.isin(level_keys) & F.col("_sev").isNull()),
-        err("key_value_parser", "not key=value text", k.isin(kv_keys) & ~kv_ok),
+        err("key_value_parser", "not key=value text", k.isin(kv_keys) & ~pairs_ok),
         err("move", "attributes.message is missing", moving & message.isNull()),
     ))
     return df.select(

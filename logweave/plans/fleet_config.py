@@ -8,7 +8,7 @@ from ..operators import configs as c
 from ..operators import metrics as m
 from ..operators import routing as r
 from ..operators import topology as t
-from .registry import query, run_sql
+from .registry import query, run_spread, run_sql
 from .volume import attribution_sql
 
 # One JSON document per customer and version, with an orphan here, a dangling
@@ -32,7 +32,7 @@ BOTH = f"{docs_sql(1)} union all {docs_sql(2)}"
 
 
 def docs(spark, sf, version: int = 1):
-    return run_sql(spark, sf, docs_sql(version))
+    return run_spread(spark, sf, docs_sql(version))
 
 
 COMPONENTS = " union all ".join(

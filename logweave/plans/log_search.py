@@ -8,7 +8,7 @@ from ..functions import maps
 from ..operators import logs
 from ..operators.logs import CAPACITY
 from ..functions.severity import NUMBER_NAMES
-from .registry import query, run_sql
+from .registry import query, run_spread, run_sql
 
 # Documents and conversation turns as records; conversations have no source.
 DOCS = """select doc_id as seq, case doc_id % 5 when 0 then 'ERROR' when 1 then 'warning' when 2 then '' when 3 then 'Info' else 'FATAL2' end as severity_text,
@@ -23,7 +23,7 @@ EVENT_KEYS = ("event_type", "session_id", "host.name")
 
 
 def records(spark, sf, sql, keys):
-    flat = run_sql(spark, sf, sql)
+    flat = run_spread(spark, sf, sql)
     df = flat.select(
         "seq", "severity_text", "severity_number", "body",
         maps.present({keys[0]: F.col("a1"), keys[1]: F.col("a2")}).alias("attributes"),

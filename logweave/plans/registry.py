@@ -6,6 +6,9 @@ import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from ..operators.joins import spread
 
 Job = Callable[[SparkSession, str], DataFrame]
 
@@ -39,10 +42,24 @@ def bare(sql: str) -> str:
     return _SLOT.sub(r"\1", sql)
 
 
-def run_sql(spark: SparkSession, sf: str, sql: str) -> DataFrame:
-    """Spark SQL over the parquet tables, without registering views."""
-    return spark.sql(_SLOT.sub(lambda m: f"parquet.`{sf}/{m[1]}.parquet`", sql))
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; its schema is read from the file once per process."""
+    path = f"{sf}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+
+def run_sql(spark: SparkSession, sf: str, sql: str, prepare: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Spark SQL over the tables it names as ``{table}``; no views are left behind."""
+    frames = {name: prepare(table(spark, sf, name)) for name in set(_SLOT.findall(sql))}
+    text = sql.replace("{", "{{").replace("}", "}}")
+    return spark.sql(re.sub(r"\{" + _SLOT.pattern + r"\}", r"{\1}", text), **frames)
+
+
+def run_spread(spark: SparkSession, sf: str, sql: str) -> DataFrame:
+    """``run_sql`` with each small table dealt over all cores first."""
+    return run_sql(spark, sf, sql, spread)

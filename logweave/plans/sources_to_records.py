@@ -10,7 +10,7 @@ from ..operators.chain import apply_operators, parse_quality
 from ..operators.syslog import normalize_syslog, syslog_mismatch_report
 from ..operators.templates import LINE_PATTERNS, TEMPLATES, normalize, normalize_all, plan, templates_df
 from .lines import LINES, RECEIVER, envelope_sql, lines_sql, mixed_sql, quote, regex_cols, template_sql
-from .registry import query, run_sql
+from .registry import query, run_spread, run_sql
 
 
 def level_sql(expr: str) -> str:
@@ -29,7 +29,7 @@ def _fields(key: str, *names: str) -> str:
 
 def _simple(spark, sf, key, *names, **extra):
     fields = {n: f"attributes.{n}" for n in names} | extra | {"sourcetype": "attributes.sourcetype", "failed": "_parse_error"}
-    out = normalize(run_sql(spark, sf, lines_sql(key)), key, fields, keep=("seq",), year=2024)
+    out = normalize(run_spread(spark, sf, lines_sql(key)), key, fields, keep=("seq",), year=2024)
     return out.withColumn("failed", F.col("failed").cast("int"))
 
 
@@ -46,7 +46,7 @@ _ASA = f"""select *, case when ok then {level_sql('g.severity')} when env_ok the
     cast(num as integer) as severity_number, {name_sql('num')} as severity_text, body2 as body,
     case when env_ok then h.hostname end as hostname, cast(not ok as integer) as failed from ({_ASA})""")
 def asa_fields(spark, sf):
-    out = normalize(run_sql(spark, sf, lines_sql("cisco_asa")), "cisco_asa", {
+    out = normalize(run_spread(spark, sf, lines_sql("cisco_asa")), "cisco_asa", {
         "severity": "attributes.severity", "msgid": "attributes.msgid", "severity_number": "severity_number",
         "severity_text": "severity_text", "body": "body", "hostname": "attributes.hostname", "failed": "_parse_error",
     }, keep=("seq",), year=2024)
@@ -58,14 +58,14 @@ def asa_fields(spark, sf):
     count(*) filter (ok) / count(*) as match_rate from ({_ASA}) group by 1""")
 def asa_parse_quality(spark, sf):
     """Flagship: raw lines -> records -> parse quality by severity."""
-    records = plan(run_sql(spark, sf, lines_sql("cisco_asa")), "cisco_asa", year=2024).records(keep_dropped=True)
+    records = plan(run_spread(spark, sf, lines_sql("cisco_asa")), "cisco_asa", year=2024).records(keep_dropped=True)
     return parse_quality(records, "severity_text")
 
 
 @query(f"""select coalesce({name_sql('num')}, 'UNSPECIFIED') as severity, count(*) as records,
     count(case when ok then g.msgid end) as with_msgid, sum(length(body2))::bigint as body_chars from ({_ASA}) group by 1""")
 def asa_by_severity(spark, sf):
-    flat = normalize(run_sql(spark, sf, lines_sql("cisco_asa")), "cisco_asa",
+    flat = normalize(run_spread(spark, sf, lines_sql("cisco_asa")), "cisco_asa",
                      {"severity": "severity_text", "msgid": "attributes.msgid", "body": "body"}, year=2024)
     return flat.groupBy(F.coalesce("severity", F.lit("UNSPECIFIED")).alias("severity")).agg(
         F.count("*").alias("records"), F.count("msgid").alias("with_msgid"), F.sum(F.length("body")).alias("body_chars"))
@@ -76,7 +76,7 @@ def asa_by_severity(spark, sf):
     case when ok then g.message when env_ok then text else body end as body, cast(not ok as integer) as failed
     from ({template_sql('cisco_catalyst')})""")
 def catalyst_fields(spark, sf):
-    out = normalize(run_sql(spark, sf, lines_sql("cisco_catalyst")), "cisco_catalyst", {
+    out = normalize(run_spread(spark, sf, lines_sql("cisco_catalyst")), "cisco_catalyst", {
         "facility": "attributes.facility", "mnemonic": "attributes.mnemonic", "severity_number": "severity_number",
         "body": "body", "failed": "_parse_error"}, keep=("seq",), year=2024)
     return out.withColumn("failed", F.col("failed").cast("int"))
@@ -99,7 +99,7 @@ def _kv_sql(tokens: str, key: str) -> str:
     case when ok then g.message else body end as body, cast(not kv_ok as integer) as failed from k""")
 def meraki_kv(spark, sf):
     names = ("device", "log_type", "src", "dst", "note", "bytes")
-    out = normalize(run_sql(spark, sf, lines_sql("cisco_meraki")), "cisco_meraki",
+    out = normalize(run_spread(spark, sf, lines_sql("cisco_meraki")), "cisco_meraki",
                     {n: f"attributes.{n}" for n in names} | {"body": "body", "failed": "_parse_error"}, keep=("seq",))
     return out.withColumn("failed", F.col("failed").cast("int"))
 
@@ -107,7 +107,7 @@ def meraki_kv(spark, sf):
 @query(f"""select seq, text as body, case when env_ok then h.hostname end as hostname, 'ubiquiti' as datasource,
     'ubiquiti_ts_parser' as sourcetype from ({template_sql('ubiquiti')})""")
 def ubiquiti_tags(spark, sf):
-    return normalize(run_sql(spark, sf, lines_sql("ubiquiti")), "ubiquiti", {
+    return normalize(run_spread(spark, sf, lines_sql("ubiquiti")), "ubiquiti", {
         "body": "body", "hostname": "attributes.hostname", "datasource": "attributes.datasource",
         "sourcetype": "attributes.sourcetype"}, keep=("seq",), year=2024)
 
@@ -149,7 +149,7 @@ _OLD = envelope_sql(lines_sql("cisco_asa"), "rfc3164")
     case when env_ok then epoch(strptime(concat('2024 ', regexp_replace(h.time, '\\s+', ' ', 'g')), '%Y %b %-d %H:%M:%S'))::bigint end as ts_seconds
     from ({_OLD})""")
 def rfc3164_envelope(spark, sf):
-    out = normalize_syslog(run_sql(spark, sf, lines_sql("cisco_asa")), "rfc3164", year=2024)
+    out = normalize_syslog(run_spread(spark, sf, lines_sql("cisco_asa")), "rfc3164", year=2024)
     a = F.col("attributes")
     return out.select("seq", F.col("envelope_matched").cast("int").alias("matched"), a["facility"].alias("facility"),
                       "severity_number", a["hostname"].alias("hostname"), a["content"].alias("content"), "body",
@@ -167,7 +167,7 @@ _SD_JSON = "concat('{\"meta@32473\":{\"user\":\"', regexp_extract(h.structured_d
     case when env_ok then h.content end as message, case when env_ok then epoch(try_cast(h.time as timestamp))::bigint end as ts_seconds
     from ({_NEW})""")
 def rfc5424_envelope(spark, sf):
-    out = normalize_syslog(run_sql(spark, sf, lines_sql("generic_syslog")), "rfc5424")
+    out = normalize_syslog(run_spread(spark, sf, lines_sql("generic_syslog")), "rfc5424")
     a = F.col("attributes")
     names = ("hostname", "appname", "proc_id", "msg_id", "structured_data", "message")
     return out.select("seq", F.col("envelope_matched").cast("int").alias("matched"), "severity_number",
@@ -177,7 +177,7 @@ def rfc5424_envelope(spark, sf):
 @query(f"""select seq, case when env_ok then h.content else body end as body, 'generic_rsyslog' as sourcetype,
     cast(not env_ok as integer) as failed from ({_NEW})""")
 def generic_syslog_body(spark, sf):
-    out = normalize(run_sql(spark, sf, lines_sql("generic_syslog")), "generic_syslog",
+    out = normalize(run_spread(spark, sf, lines_sql("generic_syslog")), "generic_syslog",
                     {"body": "body", "sourcetype": "attributes.sourcetype", "failed": "_parse_error"}, keep=("seq",))
     return out.withColumn("failed", F.col("failed").cast("int"))
 
@@ -188,7 +188,7 @@ _BARE = envelope_sql(lines_sql("cef"), "none")
 @query(f"""select seq, cast(env_ok as integer) as matched, case when env_ok then pri::varchar end as priority,
     cast(case when env_ok then {level_sql('pri % 8')} end as integer) as severity_number, body from ({_BARE})""")
 def bare_priority(spark, sf):
-    out = normalize_syslog(run_sql(spark, sf, lines_sql("cef")), "none")
+    out = normalize_syslog(run_spread(spark, sf, lines_sql("cef")), "none")
     return out.select("seq", F.col("envelope_matched").cast("int").alias("matched"),
                       F.col("attributes")["priority"].alias("priority"), "severity_number", "body")
 
@@ -204,12 +204,12 @@ _T5 = envelope_sql(_EITHER, "rfc5424")
     select receiver, lines, lines - own as mismatched, (lines - own) / lines as mismatch_rate,
     case when other > own then 'rfc5424' else 'rfc3164' end as suggested_protocol from c""")
 def syslog_mismatch(spark, sf):
-    return syslog_mismatch_report(run_sql(spark, sf, _EITHER), "rfc3164")
+    return syslog_mismatch_report(run_spread(spark, sf, _EITHER), "rfc3164")
 
 
 @query(f"""select seq, body, 'generic' as sourcetype from ({lines_sql('file_log')})""")
 def file_log_tags(spark, sf):
-    return normalize(run_sql(spark, sf, lines_sql("file_log")), "file_log",
+    return normalize(run_spread(spark, sf, lines_sql("file_log")), "file_log",
                      {"body": "body", "sourcetype": "attributes.sourcetype"}, keep=("seq",))
 
 
@@ -261,7 +261,7 @@ _WEB = ("select p.page_id as seq, 'web' as receiver, concat('10.0.0.', p.page_id
 @query(f"""select seq, case when ok then g.request end as request, case when ok then g.status end as status,
     case when ok then g.bytes_sent end as bytes_sent, cast(not ok as integer) as failed from ({template_sql('nginx', _WEB)})""")
 def nginx_page_requests(spark, sf):
-    out = normalize(run_sql(spark, sf, _WEB), "nginx", {
+    out = normalize(run_spread(spark, sf, _WEB), "nginx", {
         "request": "attributes.request", "status": "attributes.status", "bytes_sent": "attributes.bytes_sent",
         "failed": "_parse_error"}, keep=("seq",))
     return out.withColumn("failed", F.col("failed").cast("int"))
@@ -361,7 +361,7 @@ def _mixed_oracle() -> str:
 @query(_mixed_oracle())
 def mixed_sources(spark, sf):
     """All eighteen templates over one mixed table, with the catalogue joined on."""
-    records = normalize_all(run_sql(spark, sf, mixed_sql()), year=2024)
+    records = normalize_all(run_spread(spark, sf, mixed_sql()), year=2024)
     counts = records.groupBy("source_key").agg(
         F.count("*").alias("records"), F.count_if(F.size("_errors") > 0).alias("failed"),
         F.sum(F.length("body")).alias("body_chars"))
@@ -389,10 +389,7 @@ def time_parse_layouts(spark, sf):
         chain.replace(ts=F.lit(None).cast("timestamp"))
         chain.apply([ops.time_parse(f"attributes.{name}", kind, layout, on_error="send_quiet")])
         (cols[name],) = chain.stage(seconds=F.unix_seconds("ts"))
-    failed = F.lit(False)
-    for _, _, flag in chain.errors:
-        failed = failed | F.col(flag)
-    return chain.df.select("seq", *[F.col(c).alias(f"{n}_seconds") for n, c in cols.items()], failed.cast("int").alias("failed"))
+    return chain.df.select("seq", *[F.col(c).alias(f"{n}_seconds") for n, c in cols.items()], chain._failed().cast("int").alias("failed"))
 
 
 @query(f"""select receiver, count(*) as events_in, count(*) filter (ok) as events_out, count(*) filter (not ok) as events_dropped,
@@ -400,7 +397,7 @@ def time_parse_layouts(spark, sf):
     from ({template_sql('nginx')}) group by 1""")
 def on_error_drop(spark, sf):
     """``on_error: drop`` discards what does not parse; the counts still see it."""
-    lines = run_sql(spark, sf, lines_sql("nginx"))
+    lines = run_spread(spark, sf, lines_sql("nginx"))
     kept = apply_operators(lines, [ops.regex_parse(LINE_PATTERNS["nginx"], on_error="drop")], keep_dropped=True)
     return parse_quality(kept, "receiver")
 
@@ -419,7 +416,7 @@ _CHAIN = [
     case when ok then 3 else 1 end as n_attributes, case when ok then 1 else 5 end as n_errors from ({_JSON})""")
 def field_edits(spark, sf):
     """add, remove, copy and move on data-driven keys."""
-    out = apply_operators(run_sql(spark, sf, lines_sql("json_logs")), _CHAIN)
+    out = apply_operators(run_spread(spark, sf, lines_sql("json_logs")), _CHAIN)
     a = F.col("attributes")
     return out.select(
         "seq", a["k"].alias("k"), a["k_copy"].alias("k_copy"), F.col("resource")["user"].alias("user_moved"),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as m
 from ..sources.scrapes import read_metric_scrapes
-from .registry import query, run_sql
+from .registry import query, run_spread, run_sql
 
 # One scrape per user, one text line per event: counters, process gauges,
 # comments and broken lines.
@@ -32,7 +32,7 @@ SAMPLES = f"""select scrape_id, line_no, g.family as family, g.labels as labels,
 
 
 def samples(spark, sf):
-    return read_metric_scrapes(run_sql(spark, sf, SCRAPES))
+    return read_metric_scrapes(run_spread(spark, sf, SCRAPES))
 
 
 IDS = """select distinct concat('agent-', user_id) as scrape_id, concat('{prefix}', event_id % {n}) as id from {{events}}"""
