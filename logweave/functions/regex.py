@@ -138,16 +138,19 @@ def capture(text: Column, pattern: Pattern) -> Column:
     One regex pass per row: a matched line is rewritten to its groups with a
     separator in front of each, then split. ``regexp_extract`` per group would
     run the pattern once per group and once more for the match test. A line
-    that does not match comes back unsplit, so test with ``matched``. Put the
-    result in its own column before reading several groups from it.
+    that holds the separator itself gets one it cannot hold, made from its own
+    SHA-256. A line that does not match comes back unsplit, so test with
+    ``matched``. Put the result in its own column before reading from it.
     """
     idx = [i + 1 for i, g in enumerate(pattern.groups) if g]
-    rewritten = F.regexp_replace(text, F.lit(pattern.whole), F.lit("".join(f"{_SEP}${i}" for i in idx)))
-    one_by_one = F.when(
-        text.rlike(pattern.java),
-        F.array(F.lit(""), *[F.regexp_extract(text, pattern.java, i) for i in idx]),
-    )
-    return F.when(F.contains(text, F.lit(_SEP)), one_by_one).otherwise(F.split(rewritten, _SEP, -1))
+
+    def parts(sep: Column, groups: list[Column]) -> Column:
+        return F.split(F.regexp_replace(text, F.lit(pattern.whole), F.concat(*groups)), sep, -1)
+
+    plain = F.split(F.regexp_replace(text, F.lit(pattern.whole), F.lit("".join(f"{_SEP}${i}" for i in idx))), _SEP, -1)
+    own = F.concat(F.lit(_SEP), F.sha2(text, 256), F.lit(_SEP))
+    rare = parts(own, [c for i in idx for c in (own, F.lit(f"${i}"))])
+    return F.when(F.contains(text, F.lit(_SEP)), rare).otherwise(plain)
 
 
 def matched(captured: str, pattern: Pattern) -> Column:

@@ -197,3 +197,40 @@ _SCRAPED = "select concat('agent-', user_id) as agent_id, event_type as componen
 def counter_deltas(spark, sf):
     out = m.counter_deltas(run_sql(spark, sf, _SCRAPED), ["agent_id", "component"], "seq", span=50_000)
     return out.withColumn("reset", F.col("reset").cast("int"))
+
+
+# Every agent runs one pipeline over three receivers and two exporters.
+_AGENTS = "select distinct concat('agent-', user_id) as agent_id from {events}"
+_ONE = f"select agent_id, 'logs/all' as pipeline, {{pack}}('syslog/r0', 'syslog/r1', 'syslog/r2') as receivers, {{pack}}('hec/x0', 'hec/x1') as exporters from ({_AGENTS})"
+
+
+def _one(pack: str) -> str:
+    return _ONE.replace("{pack}", pack)
+
+
+def _by_agent(family: str, label: str) -> str:
+    return f"select scrape_id as agent_id, id, n from ({_sum(family, label)})"
+
+
+_ATTRIBUTED = attribution_sql(_one("list_value"), _by_agent(m.ACCEPTED, "receiver"), _by_agent(m.SENT, "exporter"), _by_agent(m.FAILED, "exporter"))
+_IDS = "select agent_id, unnest({column}) as id from ({routes})"
+
+
+@query(f"""select agent_id, 'receivers' as section, id as component, 'events_in' as field, coalesce(n, 0)::bigint as value
+        from ({_IDS.format(column='receivers', routes=_one('list_value'))}) left join ({_by_agent(m.ACCEPTED, 'receiver')}) using (agent_id, id)
+    union all select agent_id, 'pipelines', pipeline, unnest(['events_in', 'events_out', 'events_dropped']), unnest([events_in, events_out, events_dropped]) from ({_ATTRIBUTED})
+    union all select agent_id, 'exporters', id, unnest(['events_in', 'batches_sent', 'batches_failed']), unnest([coalesce(s.n, 0) + coalesce(f.n, 0), coalesce(s.n, 0), coalesce(f.n, 0)])
+        from ({_IDS.format(column='exporters', routes=_one('list_value'))}) left join ({_by_agent(m.SENT, 'exporter')}) s using (agent_id, id)
+        left join ({_by_agent(m.FAILED, 'exporter')}) f using (agent_id, id)""")
+def status_snapshot(spark, sf):
+    """All counters of every agent's scrape in one long table."""
+    routes = run_sql(spark, sf, _one("array"))
+    ids = lambda column: routes.select("agent_id", F.explode(column).alias("id"))
+    found = samples(spark, sf).withColumnRenamed("scrape_id", "agent_id")
+    return m.snapshot(found, routes, ids("receivers"), ids("exporters"))
+
+
+@query("""select event_id as seq, epoch(date_trunc('second', ts))::bigint - epoch(date_trunc('day', ts))::bigint as uptime_seconds from {events}""")
+def uptimes(spark, sf):
+    moments = run_sql(spark, sf, "select event_id as seq, cast(ts as timestamp) as now, cast(date_trunc('DAY', ts) as timestamp) as started from {events}")
+    return moments.select("seq", m.uptime_seconds(F.col("started"), F.col("now")).alias("uptime_seconds"))
