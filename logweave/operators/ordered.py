@@ -37,16 +37,23 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, values: Sequen
     inside = Window.partitionBy(*keys, "_chunk").orderBy(by)
     whole = Window.partitionBy(*keys, "_chunk").orderBy(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # The struct itself is never NULL, so NULL means first row of the chunk.
-    # Both branches read one shuffle.
     base = df.withColumn("_chunk", _chunk(order, span)).withColumns({
         "_prev": F.lag(value).over(inside),
         "_tail": F.last(value).over(whole),
     })
-    across = Window.partitionBy(*keys).orderBy(chunk_by)
-    heads = base.filter("_prev is null").withColumn("_prev", F.lag("_tail").over(across))
-    rows = base.filter("_prev is not null").unionByName(heads)
-    if keep is not None:
-        rows = rows.filter(keep(F.col("_prev")))
+    head = F.col("_prev").isNull()
+    if keep is None:
+        # Both branches read one shuffle; only first rows are shuffled again.
+        across = Window.partitionBy(*keys).orderBy(chunk_by)
+        heads = base.filter(head).withColumn("_prev", F.lag("_tail").over(across))
+        rows = base.filter(~head).unionByName(heads)
+    else:
+        # Few rows are kept: one pass over all, then another shuffle of those.
+        # First rows meet under the key, the others stay with their chunk.
+        kept = base.filter(head | keep(F.col("_prev"))).withColumn("_at", F.when(~head, F.col("_chunk")))
+        across = Window.partitionBy(*keys, "_at").orderBy(chunk_by)
+        rows = kept.withColumn("_prev", F.when(head, F.lag("_tail").over(across)).otherwise(F.col("_prev")))
+        rows = rows.filter(keep(F.col("_prev"))).drop("_at")
     return rows.drop("_chunk", "_tail")
 
 

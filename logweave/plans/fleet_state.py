@@ -30,7 +30,10 @@ MESSAGES = f"""select concat('agent-', user_id) as agent_id, event_id as seq, {{
     case when event_type = 'purchase' then case event_id % 3 when 0 then 'InstallFailed' else 'Installed' end end as package_status,
     case when event_type = 'purchase' then concat('exec failed ', event_id) end as package_error
     from {{{{events}}}}"""
-_US = {"spark": "timestamp_micros(timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts))", "duck": "ts"}
+# The tables' clock is UTC without a zone; read it as such in any session zone.
+_MICROS = """(datediff(ts, date'1970-01-01') * 86400000000 + (hour(ts) * 3600 + minute(ts) * 60 + second(ts)) * 1000000L
+    + cast(date_format(ts, 'SSSSSS') as bigint))"""
+_US = {"spark": f"timestamp_micros({_MICROS})", "duck": "ts"}
 SPARK_MESSAGES = MESSAGES.format(ts=_US["spark"])
 DUCK = MESSAGES.format(ts=_US["duck"])
 

@@ -129,7 +129,7 @@ DELIVERIES = """select concat('hec/c', o_custkey % 50) as exporter, o_orderkey a
     epoch(max_by("at", seq) filter (kind = 'failure'))::bigint as last_error_at from ({DELIVERIES}) group by 1""")
 def delivery_counters(spark, sf):
     out = m.delivery_counters(run_sql(spark, sf, DELIVERIES))
-    return out.withColumn("last_error_at", F.unix_seconds(F.col("last_error_at").cast("timestamp")))
+    return out.withColumn("last_error_at", F.datediff("last_error_at", F.lit("1970-01-01").cast("date")).cast("bigint") * 86400)
 
 
 OUTCOMES = """select concat('logs/p', user_id % 40) as pipeline, concat('syslog/u', user_id) as receiver,

@@ -62,7 +62,8 @@ def main() -> int:
         i = args.index("--sf")
         sf = args[i + 1]
         del args[i:i + 2]
-    spark = session.build(master="local[8]", shuffle_partitions=8, **{"spark.driver.memory": "12g"})
+    zone = {"spark.sql.session.timeZone": os.environ.get("CHECK_ZONE", "UTC")}
+    spark = session.build(master="local[8]", shuffle_partitions=8, **{"spark.driver.memory": "12g"}, **zone)
     spark.sparkContext.setLogLevel("OFF")
     con = connect(sf)
     jobs, oracles = entry.queries(), entry.oracle_sql()
