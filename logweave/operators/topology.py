@@ -33,13 +33,14 @@ def node_flow(nodes: DataFrame, counters: DataFrame, by: Sequence[str] = ("agent
             .withColumn("flow", F.coalesce("flow", F.lit(0).cast("bigint"))))
 
 
-def edge_flow(edges: DataFrame, flows: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
+def edge_flow(edges: DataFrame, flows: DataFrame, by: Sequence[str] = ("agent_id",), nodes: DataFrame | None = None) -> DataFrame:
     """Edges between existing nodes with the flow of their source node:
     a receiver's on the way in, a pipeline's on the way out. ``flows`` comes
-    from ``node_flow``."""
+    from ``node_flow``; give ``nodes`` too, so that the check of the target end
+    does not compute the flows again."""
     source = flows.select(*by, F.col("id").alias("from"), F.when(F.col("type") == "receiver", "in").when(
         F.col("type") == "pipeline", "out").alias("kind"), "flow").filter("kind is not null")
-    target = flows.select(*by, F.col("id").alias("to"), F.when(F.col("type") == "pipeline", "in").when(
+    target = (flows if nodes is None else nodes).select(*by, F.col("id").alias("to"), F.when(F.col("type") == "pipeline", "in").when(
         F.col("type") == "exporter", "out").alias("kind")).filter("kind is not null")
     return edges.join(source, [*by, "from", "kind"]).join(target, [*by, "to", "kind"], "left_semi")
 

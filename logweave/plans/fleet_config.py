@@ -240,13 +240,15 @@ _EDGES = f"""select agent_id, unnest(receivers) as "from", pipeline as "to", 'in
 
 
 def _flows(spark, sf):
+    """Nodes, nodes with flow, and edges."""
     components, routes = c.explode_config(docs(spark, sf))
-    return t.node_flow(t.topology_nodes(components, routes), _flow_counters(spark, sf)), t.topology_edges(routes)
+    nodes = t.topology_nodes(components, routes)
+    return nodes, t.node_flow(nodes, _flow_counters(spark, sf)), t.topology_edges(routes)
 
 
 @query(f"select agent_id, id, type, flow from ({_FLOWS})")
 def topology_nodes(spark, sf):
-    return _flows(spark, sf)[0]
+    return _flows(spark, sf)[1]
 
 
 @query(_EDGES)
@@ -266,27 +268,27 @@ def _percent(flow: str) -> str:
 
 @query(f"select e.*, {_percent('flow')} as percent from ({_EDGE_FLOW}) e join ({_TOTAL}) using (agent_id)")
 def edge_flow_percent(spark, sf):
-    nodes, edges = _flows(spark, sf)
-    return t.flow_percent(t.edge_flow(edges, nodes), nodes)
+    nodes, flows, edges = _flows(spark, sf)
+    return t.flow_percent(t.edge_flow(edges, flows, nodes=nodes), flows)
 
 
 @query(f"""select agent_id, id, type, flow, {_percent('flow')} as percent, row_number() over (partition by agent_id, type order by flow desc, id) as rank
     from ({_FLOWS}) join ({_TOTAL}) using (agent_id)""")
 def ranked_nodes(spark, sf):
-    nodes, _ = _flows(spark, sf)
-    return t.rank_nodes(t.flow_percent(nodes, nodes), locale_order=False)
+    _, flows, _ = _flows(spark, sf)
+    return t.rank_nodes(t.flow_percent(flows, flows), locale_order=False)
 
 
 @query(f"select f.* from ({_FLOWS}) f where agent_id in (select concat('agent-', c_custkey) from {{customer}} where c_acctbal > 9000)")
 def compared_agents(spark, sf):
-    nodes, _ = _flows(spark, sf)
+    _, flows, _ = _flows(spark, sf)
     chosen = run_sql(spark, sf, "select concat('agent-', c_custkey) as agent_id from {customer} where c_acctbal > 9000")
-    return t.compare_topology(nodes, chosen)
+    return t.compare_topology(flows, chosen)
 
 
 @query(f"""select agent_id, "from", "to", flow, coalesce(sum(flow) over (partition by agent_id, "to" order by kind, "from", n rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
     from (select *, row_number() over (partition by agent_id, "from", "to" order by flow) as n from ({_EDGE_FLOW}))""")
 def inbound_offsets(spark, sf):
-    nodes, edges = _flows(spark, sf)
-    flows = t.edge_flow(edges, nodes).withColumn("edge_no", F.struct("kind", "from"))
-    return t.inbound_offsets(flows, "edge_no").select("agent_id", "from", "to", "flow", "offset")
+    nodes, flows, edges = _flows(spark, sf)
+    links = t.edge_flow(edges, flows, nodes=nodes).withColumn("edge_no", F.struct("kind", "from"))
+    return t.inbound_offsets(links, "edge_no").select("agent_id", "from", "to", "flow", "offset")
