@@ -62,16 +62,19 @@ def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[in
         first = last
 
 
-def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words in ``data``, and the first word of each document.
 
-    ``first`` has one entry more than there are documents.
+    ``first`` has one entry more than there are documents; ``cuts`` marks bytes
+    at which a new word starts in any case.
     """
     n = len(data)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(offs), np.int64)
     w = is_word[data]
     border = np.zeros(n + 1, bool)
+    if cuts is not None:
+        border[:n] = cuts
     border[offs] = True
     start, end = w.copy(), w.copy()
     start[1:] &= ~w[:-1] | border[1:n]
@@ -129,3 +132,25 @@ def list_column(values: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     np.cumsum([len(v) for v in values], out=offs[1:])
     flat = np.concatenate(values) if values else np.empty(0)
     return pa.ListArray.from_arrays(pa.array(offs), pa.array(flat, kind))
+
+
+class Cache(dict):
+    """Results by key, in two generations: once ``size`` are held, those not
+    asked for until as many new ones have come are forgotten."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.before = size, {}
+
+    def missing(self, keys: set) -> list:
+        """The keys without a result; the others are present from now on."""
+        if len(self) > self.size:
+            self.before = dict(self)
+            self.clear()
+        out = []
+        for key in keys.difference(self):
+            if (value := self.before.get(key)) is None:
+                out.append(key)
+            else:
+                self[key] = value
+        return out

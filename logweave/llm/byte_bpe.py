@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .arrays import Cache
+
 CACHE_PIECES = 250_000
 SHORT = 128
 _NONE = np.int64(1) << 62
@@ -37,7 +39,7 @@ class Ranks:
         for t, r in self.ids.items():
             self.tokens[r] = t
         self.split = regex.compile(pattern)
-        self.cache: dict[str, bytes] = {}
+        self.cache = Cache(CACHE_PIECES)
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left << 32 | right
@@ -139,7 +141,7 @@ class Ranks:
         ends = 4 * np.cumsum(live.sum(1))
         return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
-    def learn(self, pieces: set[str]) -> None:
+    def learn(self, pieces: list[str]) -> None:
         """Put the tokens of new pieces into the cache."""
         short = []
         for piece in pieces:
@@ -154,13 +156,11 @@ class Ranks:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The tokens of each text as little-endian 32-bit integers."""
-        if len(self.cache) > CACHE_PIECES:
-            self.cache.clear()
         parts = [self.split.findall(t) for t in texts]
         new: set[str] = set()
         for p in parts:
             new.update(p)
-        self.learn(new.difference(self.cache))
+        self.learn(self.cache.missing(new))
         get = self.cache.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 

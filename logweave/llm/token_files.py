@@ -12,8 +12,8 @@ without touching the ids.
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,22 +22,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .byte_bpe import text_slices
+from .arrays import LOWER, Cache, byte_class, text_groups, word_hashes, words
 
-CACHE_CHUNKS = 400_000
+CACHE_WORDS = 400_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
 
-#: Between a small letter and one of these signs the tokenizer starts a new word.
-_CUT = re.compile(rb"(?<=[a-z])(?=[.,!?;:])")
+BLANKS = byte_class((0x09, 0x0D), (0x20, 0x20))
+_SMALL, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_SMALL[97:123] = True
+_SIGN[[ord(c) for c in ".,!?;:"]] = True
 
 
-class ChunkEncoder:
-    """Ids from the tokenizers library, each distinct stretch without white space encoded once.
+class WordEncoder:
+    """Ids from the tokenizers library, each distinct word of a group of texts looked up once.
 
     Holds for tokenizers that drop white space and lower the case, as
-    ``word_bpe_49k.json`` does: the ids of a text are those of its stretches.
+    ``word_bpe_49k.json`` does: the ids of a text are those of its stretches
+    without white space, and the tokenizer starts a new word at a sign that
+    follows a letter. Words the cache lacks go through the library.
     """
 
     def __init__(self, path: str):
@@ -45,32 +49,51 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit integers."""
-        if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        parts = [(t if b"<|" in t else _CUT.sub(b" ", t.lower())).split() for t in texts]
-        new: set[bytes] = set()
-        for p in parts:
-            new.update(p)
-        fresh = list(new.difference(self.cache))
+        self.cache = Cache(CACHE_WORDS)
+
+    def lookup(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words as little-endian 32-bit integers."""
+        fresh = self.cache.missing(set(words))
         for at in range(0, len(fresh), 20_000):
             some = fresh[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in some], add_special_tokens=False)
-            self.cache.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(some, found))
-        get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-_loaded: dict[str, ChunkEncoder] = {}
-
-
-def encoder(path: str) -> ChunkEncoder:
+            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            self.cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found))
+        return [self.cache[w] for w in words]
+
+    def encode(self, column: pa.Array, closing: bytes = b"") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Row ranges of a text column: (first, last, ids in each text, all ids).
+
+        ``closing`` is put at the end of each text.
+        """
+        for first_row, last_row, data, offs in text_groups(column):
+            cuts = None
+            if b"<|" not in data.tobytes():  # else a stretch may hold a special token, which has its own case
+                data = LOWER[data]
+                letter = _SMALL[data]
+                letter[1:] |= (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+                cuts = np.zeros(len(data), bool)
+                cuts[1:] = letter[:-1] & _SIGN[data[1:]]
+            starts, ends, first = words(data, offs, BLANKS, cuts)
+            _, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            codes = self.lookup([data[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
+            which = np.insert(which, first[1:], len(codes))
+            codes.append(closing)
+            sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
+            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            counts = sizes[which]
+            sums = np.concatenate([[0], np.cumsum(counts)])
+            flat = np.frombuffer(b"".join(codes), "<i4")
+            ids = flat[np.repeat(begin[which] - sums[:-1], counts) + np.arange(sums[-1])]
+            yield first_row, last_row, np.diff(sums[first + np.arange(len(first))]), ids
+
+
+_loaded: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
     """The tokenizer, read once per Python process."""
     if path not in _loaded:
-        _loaded[path] = ChunkEncoder(path)
+        _loaded[path] = WordEncoder(path)
     return _loaded[path]
 
 
@@ -90,14 +113,11 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end: int | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part, offset = encoder(tokenizer), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first, last in text_slices(batch, 1):
-                some = batch.slice(first, last - first)
-                codes = [c + closing for c in own.encode(some.column(1).cast(pa.large_binary()).to_pylist())]
-                sizes = np.array([len(c) // 4 for c in codes], np.int64)
+            for first, last, sizes, flat in own.encode(batch.column(1), closing):
                 ends = np.cumsum(sizes)
-                ids = pa.ListArray.from_arrays(pa.array(np.append([0], ends).astype(np.int32)), pa.array(np.frombuffer(b"".join(codes), "<i4")))
+                ids = pa.ListArray.from_arrays(pa.array(np.append([0], ends).astype(np.int32)), pa.array(flat))
                 yield pa.record_batch(
-                    [pa.array(np.full(len(sizes), part, np.int32)), some.column(0), pa.array(offset + ends - sizes), pa.array(sizes), ids],
+                    [pa.array(np.full(len(sizes), part, np.int32)), batch.column(0).slice(first, last - first), pa.array(offset + ends - sizes), pa.array(sizes), ids],
                     ["part", "doc_id", "offset", "n_tokens", "ids"])
                 offset += int(ends[-1])
 
