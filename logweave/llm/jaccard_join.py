@@ -412,6 +412,7 @@ def similar_documents(docs: DataFrame, words_each: int = 5, num: int = 4, den: i
     reps = sets.where("h is not null and doc is not null").groupBy("h", "g").agg(F.min("doc").alias("rep"), F.max("n").alias("n"))
     members = stored(reps.join(groups, F.col("h") == F.col("node")).select(F.col("label").alias("comp"), "rep", "n", "h", "g"), folder)
     sizes = members.groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.min("rep").alias("pivot")).where("docs > 1")
+    sizes = stored(sizes, folder)
     chunks = F.greatest(F.ceil(F.col("docs") / CHUNK_DOCS), F.ceil(F.col("tokens") / CHUNK_TOKENS)).cast("int")
     members = members.join(sizes.select("comp", "pivot", chunks.alias("chunks")), "comp").withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
     members = stored(members, folder)
@@ -437,11 +438,13 @@ def similar_documents(docs: DataFrame, words_each: int = 5, num: int = 4, den: i
             .select("comp", "cut", "chunk", "side", "label", "h", "g", "text").mapInArrow(_rest_links(words_each, num, den), "a long, b long")
         labels = stored(components(links.unionAll(more)), folder)
 
-    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h", "g", F.coalesce("label", "rep").alias("label"))
+    # Stored, so that the join on a set that a third of the rows have is of two plain shuffles, which can be split.
+    named = stored(reps.join(labels, F.col("rep") == F.col("node"), "left").select("h", "g", F.coalesce("label", "rep").alias("label")), folder)
     return sets.join(named, ["h", "g"], "left").select(
         F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("label", "doc")).alias("component_id"))
 
 
 def _with_text(members: DataFrame, full: DataFrame) -> DataFrame:
-    """The texts of the representatives."""
-    return members.join(full.withColumnRenamed("doc", "rep"), "rep")
+    """The texts of the representatives. They are merged by id at every size:
+    how many documents have a candidate grows with the input."""
+    return members.join(full.withColumnRenamed("doc", "rep").hint("merge"), "rep")

@@ -50,16 +50,17 @@ def components(edges: DataFrame) -> DataFrame:
     label is the smallest node that can be reached. Nodes without edges have no row.
 
     Alternating large-star and small-star steps; each is a grouped minimum, which
-    is combined before the shuffle, and a join back that adaptive execution splits
-    when one node has many neighbours. Every round is stored.
+    is combined before the shuffle, and a join back. The minima are stored first,
+    so that both sides of the join are plain shuffles, which adaptive execution
+    splits when one node has many neighbours. Every round is stored.
     """
     folder = shared_dir(edges.sparkSession)
     now = stored(_oriented(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), folder)
     while True:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        low = stored(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), folder)
         large = stored(_oriented(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), folder)
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = stored(large.groupBy("u").agg(F.min("v").alias("m")), folder)
         moved = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = stored(_oriented(moved.unionAll(low.select("u", F.col("m").alias("v")))), folder)
         several = now.groupBy("u").count().where("count > 1").limit(1)
