@@ -13,7 +13,8 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-GROUP_BYTES = 4 << 20
+GROUP_BYTES = 2 << 20
+_ROWS = 1000
 _SEGMENT = 1 << 20
 _STEP = U64(0x9E3779B97F4A7C15)
 _rng = np.random.Generator(np.random.PCG64(7))
@@ -48,18 +49,17 @@ def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[in
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string()).fill_null("")
-    n = len(column)
-    if not n:
-        return
-    _, offsets, data = column.buffers()
-    offs = np.frombuffer(offsets, np.int64)[column.offset:column.offset + n + 1]
-    raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
-    first = 0
-    while first < n:
-        last = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
-        yield first, last, raw[offs[first]:offs[last]], offs[first:last + 1] - offs[first]
-        first = last
+    for at in range(0, len(column), _ROWS):
+        part = column.slice(at, _ROWS).cast(pa.large_string()).fill_null("")
+        n = len(part)
+        _, offsets, data = part.buffers()
+        offs = np.frombuffer(offsets, np.int64)[part.offset:part.offset + n + 1]
+        raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
+        first = 0
+        while first < n:
+            last = max(first + 1, int(np.searchsorted(offs, offs[first] + limit, "right")) - 1)
+            yield at + first, at + last, raw[offs[first]:offs[last]], offs[first:last + 1] - offs[first]
+            first = last
 
 
 def words(data: np.ndarray, offs: np.ndarray, is_word: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

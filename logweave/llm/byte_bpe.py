@@ -9,7 +9,9 @@ of a batch share one set of array operations, one tree each.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .arrays import Cache
 
-CACHE_PIECES = 250_000
+CACHE_PIECES = 80_000
 SHORT = 128
 _NONE = np.int64(1) << 62
 
@@ -31,9 +33,6 @@ class Ranks:
         self.path, self.pattern = path, pattern
         with open(path, "rb") as f:
             self.ids = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        pairs = sorted({(self.ids[t[:i]] << 32 | self.ids[t[i:]], r) for t, r in self.ids.items() for i in range(1, len(t)) if t[:i] in self.ids and t[i:] in self.ids})
-        self.pair = dict(pairs)
-        self.pair_keys, self.pair_ranks = (np.array(x, np.int64) for x in zip(*pairs))
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         self.tokens: list[bytes | None] = [None] * (max(self.ids.values()) + 1)
         for t, r in self.ids.items():
@@ -41,10 +40,24 @@ class Ranks:
         self.split = regex.compile(pattern)
         self.cache = Cache(CACHE_PIECES)
 
+    @cached_property
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted pairs of tokens that are a token together, and its rank."""
+        keys, found = array("q"), array("q")
+        for token, rank in self.ids.items():
+            for i in range(1, len(token)):
+                if (a := self.ids.get(token[:i])) is not None and (b := self.ids.get(token[i:])) is not None:
+                    keys.append(a << 32 | b)
+                    found.append(rank)
+        keys, found = np.array(keys), np.array(found)
+        order = np.argsort(keys)
+        return keys[order], found[order]
+
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, found = self.pairs
         key = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE >> 24)
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, found[at], _NONE >> 24)
 
     def merge(self, piece: bytes) -> list[int]:
         """The tokens of one piece."""
@@ -55,13 +68,13 @@ class Ranks:
         worst = (1 << 40, size)
         tree = [worst] * (2 * size)
         for i in range(n - 1):
-            if (r := self.pair.get(ids[i] << 32 | ids[i + 1])) is not None:
+            if (r := self.ids.get(self.tokens[ids[i]] + self.tokens[ids[i + 1]])) is not None:
                 tree[size + i] = (r, i)
         for node in range(size - 1, 0, -1):
             tree[node] = min(tree[2 * node], tree[2 * node + 1])
 
         def put(i: int) -> None:
-            r = self.pair.get(ids[i] << 32 | ids[after[i]]) if ids[i] >= 0 and after[i] < n else None
+            r = self.ids.get(self.tokens[ids[i]] + self.tokens[ids[after[i]]]) if ids[i] >= 0 and after[i] < n else None
             node = size + i
             tree[node] = worst if r is None else (r, i)
             while node > 1:
@@ -226,8 +239,10 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = ranks(path, pattern).tokens.__getitem__
         for batch in batches:
-            out = [None if not x.is_valid else b"".join(map(get, x.values.to_numpy(zero_copy_only=False).tolist())) for x in batch.column(at)]
-            yield pa.record_batch([*batch.columns, pa.array(out, pa.binary())], [*rest, "decoded"])
+            for first in range(0, batch.num_rows, 500):
+                part = batch.slice(first, 500)
+                out = [None if not x.is_valid else b"".join(map(get, x.values.to_numpy(zero_copy_only=False).tolist())) for x in part.column(at)]
+                yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*rest, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
     return source.mapInArrow(run, f"{kinds}, decoded binary")

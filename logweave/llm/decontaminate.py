@@ -54,11 +54,16 @@ class Items:
 
     def __init__(self, ids: list[str], texts: list[str], window: int = WINDOW, k: int = GRAM):
         self.ids, self.window, self.k = ids, window, k
-        data, starts, ends, first, hashes = next(_hashed(pa.array(texts, pa.string()), 1 << 62), (None,) * 5)
+        parts = list(_hashed(pa.array(texts, pa.string())))
+        sizes = np.cumsum([0, *(len(p[0]) for p in parts)])
+        data, starts, ends, hashes = (np.concatenate([np.empty(0, kind), *(p[i] + shift for p, shift in zip(parts, sizes.tolist() if i in (1, 2) else [kind(0)] * len(parts)))])
+                                      for i, kind in ((0, np.uint8), (1, np.int64), (2, np.int64), (4, np.uint64)))
+        counts = np.concatenate([np.empty(0, np.int64), *(np.diff(p[3]) for p in parts)])
+        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         found: dict[int, dict[bytes, set[int]]] = {}
         self.marks: dict[int, np.ndarray] = {}
         own: dict[int, list[int]] = {}
-        for item in range(len(texts) if first is not None else 0):
+        for item in range(len(texts)):
             n = int(first[item + 1] - first[item])
             size = min(n, window)
             for at in range(first[item], first[item + 1] - size + 1 if n else first[item]):
@@ -98,8 +103,8 @@ def _member(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[at] == values
 
 
-def _hashed(column: pa.Array, limit: int | None = None):
-    for _, _, data, offs in text_groups(column, *([limit] if limit else [])):
+def _hashed(column: pa.Array):
+    for _, _, data, offs in text_groups(column):
         data = LOWER[data]
         starts, ends, first = words(data, offs, WORD)
         yield data, starts, ends, first, word_hashes(data, starts, ends)

@@ -33,7 +33,7 @@ from .tables import components, shared_dir, stored
 
 WORD = byte_class((0x09, 0x0D), (0x20, 0x20))
 CLASS_RATIO = 1.4
-FLUSH = 2_000_000
+FLUSH = 500_000
 CHUNK_DOCS, CHUNK_TOKENS = 1500, 1_000_000
 LEAF, FAN, BITS = 32, 8, 1024
 #: Documents in which common shingles are counted: those whose hash falls into this share.
