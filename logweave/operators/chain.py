@@ -79,7 +79,7 @@ def kv_parts(text: Column, delimiter: str = "=", pair_delimiter: str | None = No
     """
     if pair_delimiter:
         stop = re.escape(pair_delimiter)
-        token = rf'((?:[^"{stop}]+|"[^"]*"?)+)' if len(pair_delimiter) == 1 else None
+        token = rf'((?:[^"{stop}]++|"[^"]*+"?+)++)' if len(pair_delimiter) == 1 else None
         tokens = F.regexp_extract_all(text, F.lit(token), F.lit(1)) if token else F.split(text, stop, -1)
         tokens = F.filter(F.transform(tokens, lambda t: F.trim(t)), lambda t: t != "")
         at = lambda t: F.instr(t, F.lit(delimiter))
@@ -87,8 +87,9 @@ def kv_parts(text: Column, delimiter: str = "=", pair_delimiter: str | None = No
         values = F.transform(tokens, lambda t: F.trim(F.substring(t, at(t) + F.lit(len(delimiter)), F.length(t))))
     else:
         # Each match is one whole token: a pair, or else anything up to a blank.
+        # Possessive repeats, so that Java takes a token of any length in a loop.
         d = re.escape(delimiter)
-        rest = rf'[^"{_BLANK}]*(?:"[^"]*"?[^"{_BLANK}]*)*'
+        rest = rf'[^"{_BLANK}]*+(?:"[^"]*+"?+[^"{_BLANK}]*+)*+'
         pair = rf'(?!{d})([^"{_BLANK}]+?){d}({rest})|(?=[^{_BLANK}]){rest}'
         keys = F.regexp_extract_all(text, F.lit(pair), F.lit(1))
         values = F.regexp_extract_all(text, F.lit(pair), F.lit(2))

@@ -40,15 +40,17 @@ def inventory(messages: DataFrame, asof: Column | None = None, actions: DataFram
 
     ``actions`` (``agent_id, seq, ts``) create a row for an agent that has not
     reported yet but do not move ``last_seen`` of one that has. ``deletes``
-    (``agent_id, seq``) forget everything up to them. ``asof`` cuts the log.
+    (``agent_id, seq``, with ``asof`` also ``ts``) forget everything up to them.
+    ``asof`` cuts all of the logs.
     """
     rows = messages.withColumn("_from_agent", F.lit(True))
     if actions is not None:
         rows = rows.unionByName(actions.select("agent_id", "seq", "ts", F.lit(False).alias("_from_agent")), allowMissingColumns=True)
-    if deletes is not None:
-        rows = current_incarnation(rows, deletes)
     if asof is not None:
         rows = rows.filter(F.col("ts") <= asof)
+        deletes = deletes if deletes is None else deletes.filter(F.col("ts") <= asof)
+    if deletes is not None:
+        rows = current_incarnation(rows, deletes)
     always = F.col("_from_agent")
     has = lambda name: F.col(name).isNotNull()
     state = latest(rows, ["agent_id"], "seq", {

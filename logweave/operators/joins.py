@@ -35,7 +35,8 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str
         return fact.join(F.broadcast(dim), list(on), how)
     if fact.isStreaming:
         return fact.join(dim, list(on), how)
-    salt = F.pmod(F.xxhash64(*fact.columns), F.lit(salts)).cast("int") if _hashable(fact) else F.floor(F.rand(7) * salts).cast("int")
+    own = fact.columns if _hashable(fact) else [F.to_json(F.struct(*fact.columns))]
+    salt = F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")
     copies = dim.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return fact.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
 
@@ -50,6 +51,6 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _hashable(df: DataFrame) -> bool:
-    """Spark hashes every type but maps (and variants); a salt from the row's
-    own values stays the same when a lost task is run again."""
+    """Spark hashes every type but maps (and variants), which go in as JSON: a
+    salt from the row's own values stays the same when a lost task is run again."""
     return not any(word in t for _, t in df.dtypes for word in ("map<", "variant"))

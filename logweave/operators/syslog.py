@@ -8,6 +8,8 @@ severity unspecified, and ``syslog_mismatch_report`` counts it.
 
 from __future__ import annotations
 
+import dataclasses
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,17 @@ PATTERNS = {
 }
 MAX_PRIORITY = 191
 
-_SD_ELEMENT = r'(\[[^ \t\n\f\r="\]]+(?: [^ \t\n\f\r="\]]+="[^"\\]*(?:\\.[^"\\]*)*")*\])'
-_SD_PARAM = r' ([^ \t\n\f\r="\]]+)="([^"\\]*(?:\\.[^"\\]*)*)"'
+# Java walks a repeated group by recursion unless the repeat is possessive. The
+# alternatives cannot overlap here, so that matches the same text in a loop.
+_SD_ELEMENT = r'(\[[^ \t\n\f\r="\]]+(?: [^ \t\n\f\r="\]]+="[^"\\]*+(?:\\.[^"\\]*+)*+")*+\])'
+_SD_PARAM = r' ([^ \t\n\f\r="\]]+)="([^"\\]*+(?:\\.[^"\\]*+)*+)"'
+_REPEATS = r'[^"\\]*(?:\\.[^"\\]*)*")*\])+)', r'[^"\\]*+(?:\\.[^"\\]*+)*+")*+\])++)'
+
+
+def header(protocol: str) -> regex.Pattern:
+    """The grammar of a header, in a form that takes structured data of any length."""
+    found = regex.named(PATTERNS[protocol])
+    return dataclasses.replace(found, java=found.java.replace(*_REPEATS), whole=found.whole.replace(*_REPEATS))
 
 
 def structured_data(text: Column) -> Column:
@@ -62,7 +73,7 @@ def envelope(chain: Chain, protocol: str, year: int | None = None, reference: Co
     parts, NULL where there is no valid header."""
     if protocol not in PATTERNS:
         raise ValueError(f"protocol must be one of {sorted(PATTERNS)}, not {protocol!r}")
-    pattern = regex.named(PATTERNS[protocol])
+    pattern = header(protocol)
     raw = chain.once("env", regex.capture(F.col("body"), pattern))
     # NULL unless the header and its priority are valid, and so are its parts.
     valid = regex.group(raw, pattern, "pri").cast("int") <= MAX_PRIORITY
@@ -109,7 +120,7 @@ def syslog_mismatch_report(df: DataFrame, protocol: str = "rfc3164", by: str = "
     other = "rfc5424" if protocol == "rfc3164" else "rfc3164"
 
     def fits(name: str) -> Column:
-        pattern = regex.translate(PATTERNS[name])
+        pattern = header(name)
         pri = F.regexp_extract("body", r"^<(\d{1,3})>", 1).try_cast("int")
         return F.coalesce(F.col("body").rlike(pattern.java) & (pri <= MAX_PRIORITY), F.lit(False))
 

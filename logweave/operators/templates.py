@@ -15,6 +15,7 @@ from ..functions import maps, regex, severity
 from . import chain as ops
 from .chain import Chain, computed_once, kv_map, kv_ok, kv_parts
 from .syslog import MAX_PRIORITY, PATTERNS, envelope, rfc3164_time, structured_data
+from .syslog import header as syslog_header
 
 # The line grammar of each source (RE2 syntax).
 LINE_PATTERNS = {
@@ -164,7 +165,7 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     df = df if "ts" in df.columns else df.withColumn("ts", F.lit(None).cast("timestamp"))
 
     # 1. header
-    heads = {p: regex.named(PATTERNS[p]) for p in PATTERNS}
+    heads = {p: syslog_header(p) for p in PATTERNS}
     by_head = {p: [t.key for t in TEMPLATES.values() if t.envelope == p] for p in heads}
     head = no_groups
     for p, keys in by_head.items():

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 
 # Punctuation that stays as it is in a file URI.
@@ -57,18 +58,25 @@ def _any(path: Column, globs: Sequence[str]) -> Column:
 
 def read_log_files(spark: SparkSession, include: Sequence[str], exclude: Sequence[str] = (), start_at: str = "end",
                    stream: bool = False, started: datetime | None = None, files_per_trigger: int | None = None,
-                   receiver: str = "file_log") -> DataFrame:
+                   receiver: str = "file_log", checkpoint: str | None = None) -> DataFrame:
     """Lines of files that match ``include`` but not ``exclude``.
 
     ``start_at='end'`` (the default) reads only files changed since ``started``
-    (now, if not given); ``'beginning'`` reads all. A file that matches several
-    patterns is read once. Columns: ``receiver, file_path, body``.
+    (now, if not given); ``'beginning'`` reads all. With ``checkpoint`` the start
+    is kept in a folder beside it, so that a stream that resumes reads what has
+    arrived meanwhile; a stream from the end needs that folder or ``started``. A
+    file that matches several patterns is read once; a pattern that matches
+    nothing adds no lines. Columns: ``receiver, file_path, body``.
     """
     if start_at not in ("beginning", "end"):
         raise ValueError(f"start_at must be beginning or end, not {start_at!r}")
     if not include:
         raise ValueError("include needs at least one pattern")
+    if stream and start_at == "end" and not (checkpoint or started):
+        raise ValueError("a stream from the end needs its checkpoint folder, to resume where it began")
     since = started or datetime.now(timezone.utc)
+    if checkpoint and start_at == "end":
+        since = _kept_start(spark, f"{checkpoint.rstrip('/')}-started", since)
     out = None
     for i, pattern in enumerate(include):
         reader = spark.readStream if stream else spark.read
@@ -76,10 +84,27 @@ def read_log_files(spark: SparkSession, include: Sequence[str], exclude: Sequenc
         if stream and files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
         path = F.col("_metadata.file_path")
-        lines = reader.text(pattern).filter(~_any(path, [*include[:i], *exclude]))
+        try:
+            lines = reader.text(pattern)
+        except AnalysisException as e:
+            if stream or e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            lines = spark.createDataFrame([], "value string, _metadata struct<file_path:string,file_modification_time:timestamp>")
+        lines = lines.filter(~_any(path, [*include[:i], *exclude]))
         if start_at == "end":
             lines = lines.filter(F.col("_metadata.file_modification_time") >= F.lit(since))
         lines = lines.select(F.lit(receiver).alias("receiver"), path.alias("file_path"),
                              F.regexp_replace("value", "\r$", "").alias("body"))
         out = lines if out is None else out.unionByName(lines)
     return out
+
+
+def _kept_start(spark: SparkSession, folder: str, now: datetime) -> datetime:
+    """The start written by the first run; ``now`` is written if there is none."""
+    try:
+        return spark.read.schema("start timestamp").parquet(folder).first()["start"].astimezone(timezone.utc)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spark.createDataFrame([(now,)], "start timestamp").coalesce(1).write.parquet(folder)
+    return now
