@@ -76,15 +76,33 @@ def explode_config(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> tup
     return config_components(configs, by), config_routes(configs, by)
 
 
-def config_leaves(configs: DataFrame, by: Sequence[str] = ("agent_id",), max_depth: int = 12, redact: bool = False) -> DataFrame:
+def depth(configs: DataFrame) -> int:
+    """The deepest nesting of any document: brackets outside of texts, counted
+    in one aggregate."""
+    text = F.to_json("doc")
+    brackets = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^{}\[\]]++", "")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    each = F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step)["most"]
+    return with_variant(configs).agg(F.max(each).alias("n")).first()["n"] or 0
+
+
+def config_leaves(configs: DataFrame, by: Sequence[str] = ("agent_id",), max_depth: int | None = None, redact: bool = False) -> DataFrame:
     """One row per leaf: ``(by…, path, value, is_text)``.
 
     ``path`` is an array of keys and ``[i]`` list positions. Each level is one
-    narrow step, with no shuffle; a document nested deeper than ``max_depth``
-    fails the job rather than lose its leaves. Empty objects and lists are
-    leaves. ``redact`` replaces the whole subtree under a sensitive key.
+    narrow step, with no shuffle; there are as many as the documents are deep,
+    which one aggregate finds out. With ``max_depth`` (a stream needs it) that
+    is left out, and a deeper document fails the job rather than lose its
+    leaves. Empty objects and lists are leaves. ``redact`` replaces the whole
+    subtree under a sensitive key.
     """
     spark = configs.sparkSession
+    max_depth = depth(configs) if max_depth is None else max_depth
     level = with_variant(configs).select(*by, F.array().cast("array<string>").alias("path"), "doc").filter("doc is not null")
     hidden = F.parse_json(F.lit(f'"{REDACTED}"'))
     for _ in range(max_depth):
@@ -105,7 +123,7 @@ def config_leaves(configs: DataFrame, by: Sequence[str] = ("agent_id",), max_dep
         value).alias("value"), is_text.alias("is_text"))
 
 
-def redact(configs: DataFrame, by: Sequence[str] = ("agent_id",), max_depth: int = 12) -> DataFrame:
+def redact(configs: DataFrame, by: Sequence[str] = ("agent_id",), max_depth: int | None = None) -> DataFrame:
     """Leaves with sensitive subtrees replaced, ``${…}`` references included."""
     return config_leaves(configs, by, max_depth, redact=True)
 

@@ -102,6 +102,12 @@ def staleness(inventory_: DataFrame, asof: Column) -> DataFrame:
 
 # --- restarts ---
 
+def with_started_at(messages: DataFrame) -> DataFrame:
+    """Messages whose start time, where it is not given, is that of their snapshot."""
+    given = F.nullif(F.col("started_at"), F.lit("")) if "started_at" in messages.columns else F.lit(None).cast("string")
+    return messages.withColumn("started_at", F.coalesce(given, F.nullif(F.get_json_object("snapshot_json", "$.started_at"), F.lit(""))))
+
+
 def restarts(messages: DataFrame, span: int = CHUNK_ROWS) -> DataFrame:
     """Reports whose start time differs from the report before; an agent's
     first report is its baseline."""
@@ -313,6 +319,33 @@ def snapshot_counters(inventory_: DataFrame) -> DataFrame:
     return components.select("agent_id", "section", "component", F.inline("counters"))
 
 
+def exporter_errors(inventory_: DataFrame) -> DataFrame:
+    """``(agent_id, component, last_error, last_error_at)`` of the exporters whose
+    last snapshot tells an error."""
+    snap = inventory_.filter(F.col("snapshot_json") != "").select("agent_id", F.from_json("snapshot_json", SNAPSHOT).alias("s"))
+    each = snap.select("agent_id", F.explode("s.exporters").alias("component", "_e")).filter("_e.last_error is not null")
+    return each.select("agent_id", "component", F.col("_e.last_error.message").alias("last_error"), F.col("_e.last_error.at").alias("last_error_at"))
+
+
+def agent_breakdown(inventory_: DataFrame) -> DataFrame:
+    """All components of each agent's last snapshot, one row each: the counters
+    its section has (else NULL), the exporter's last error and whether it is in
+    trouble (dropped events, parse errors or failed batches)."""
+    fields = ["events_in", "events_out", "events_dropped", "events_dead_lettered", "parse_errors", "batches_sent", "batches_failed", "retries"]
+    snap = inventory_.filter(F.col("snapshot_json") != "").select("agent_id", F.from_json("snapshot_json", SNAPSHOT).alias("s"))
+
+    def section(name: str) -> Column:
+        own = {f.name for f in SNAPSHOT[name].dataType.valueType.fields}
+        number = lambda v, n: F.coalesce(v[n], F.lit(0).cast("bigint")) if n in own else F.lit(None).cast("bigint")
+        error = lambda v: v["last_error"]["message"] if "last_error" in own else F.lit(None).cast("string")
+        return F.transform(F.coalesce(F.map_entries(f"s.{name}"), F.array()), lambda e: F.struct(
+            F.lit(name).alias("section"), e["key"].alias("component"), *[number(e["value"], n).alias(n) for n in fields], error(e["value"]).alias("last_error")))
+
+    rows = snap.select("agent_id", F.inline(F.concat(section("receivers"), section("pipelines"), section("exporters"))))
+    some = lambda n: F.coalesce(F.col(n) > 0, F.lit(False))
+    return rows.withColumn("problem", some("events_dropped") | some("parse_errors") | some("batches_failed"))
+
+
 def fleet_total(counters: DataFrame, section: str, field: str) -> DataFrame:
     wanted = (F.col("section") == section) & (F.col("field") == field)
     return counters.filter(wanted).agg(F.coalesce(F.sum("value"), F.lit(0).cast("bigint")).alias("total"))

@@ -21,6 +21,7 @@ CPU_SECONDS = "otelcol_process_cpu_seconds"
 RSS_BYTES = "otelcol_process_memory_rss"
 HEAP_BYTES = "otelcol_process_runtime_heap_alloc_bytes"
 
+RECEIVER_FIELDS = ("events_in",)
 PIPELINE_FIELDS = ("events_in", "events_out", "events_dropped", "events_dead_lettered", "parse_errors")
 EXPORTER_FIELDS = ("events_in", "batches_sent", "batches_failed", "retries")
 
@@ -129,6 +130,33 @@ def snapshot(samples: DataFrame, routes: DataFrame, receivers: DataFrame, export
                                        ("events_in", "batches_sent", "batches_failed"), by)))
 
 
+def status_documents(agents: DataFrame, samples: DataFrame, routes: DataFrame, receivers: DataFrame, exporters: DataFrame,
+                     by: Sequence[str] = ("agent_id",)) -> DataFrame:
+    """What each agent reports, as ``(by…, snapshot_json)`` in the shape of
+    ``schemas.SNAPSHOT``; what a scrape cannot tell is 0.
+
+    ``agents`` is ``(by…, started_at, scraped_at)``, one row per document.
+    """
+    by = list(by)
+    parts = {
+        "receivers": (receiver_counters(samples, receivers, by), "id", RECEIVER_FIELDS),
+        "pipelines": (attribute_pipelines(routes, sum_by_label(samples, ACCEPTED, "receiver", by), sum_by_label(samples, SENT, "exporter", by),
+                                          sum_by_label(samples, FAILED, "exporter", by), by), "pipeline", PIPELINE_FIELDS),
+        "exporters": (exporter_counters(samples, exporters, by), "id", EXPORTER_FIELDS),
+    }
+    zero = F.lit(0).cast("bigint")
+    out = agents.join(process_usage(samples, by), by, "left")
+    for name, (wide, component, fields) in parts.items():
+        value = F.struct(*[(F.col(x).cast("bigint") if x in wide.columns else zero).alias(x) for x in fields])
+        entries = wide.select(*by, F.struct(F.col(component).alias("key"), value.alias("value")).alias("_e"))
+        out = out.join(entries.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_set("_e"))).alias(name)), by, "left")
+    started = F.to_timestamp("started_at")
+    process = F.struct(F.coalesce("cpu_seconds", F.lit(0.0)).alias("cpu_seconds"), *[F.coalesce(c, zero).alias(c) for c in ("memory_rss_bytes", "heap_alloc_bytes")])
+    document = F.struct("started_at", uptime_seconds(started, F.col("scraped_at")).alias("uptime_seconds"), process.alias("process"),
+                        *[F.coalesce(F.col(n), F.create_map().cast(out.schema[n].dataType)).alias(n) for n in parts])
+    return out.select(*by, F.to_json(document).alias("snapshot_json"))
+
+
 def uptime_seconds(started_at: Column, now: Column) -> Column:
     return F.unix_seconds(now) - F.unix_seconds(started_at)
 
@@ -175,13 +203,18 @@ def relative_volume(counters: DataFrame, by: Sequence[str] = ("agent_id", "secti
     return rows.join(top, list(by)).select(*by, "component", "value", percent.cast("int").alias("percent"))
 
 
-def problem_rows(counters: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
+def problem_rows(counters: DataFrame, by: Sequence[str] = ("agent_id",), errors: DataFrame | None = None) -> DataFrame:
     """Components in trouble: dropped events or parse errors in a pipeline,
-    failed batches in an exporter."""
+    failed batches in an exporter. ``errors`` (``by…, component, last_error``)
+    adds the text of an exporter's last error, NULL if it has none."""
     bad = (((F.col("section") == "pipelines") & F.col("field").isin("events_dropped", "parse_errors"))
            | ((F.col("section") == "exporters") & (F.col("field") == "batches_failed")))
-    return counters.filter(bad & (F.col("value") > 0)).groupBy(*by, "section", "component").agg(
+    rows = counters.filter(bad & (F.col("value") > 0)).groupBy(*by, "section", "component").agg(
         F.array_join(F.array_sort(F.collect_set("field")), ",").alias("problems"), F.sum("value").alias("affected"))
+    if errors is None:
+        return rows
+    texts = errors.select(*by, F.lit("exporters").alias("section"), "component", "last_error")
+    return rows.join(texts, [*by, "section", "component"], "left")
 
 
 def overview(counters: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:

@@ -156,13 +156,16 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
 
     ``key`` names each row's template; rows of an unknown template pass through
     with an error. The templates share one shape (header, line grammar, JSON,
-    key=value, tags), so each step is one CASE over the key.
+    key=value, tags), so each step is one CASE over the key. As in
+    ``normalize``, maps and severity that the table brings are kept under what
+    is parsed.
     """
     k = F.col(key)
     null_str = F.lit(None).cast("string")
     no_groups = F.lit(None).cast("array<string>")
-    own = [c for c in df.columns if c not in ("body", "ts")]
-    df = df if "ts" in df.columns else df.withColumn("ts", F.lit(None).cast("timestamp"))
+    shape = {"ts": "timestamp", "severity_text": "string", "severity_number": "int", "attributes": maps.STRING_MAP, "resource": maps.STRING_MAP}
+    own = [c for c in df.columns if c not in shape and c != "body"]
+    df = df.withColumns({c: F.lit(None).cast(t) for c, t in shape.items() if c not in df.columns})
 
     # 1. header
     heads = {p: syslog_header(p) for p in PATTERNS}
@@ -208,7 +211,9 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
         "version": F.when(F.col("_ok") & five, part("rfc5424", "version")),
         "structured_data": F.when(F.col("_ok") & five, structured_data(part("rfc5424", "structured_data"))),
     })
-    df = computed_once(df, "_attrs", F.when(F.col("_ok"), maps.merge(header, F.col("_parsed"))).otherwise(F.col("_parsed")))
+    attrs = F.when(F.col("_ok"), maps.merge(header, F.col("_parsed"))).otherwise(F.col("_parsed"))
+    df = computed_once(df, "_new", attrs)
+    df = computed_once(df, "_attrs", F.when(F.size("attributes") > 0, maps.merge(F.col("attributes"), F.col("_new"))).otherwise(F.col("_new")))
 
     # 4. JSON and key=value text (one of them per template at most)
     kv_text = _pick(k, {t.key: F.col("_attrs")[t.kv_from] for t in TEMPLATES.values() if t.kv_from}, null_str)
@@ -243,7 +248,7 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     ))
     return df.select(
         *own, "ts",
-        severity.number_name(number).alias("severity_text"), number.alias("severity_number"),
-        body.alias("body"), maps.merge(attrs, tags).alias("attributes"), maps.empty().alias("resource"),
+        F.coalesce(severity.number_name(number), F.col("severity_text")).alias("severity_text"), F.coalesce(number, F.col("severity_number")).alias("severity_number"),
+        body.alias("body"), maps.merge(attrs, tags).alias("attributes"), F.coalesce("resource", maps.empty()).alias("resource"),
         errors.alias("_errors"),
     )

@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import maps
 from ..operators import fleet as f
 from ..operators import logs
-from ..operators import metrics as m
 from ..operators.chain import Chain, regex_parse
 from ..operators.templates import LINE_PATTERNS, normalize
-from ..session import shared_dir
+from ..session import newest_version, shared_dir
 from ..sinks.envelopes import to_datalake, to_hec
 from ..sources.files import read_log_files
 from ..sources.frames import read_syslog_frames, split_octet_frames
@@ -24,7 +23,7 @@ from .fleet_state import DUCK, messages
 from .lines import lines_sql, template_sql
 from .log_search import EVENT_KEYS, EVENTS, _recent, labelled, records
 from .registry import query, run_sql, table
-from .volume import SAMPLES, SCRAPES
+from .volume import SAMPLES, SCRAPES, STATUS_AT, one_pipeline, shown_status, status_sql
 
 US = fs._US["spark"]
 
@@ -126,36 +125,30 @@ def datalake_host(spark, sf):
 
 # --- streams ---
 
-def _arrive(df, path: str, order: str = "seq", parts: int = 3) -> None:
-    """Write a table as files that arrive one after the other."""
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
+def _feed(spark, df, start, order: str = "seq", parts: int = 3) -> str:
+    """Parts of a table arrive one after the other; the stream ``start(input,
+    out, checkpoint)`` works each off, stops and resumes. Returns the folder."""
+    root = shared_dir(spark)
+    lo, hi = (x or 0 for x in df.agg(F.min(order), F.max(order)).first())
     step = (hi - lo) // parts + 1
     for i in range(parts):
-        df.filter((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step)).coalesce(1).write.mode("append").parquet(path)
-
-
-def _stream(spark, df, path: str):
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step)).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2**31 - 1).parquet(f"{root}/in")
+        start(stream, f"{root}/out", f"{root}/cp").awaitTermination()
+    return f"{root}/out"
 
 
 @query(_recent(EVENTS).replace("select *", "select seq, severity, body", 1))
 def live_recent(spark, sf):
-    root = shared_dir(spark)
-    df = _timed(spark, sf)
-    _arrive(df, f"{root}/in")
-    d.recent_stream(_stream(spark, df, f"{root}/in"), f"{root}/out", f"{root}/cp").awaitTermination()
-    versions = spark.read.parquet(f"{root}/out")
-    return versions.filter(F.col("version") == versions.agg(F.max("version").alias("v")).scalar()).select("seq", "severity", "body")
+    out = _feed(spark, _timed(spark, sf), d.recent_stream)
+    return newest_version(spark, out).select("seq", "severity", "body")
 
 
 @query(f"select seq, severity, body, a1 as event_type, r1 as host from ({labelled(EVENTS)})")
 def live_feed(spark, sf):
     """Flattened records appended batch by batch."""
-    root = shared_dir(spark)
-    df = _timed(spark, sf)
-    _arrive(df, f"{root}/in")
-    d.recent_sink(_stream(spark, df, f"{root}/in"), f"{root}/out", f"{root}/cp").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("seq", "severity", "body", F.col("attributes")["event_type"].alias("event_type"),
+    out = _feed(spark, _timed(spark, sf), d.recent_sink)
+    return spark.read.parquet(out).select("seq", "severity", "body", F.col("attributes")["event_type"].alias("event_type"),
                                                     F.col("resource")["host.name"].alias("host"))
 
 
@@ -169,13 +162,11 @@ _DUCK_ROUTES = _ROUTES.replace("array(", "list_value(")
     join (select pipeline, unnest(receivers) as receiver, exporters from ({_DUCK_ROUTES})) r using (receiver))) group by 1, 2""")
 def live_delivery(spark, sf):
     """Routed to exporters as a stream: every exporter gets the whole output."""
-    root = shared_dir(spark)
-    df = _timed(spark, sf)
-    _arrive(df, f"{root}/in")
-    d.run_pipeline(_stream(spark, df, f"{root}/in"), run_sql(spark, sf, _ROUTES), f"{root}/out", f"{root}/cp").awaitTermination()
+    routes = run_sql(spark, sf, _ROUTES)
+    out = _feed(spark, _timed(spark, sf), lambda stream, out, cp: d.run_pipeline(stream, routes, out, cp))
     # Folder names escape the slash, and file URIs escape the percent sign.
     name = lambda level: F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), level + "=([^/]*)/", 1)))
-    sent = spark.read.option("recursiveFileLookup", "true").text(f"{root}/out")
+    sent = spark.read.option("recursiveFileLookup", "true").text(out)
     return sent.groupBy(name("exporter").alias("exporter"), name("pipeline").alias("route")).agg(F.count("*").alias("events"))
 
 
@@ -183,13 +174,10 @@ def live_delivery(spark, sf):
     from ({template_sql('nginx')}) l group by 1""")
 def live_quality(spark, sf):
     """Quality counts of all records; one in seven has no time."""
-    root = shared_dir(spark)
     lines = run_sql(spark, sf, lines_sql("nginx")).join(
         run_sql(spark, sf, f"select event_id as seq, if(event_id % 7 = 0, null, {US}) as ts from {{events}}"), "seq")
-    _arrive(lines, f"{root}/in")
-    kept = Chain(_stream(spark, lines, f"{root}/in")).apply([regex_parse(LINE_PATTERNS["nginx"], on_error="drop")]).records(keep_dropped=True)
-    d.quality_stream(kept, f"{root}/out", f"{root}/cp").awaitTermination()
-    out = spark.read.parquet(f"{root}/out")
+    kept = lambda stream: Chain(stream).apply([regex_parse(LINE_PATTERNS["nginx"], on_error="drop")]).records(keep_dropped=True)
+    out = spark.read.parquet(_feed(spark, lines, lambda stream, out, cp: d.quality_stream(kept(stream), out, cp)))
     return out.groupBy("receiver").agg(*[F.sum(c).alias(c) for c in ("events_in", "events_out", "parse_errors")])
 
 
@@ -224,11 +212,7 @@ _LIVE_PACKAGE = fs.rollout_sql(_ALIVE(fs.PACKAGE_PUSHES), fs._PACKAGE_OUT.replac
 def live_fleet_state(spark, sf):
     """Inventory, restarts and both rollouts kept up to date over micro-batches,
     deletes included; equal to the batch result over the whole log."""
-    root = shared_dir(spark)
-    ops = _operations(spark, sf)
-    _arrive(ops, f"{root}/in")
-    live.fleet_state_stream(_stream(spark, ops, f"{root}/in"), f"{root}/out", f"{root}/cp").awaitTermination()
-    state = live.current_state(spark, f"{root}/out")
+    state = live.current_state(spark, _feed(spark, _operations(spark, sf), live.fleet_state_stream))
     pair = lambda p: F.trim(F.concat_ws(" ", f"{p}_package_name", f"{p}_package_version"))
     return state.select(
         "agent_id", "hostname", F.unix_seconds("last_seen").alias("last_seen"), F.col("healthy").cast("int").alias("healthy"), "last_error",
@@ -242,28 +226,32 @@ def live_fleet_state(spark, sf):
     n as (select agent_id, window_start, count(*) as restarts from w group by 1, 2)
     select agent_id, window_start, restarts from n where restarts >= {f.FLAP_THRESHOLD}""")
 def live_flapping(spark, sf):
-    """Restarts per sliding ten minutes. The watermark closes with the stream's
-    last event, so a marker far in the future is added to flush every window."""
-    root = shared_dir(spark)
-    restarts = f.restarts(messages(spark, sf)).select("agent_id", f.rfc3339(F.col("started_at")).alias("restarted_at"), F.unix_seconds(f.rfc3339(F.col("started_at"))).alias("at"))
-    restarts.coalesce(1).write.parquet(f"{root}/in")
-    restarts.agg(F.max("at").alias("at")).select(F.lit("marker").alias("agent_id"), F.timestamp_seconds(F.col("at") + 86400).alias("restarted_at"), (F.col("at") + 86400).alias("at")).write.mode("append").parquet(f"{root}/in")
-    live.flap_stream(_stream(spark, restarts, f"{root}/in"), f"{root}/out", f"{root}/cp").awaitTermination()
-    return spark.read.parquet(f"{root}/out").select("agent_id", F.unix_seconds("window_start").alias("window_start"), "restarts")
+    """Restarts per sliding ten minutes, arriving in no order."""
+    at = f.rfc3339(F.col("started_at"))
+    restarts = f.restarts(messages(spark, sf)).select("agent_id", at.alias("restarted_at"), (F.col("seq") % 997).alias("arrival"))
+    counts = spark.read.parquet(_feed(spark, restarts, live.flap_stream, "arrival"))
+    return live.flap_windows(counts).select("agent_id", F.unix_seconds("window_start").alias("window_start"), "restarts")
 
 
-@query(f"""select scrape_id as agent_id, receiver as component, sum(trunc(value)::bigint)::bigint as value from ({SAMPLES})
-    where family = '{m.ACCEPTED}' and receiver in ('syslog/r0', 'syslog/r1', 'syslog/r2') group by 1, 2""")
+# The samples of each agent's last stretch of 2,500 events, which is its newest scrape.
+_NEWEST = f"""select s.* from ({SAMPLES}) s join (select concat('agent-', user_id) as scrape_id, max(event_id // 2500) as last from {{events}} group by 1) n using (scrape_id)
+    where line_no // 2500 = last"""
+
+
+@query(status_sql(_NEWEST) + """ union all select distinct concat('agent-', user_id), 'health', '', 'healthy', case when user_id % 5 = 0 then 0 else 1 end from {events}""")
 def live_reports(spark, sf):
-    """Reports per batch of scrape lines, added up again."""
-    root = shared_dir(spark)
-    lines = run_sql(spark, sf, SCRAPES).withColumnRenamed("scrape_id", "agent_id")
-    agents = lines.select("agent_id").distinct()
-    ids = agents.select("agent_id", F.explode(F.array(*[F.lit(f"syslog/r{i}") for i in range(3)])).alias("id"))
-    exporters = agents.select("agent_id", F.lit("hec/x0").alias("id"))
-    routes = agents.select("agent_id", F.lit("logs/all").alias("pipeline"), F.array(F.lit("syslog/r0"), F.lit("syslog/r1")).alias("receivers"),
-                           F.array(F.lit("hec/x0")).alias("exporters"))
-    _arrive(lines, f"{root}/in", "line_no")
-    live.report_stream(_stream(spark, lines, f"{root}/in"), routes, ids, exporters, f"{root}/out", f"{root}/cp", every=None).awaitTermination()
-    reports = spark.read.parquet(f"{root}/out").filter("section = 'receivers'")
-    return reports.groupBy("agent_id", "component").agg(F.sum("value").alias("value")).filter("value > 0")
+    """Every section of the newest scrape of each agent, from scrapes that are
+    split over batches. One agent in five fails its scrape after that."""
+    flat = run_sql(spark, sf, SCRAPES)
+    lines = flat.select(F.col("scrape_id").alias("agent_id"), F.floor(F.col("line_no") / 2500).alias("scrape_id"), "line_no", "text")
+    size = lines.groupBy("agent_id", "scrape_id").agg(F.count("*").alias("lines"))
+    started, scraped = F.lit("2024-01-01T00:00:00Z"), F.timestamp_seconds(F.lit(STATUS_AT))
+    failed = lines.groupBy("agent_id").agg(F.max("scrape_id").alias("scrape_id"), F.max("line_no").alias("line_no")).filter(
+        F.element_at(F.split("agent_id", "-"), 2).cast("int") % 5 == 0).select(
+        "agent_id", (F.col("scrape_id") + 1).alias("scrape_id"), "line_no", F.lit(1).cast("bigint").alias("lines"), F.lit("connection refused").alias("error"))
+    rows = lines.join(size, ["agent_id", "scrape_id"]).unionByName(failed, allowMissingColumns=True).withColumns({"started_at": started, "scraped_at": scraped})
+    routes, receivers, exporters = one_pipeline(spark, sf)
+    start = lambda stream, out, cp: live.report_stream(stream, routes, receivers, exporters, out, cp, every=None)
+    reports = live.current_reports(spark, _feed(spark, rows, start, "line_no"))
+    health = reports.select("agent_id", F.lit("health").alias("section"), F.lit("").alias("component"), F.lit("healthy").alias("field"), F.col("healthy").cast("bigint").alias("value"))
+    return shown_status(reports).unionByName(health)

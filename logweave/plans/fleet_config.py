@@ -84,6 +84,23 @@ def redacted_leaves(spark, sf):
     return _shown(c.redact(docs(spark, sf)))
 
 
+# Objects and lists in each other, 42 to 46 deep.
+_DEEP = """select concat('agent-', c_custkey) as agent_id, concat('{{"agent":', repeat('{{"k":[', 20 + c_custkey % 3), '{{"token":{{"t":', c_custkey, '}},"n":"x', c_custkey, '"}}',
+    repeat(']}}', 20 + c_custkey % 3), '}}') as doc from {customer}""".replace("{{", "{").replace("}}", "}")
+_DEEP_LEAVES = _LEAVES.format(docs=_DEEP)
+
+
+@query(_DEEP_LEAVES)
+def deep_config_leaves(spark, sf):
+    return _shown(c.config_leaves(run_spread(spark, sf, _DEEP)))
+
+
+@query(f"""select agent_id, regexp_replace(path, 'token[.]t$', 'token') as path, case when ends_with(path, 'token.t') then '{c.REDACTED}' else value end as value, 1 as is_text
+    from ({_DEEP_LEAVES})""")
+def deep_redacted_leaves(spark, sf):
+    return _shown(c.redact(run_spread(spark, sf, _DEEP)))
+
+
 @query(f"""select agent_id, path, value from ({LEAVES}) where regexp_matches(path, '{_SENSITIVE}') and not contains(value, '$' || '{{')
     and value not in ('', '{{}}', '[]', 'null')""")
 def plaintext_secrets(spark, sf):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import fleet as f
+from ..operators.metrics import problem_rows
 from ..schemas import AGENT_MESSAGE
 from .registry import query, run_sql
 
@@ -119,6 +120,13 @@ def restarts(spark, sf):
     return f.restarts(messages(spark, sf), span=20_000).select("agent_id", "seq", "started_at")
 
 
+@query(f"select agent_id, seq, started_at from ({_RESTARTS})")
+def snapshot_restarts(spark, sf):
+    """Restarts from a log that tells start times in its snapshots only."""
+    log = f.with_started_at(messages(spark, sf).drop("started_at"))
+    return f.restarts(log, span=20_000).select("agent_id", "seq", "started_at")
+
+
 _HISTORY = f"""select agent_id, list(started_at order by seq) as h from (select *, row_number() over (partition by agent_id order by seq desc) as rn from ({_RESTARTS}))
     where rn <= {f.MAX_RESTART_HISTORY} group by 1"""
 
@@ -379,6 +387,40 @@ def agent_stats(spark, sf):
     return f.agent_stats(f.inventory(messages(spark, sf)))
 
 
+# The same snapshots with an error text at every other failing exporter.
+_ERROR = """case when {c} % 4 = 1 then replace(snapshot_json, '"last_error":null', concat('"last_error":{{"message":"timeout ', {c}, '","at":"2024-01-01T00:00:00Z"}}')) else snapshot_json end"""
+_ERRORS = _INVENTORY.format(source=f"select * replace ({_ERROR.format(c='seq')} as snapshot_json) from ({DUCK})")
+
+
+def _with_errors(spark, sf):
+    text = _ERROR.replace("{{", "{").replace("}}", "}").replace("{c}", "seq")
+    return f.inventory(messages(spark, sf).withColumn("snapshot_json", F.expr(text)))
+
+
+_PARTS = """select agent_id, s as section, e.key as component, e.value as v from (select agent_id, unnest(['receivers', 'pipelines', 'exporters']) as s, snapshot_json as j
+    from ({source}) where snapshot_json <> '') x, json_each(x.j, '$.' || s) e"""
+_FIELD = "(v->>'{0}')::bigint"
+_PROBLEM = " or ".join(f"coalesce({_FIELD.format(c)}, 0) > 0" for c in ("events_dropped", "parse_errors", "batches_failed"))
+_FIELDS = ("events_in", "events_out", "events_dropped", "events_dead_lettered", "parse_errors", "batches_sent", "batches_failed", "retries")
+
+
+@query(f"""select agent_id, section, component, {', '.join(f'{_FIELD.format(c)} as {c}' for c in _FIELDS)}, v->'last_error'->>'message' as last_error,
+    ({_PROBLEM})::integer as problem from ({_PARTS.format(source=_ERRORS)})""")
+def agent_breakdown(spark, sf):
+    """Every component of every agent with its counters, last error and flag."""
+    return f.agent_breakdown(_with_errors(spark, sf)).withColumn("problem", F.col("problem").cast("int"))
+
+
+@query(f"""select agent_id, section, component, concat_ws(',', case when {_FIELD.format('batches_failed')} > 0 then 'batches_failed' end,
+    case when {_FIELD.format('events_dropped')} > 0 then 'events_dropped' end, case when {_FIELD.format('parse_errors')} > 0 then 'parse_errors' end) as problems,
+    coalesce({_FIELD.format('batches_failed')}, 0) + coalesce({_FIELD.format('events_dropped')}, 0) + coalesce({_FIELD.format('parse_errors')}, 0) as affected,
+    v->'last_error'->>'message' as last_error from ({_PARTS.format(source=_ERRORS)}) where {_PROBLEM}""")
+def problem_texts(spark, sf):
+    """Components in trouble with the text of an exporter's last error."""
+    state = _with_errors(spark, sf)
+    return problem_rows(f.snapshot_counters(state), errors=f.exporter_errors(state))
+
+
 @query(f"""with h as (select agent_id, seq, healthy, last_error, lag(healthy) over (partition by agent_id order by seq) as before from ({DUCK}) where healthy is not null),
     c as (select *, lead(seq) over (partition by agent_id order by seq) as end_seq from h where before is null or before <> healthy)
     select agent_id, seq as start_seq, end_seq, last_error as error from c where healthy = 0""")

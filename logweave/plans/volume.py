@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as m
+from ..operators.fleet import snapshot_counters
+from ..schemas import SNAPSHOT
 from ..sources.scrapes import read_metric_scrapes
 from .registry import query, run_spread, run_sql
 
@@ -216,18 +218,57 @@ _ATTRIBUTED = attribution_sql(_one("list_value"), _by_agent(m.ACCEPTED, "receive
 _IDS = "select agent_id, unnest({column}) as id from ({routes})"
 
 
-@query(f"""select agent_id, 'receivers' as section, id as component, 'events_in' as field, coalesce(n, 0)::bigint as value
+_STATUS = f"""select agent_id, 'receivers' as section, id as component, 'events_in' as field, coalesce(n, 0)::bigint as value
         from ({_IDS.format(column='receivers', routes=_one('list_value'))}) left join ({_by_agent(m.ACCEPTED, 'receiver')}) using (agent_id, id)
     union all select agent_id, 'pipelines', pipeline, unnest(['events_in', 'events_out', 'events_dropped']), unnest([events_in, events_out, events_dropped]) from ({_ATTRIBUTED})
     union all select agent_id, 'exporters', id, unnest(['events_in', 'batches_sent', 'batches_failed']), unnest([coalesce(s.n, 0) + coalesce(f.n, 0), coalesce(s.n, 0), coalesce(f.n, 0)])
         from ({_IDS.format(column='exporters', routes=_one('list_value'))}) left join ({_by_agent(m.SENT, 'exporter')}) s using (agent_id, id)
-        left join ({_by_agent(m.FAILED, 'exporter')}) f using (agent_id, id)""")
+        left join ({_by_agent(m.FAILED, 'exporter')}) f using (agent_id, id)"""
+
+
+@query(_STATUS)
 def status_snapshot(spark, sf):
     """All counters of every agent's scrape in one long table."""
+    found = samples(spark, sf).withColumnRenamed("scrape_id", "agent_id")
+    return m.snapshot(found, *one_pipeline(spark, sf))
+
+
+_ZEROS = """select agent_id, 'pipelines' as section, 'logs/all' as component, unnest(['events_dead_lettered', 'parse_errors']) as field, 0::bigint as value from ({agents})
+    union all select agent_id, 'exporters', unnest(['hec/x0', 'hec/x1']), 'retries', 0 from ({agents})"""
+#: Seconds since the epoch at which documents are built; processes start with the year 2024.
+STATUS_AT = 1_704_067_200 + 86_400
+
+
+def status_sql(source: str = SAMPLES) -> str:
+    """DuckDB: all that agents report, from a table of samples; CPU seconds in quarters."""
+    gauges = f"""select agent_id, 'process' as section, '' as component, unnest(['cpu_quarters', 'memory_rss_bytes', 'heap_alloc_bytes', 'uptime_seconds']) as field,
+        unnest([coalesce(trunc(cpu * 4)::bigint, 0), coalesce(rss, 0), coalesce(heap, 0), 86400]) as value from ({_AGENTS}) left join (select scrape_id as agent_id,
+            {_first(m.CPU_SECONDS)} as cpu, trunc({_first(m.RSS_BYTES)})::bigint as rss, trunc({_first(m.HEAP_BYTES)})::bigint as heap from ({source}) group by 1) using (agent_id)"""
+    return f"{_STATUS.replace(SAMPLES, source)} union all {_ZEROS.format(agents=_AGENTS)} union all {gauges}"
+
+
+def one_pipeline(spark, sf):
+    """The routes, receivers and exporters that every agent has."""
     routes = run_sql(spark, sf, _one("array"))
     ids = lambda column: routes.select("agent_id", F.explode(column).alias("id"))
+    return routes, ids("receivers"), ids("exporters")
+
+
+def shown_status(documents):
+    """``snapshot_json`` of each agent in long form, as ``status_sql`` has it."""
+    s = documents.select("agent_id", F.from_json("snapshot_json", SNAPSHOT).alias("s"))
+    gauges = F.create_map(F.lit("cpu_quarters"), (F.col("s.process.cpu_seconds") * 4).cast("bigint"), F.lit("memory_rss_bytes"), F.col("s.process.memory_rss_bytes"),
+                          F.lit("heap_alloc_bytes"), F.col("s.process.heap_alloc_bytes"), F.lit("uptime_seconds"), F.col("s.uptime_seconds"))
+    process = s.select("agent_id", F.lit("process").alias("section"), F.lit("").alias("component"), F.explode(gauges).alias("field", "value"))
+    return snapshot_counters(documents).unionByName(process)
+
+
+@query(status_sql())
+def status_documents(spark, sf):
+    """The whole report of every agent: counters, process, uptime."""
     found = samples(spark, sf).withColumnRenamed("scrape_id", "agent_id")
-    return m.snapshot(found, routes, ids("receivers"), ids("exporters"))
+    agents = run_sql(spark, sf, _AGENTS).withColumns({"started_at": F.lit("2024-01-01T00:00:00Z"), "scraped_at": F.timestamp_seconds(F.lit(STATUS_AT))})
+    return shown_status(m.status_documents(agents, found, *one_pipeline(spark, sf)))
 
 
 @query("""select event_id as seq, epoch(date_trunc('second', ts))::bigint - epoch(date_trunc('day', ts))::bigint as uptime_seconds from {events}""")

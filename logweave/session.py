@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "logweave", master: str | None = None, shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
@@ -32,6 +33,18 @@ def build(app: str = "logweave", master: str | None = None, shuffle_partitions:
     return builder.getOrCreate()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote, on whatever store it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The last ``version=n`` of a versioned table, told by the names of its folders."""
+    last = max(int(re.search(r"/version=(\d+)/", f)[1]) for f in spark.read.parquet(path).inputFiles())
+    return spark.read.parquet(f"{path}/version={last}")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can write to, for checkpoints and state tables:
     ``spark.checkpoint.dir``. Unset, it is a fresh local folder in local mode

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..operators import fleet as f
 from ..operators import metrics as m
 from ..operators.ordered import latest
+from ..session import newest_version, remove
 from ..sources.scrapes import read_metric_scrapes
 from .delivery import trigger_args
 
@@ -100,22 +101,22 @@ def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
 
 
 def fleet_state_stream(rows: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Maintain the state of every agent under ``out``, one version per batch."""
+    """Maintain the state of every agent under ``out``, one version per batch.
+    The last two versions stay: one to read, one to write the next from."""
     def fold(batch: DataFrame, batch_id: int) -> None:
         state = batch.sparkSession.read.parquet(f"{out}/version={batch_id - 1}") if batch_id > 0 else None
         batch = batch.persist()
         merge(state, summarise(batch)).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
         batch.unpersist()
+        remove(batch.sparkSession, f"{out}/version={batch_id - 2}")
 
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()
 
 
 def current_state(spark: SparkSession, out: str) -> DataFrame:
     """The newest version, in the shape of the batch inventory and rollouts."""
-    versions = spark.read.parquet(out)
-    last = versions.agg(F.max("version").alias("v"))
     text = lambda c: F.coalesce(c, F.lit(""))
-    state = versions.filter(F.col("version") == last.scalar())
+    state = newest_version(spark, out)
     return state.select(
         "agent_id", *[text(F.col(f"description.{n}")).alias(n) for n in ("hostname", "service_version", "local_ui_addr")],
         F.date_trunc("second", "last_seen").alias("last_seen"), F.coalesce("health.healthy", F.lit(True)).alias("healthy"),
@@ -132,26 +133,68 @@ def current_state(spark: SparkSession, out: str) -> DataFrame:
 
 def report_stream(lines: DataFrame, routes: DataFrame, receivers: DataFrame, exporters: DataFrame, out: str, checkpoint: str,
                   every: str | None = "15 seconds") -> StreamingQuery:
-    """Counters of every agent from its scrape lines, one report per batch.
-
-    ``lines`` is ``(agent_id, line_no, text)``; the others as in ``snapshot``.
+    """A report of every scrape, as soon as all of its lines are there.
+
+    ``lines`` is ``(agent_id, scrape_id, lines, line_no, text, error, started_at,
+    scraped_at)``: ``lines`` says how many rows the scrape has, ``scrape_id``
+    grows within an agent. A failed scrape is one row with ``error``. The rows of
+    scrapes that are not complete wait in a table versioned by batch; an agent
+    without a complete scrape is not reported. ``routes``, ``receivers`` and
+    ``exporters`` are as in ``metrics.snapshot``. See ``current_reports``.
     """
+    by = ["agent_id", "scrape_id"]
+
     def report(batch: DataFrame, batch_id: int) -> None:
-        samples = read_metric_scrapes(batch)
-        m.snapshot(samples, routes, receivers, exporters).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        spark = batch.sparkSession
+        rows = batch if batch_id == 0 else batch.unionByName(spark.read.parquet(f"{out}/open/version={batch_id - 1}"))
+        rows = rows.persist()
+        counted = rows.groupBy(*by).agg((F.count("*") >= F.max("lines")).alias("whole"), F.max("error").alias("error"),
+                                        F.max("started_at").alias("started_at"), F.max("scraped_at").alias("scraped_at")).persist()
+        done = counted.filter("whole").drop("whole")
+        good = done.filter("error is null").drop("error")
+        samples = read_metric_scrapes(rows.join(good.select(*by), by, "left_semi").select(*by, "line_no", "text")).persist()
+        of_scrape = lambda df: df.join(good.select(*by), "agent_id")
+        documents = m.status_documents(good, samples, of_scrape(routes), of_scrape(receivers), of_scrape(exporters), by)
+        done.select(*by, "scraped_at", F.col("error").isNull().alias("healthy"), F.coalesce("error", F.lit("")).alias("last_error")).join(
+            documents, by, "left").write.mode("overwrite").parquet(f"{out}/reports/batch={batch_id}")
+        rows.join(counted.filter("not whole").select(*by), by, "left_semi").write.mode("overwrite").parquet(f"{out}/open/version={batch_id}")
+        remove(spark, f"{out}/open/version={batch_id - 2}")
+        for kept in (samples, counted, rows):
+            kept.unpersist()
 
     return lines.writeStream.foreachBatch(report).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()
 
 
-def flap_stream(restarts: DataFrame, out: str, checkpoint: str, threshold: int = f.FLAP_THRESHOLD, late: str = "10 minutes",
-                every: str | None = None) -> StreamingQuery:
-    """Agents with at least ``threshold`` restarts in a sliding ten minutes.
+def current_reports(spark: SparkSession, out: str) -> DataFrame:
+    """The newest report of each agent replaces the ones before: ``(agent_id,
+    healthy, last_error, snapshot_json)``. Health follows the newest scrape; a
+    failed one leaves the last counters as they are."""
+    reports = spark.read.parquet(f"{out}/reports").select("agent_id", "scrape_id", "healthy", "last_error", "snapshot_json")
+    last = reports.groupBy("agent_id").agg(F.max("scrape_id").alias("scrape_id"), F.max(F.when(F.col("healthy"), F.col("scrape_id"))).alias("_good"))
+    health = reports.drop("snapshot_json").join(last, ["agent_id", "scrape_id"])
+    counters = reports.select("agent_id", F.col("scrape_id").alias("_good"), "snapshot_json")
+    return health.join(counters, ["agent_id", "_good"], "left").select("agent_id", "healthy", "last_error", "snapshot_json")
+
+
+def flap_stream(restarts: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Count restarts per agent and minute in the order of arrival, so that none
+    is too late to count. A batch that is run again replaces its counts.
 
-    ``restarts`` is a stream of ``(agent_id, restarted_at)``.
+    ``restarts`` is a stream of ``(agent_id, restarted_at)``; without a time a
+    restart is in no window. See ``flap_windows``.
     """
-    counts = (restarts.withWatermark("restarted_at", late)
-              .groupBy(F.window("restarted_at", "10 minutes", "1 minute"), "agent_id").agg(F.count("*").alias("restarts"))
-              .filter(F.col("restarts") >= threshold)
-              .select(F.col("window.start").alias("window_start"), "agent_id", "restarts"))
-    return (counts.writeStream.outputMode("append").format("parquet").option("path", out)
-            .option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start())
+    def count(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.filter("restarted_at is not null").groupBy("agent_id", F.date_trunc("minute", "restarted_at").alias("minute")).agg(
+            F.count("*").alias("restarts"))
+        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return restarts.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()
+
+
+def flap_windows(counts: DataFrame, threshold: int = f.FLAP_THRESHOLD) -> DataFrame:
+    """Agents with at least ``threshold`` restarts in ten minutes that begin at
+    ``window_start``, from the counts of ``flap_stream``."""
+    back = F.explode(F.sequence(F.lit(0), F.lit(f.FLAP_WINDOW_SECONDS - 60), F.lit(60)))
+    each = counts.select("agent_id", "restarts", "minute", back.alias("_back"))
+    start = F.timestamp_seconds(F.unix_seconds("minute") - F.col("_back"))
+    return each.groupBy("agent_id", start.alias("window_start")).agg(F.sum("restarts").alias("restarts")).filter(F.col("restarts") >= threshold)

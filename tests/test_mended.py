@@ -5,13 +5,15 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from logweave.operators import configs
 from logweave.operators.chain import Chain, kv_parts
 from logweave.operators.fleet import inventory
 from logweave.operators.joins import join_dimension
 from logweave.operators.syslog import envelope, structured_data
-from logweave.session import shared_dir
+from logweave.session import newest_version, shared_dir
 from logweave.sources.files import read_log_files
-from logweave.streaming.delivery import envelopes
+from logweave.streaming import fleet as live
+from logweave.streaming.delivery import envelopes, recent_stream
 
 MANY = 20_000
 
@@ -87,3 +89,39 @@ def test_deletes_after_asof_do_not_count(spark):
     deletes = spark.createDataFrame([("a", 5, 50)], "agent_id string, seq long, t long").selectExpr("agent_id", "seq", "timestamp_seconds(t) as ts")
     at = lambda t: inventory(messages, asof=F.timestamp_seconds(F.lit(t)), deletes=deletes).count()
     assert (at(20), at(60)) == (1, 0)
+
+
+def test_documents_of_any_depth(spark):
+    texts = ['{"a":' * n + '"x [{"' + "}" * n for n in (1, 3, 30)]
+    docs = spark.createDataFrame([(str(i), t.replace('"x [{"', '"x [{ \\" "')) for i, t in enumerate([*texts, "[]", "5", "{"])], "agent_id string, doc string")
+    assert configs.depth(docs) == 30
+    assert sorted((r.agent_id, len(r.path)) for r in configs.config_leaves(docs).collect()) == [("0", 1), ("1", 3), ("2", 30), ("3", 0), ("4", 0)]
+
+
+def test_old_versions_go(spark):
+    root = shared_dir(spark)
+    shape = "seq long, ts timestamp, severity_text string, severity_number int, body string, attributes map<string,string>, resource map<string,string>"
+    for i in range(4):
+        spark.createDataFrame([(i, None, None, None, "b", None, None)], shape).write.mode("append").parquet(f"{root}/in")
+        recent_stream(spark.readStream.schema(shape).parquet(f"{root}/in"), f"{root}/out", f"{root}/cp", n=3).awaitTermination()
+    assert sorted(r.seq for r in newest_version(spark, f"{root}/out").collect()) == [1, 2, 3]
+    assert spark.read.parquet(f"{root}/out").select("version").distinct().count() == 2
+
+
+def test_reports_wait_for_whole_scrapes(spark):
+    root = shared_dir(spark)
+    shape = "agent_id string, scrape_id long, lines long, line_no long, text string, error string, started_at string, scraped_at timestamp"
+    line = lambda agent, scrape, of, no, text, error=None: (agent, scrape, of, no, text, error, "2024-01-01T00:00:00Z", None)
+    sample = 'otelcol_receiver_accepted_log_records{receiver="r"} %d'
+    routes = spark.createDataFrame([(a, "p", ["r"], ["x"]) for a in "ab"], "agent_id string, pipeline string, receivers array<string>, exporters array<string>")
+    ids = lambda i: spark.createDataFrame([(a, i) for a in "ab"], "agent_id string, id string")
+    seen = []
+    for rows in ([line("a", 1, 2, 1, sample % 10), line("b", 1, 1, 1, sample % 7)], [line("a", 1, 2, 2, sample % 5)],
+                 [line("a", 2, 1, 1, None, "refused"), line("b", 2, 2, 1, sample % 9)], [line("a", 3, 1, 1, sample % 20), line("b", 2, 2, 2, sample % 1)]):
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(shape).parquet(f"{root}/in")
+        live.report_stream(stream, routes, ids("r"), ids("x"), f"{root}/out", f"{root}/cp", every=None).awaitTermination()
+        got = live.current_reports(spark, f"{root}/out").select("agent_id", "healthy", "last_error", F.get_json_object("snapshot_json", "$.receivers.r.events_in").alias("n"))
+        seen.append(sorted(tuple(r) for r in got.collect()))
+    assert seen == [[("b", True, "", "7")], [("a", True, "", "15"), ("b", True, "", "7")], [("a", False, "refused", "15"), ("b", True, "", "7")],
+                    [("a", True, "", "20"), ("b", True, "", "10")]]

@@ -32,13 +32,18 @@ def test_catalogue(spark):
     assert all(r.default_id.startswith(r.receiver_type + "/") for r in rows)
 
 
-def test_single_scan_equals_single_template(spark):
-    """normalize_all gives what normalize gives for each template."""
+@pytest.mark.parametrize("brought", [False, True])
+def test_single_scan_equals_single_template(spark, brought):
+    """normalize_all gives what normalize gives for each template, whatever maps
+    and severity the table brings."""
     mixed = run_sql(spark, SF, mixed_sql())
+    if brought:
+        mixed = mixed.selectExpr("*", "map('own', 'a', 'datasource', 'b', 'url', 'c') as attributes", "map('host.name', 'h') as resource",
+                                 "'WARN' as severity_text", "13 as severity_number")
     everything = normalize_all(mixed, year=2024)
     for key in TEMPLATES:
         one = normalize(mixed.filter(F.col("source_key") == key), key, year=2024)
-        shape = lambda df: {r.seq: (r.ts, r.severity_text, r.severity_number, r.body, r.attributes, sorted((e.op, e.reason) for e in r._errors))
+        shape = lambda df: {r.seq: (r.ts, r.severity_text, r.severity_number, r.body, r.attributes, r.resource, sorted((e.op, e.reason) for e in r._errors))
                             for r in df.collect()}
         assert shape(everything.filter(F.col("source_key") == key)) == shape(one), key
 
