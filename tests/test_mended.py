@@ -12,6 +12,7 @@ from logweave.operators.joins import join_dimension
 from logweave.operators.syslog import envelope, structured_data
 from logweave.session import newest_version, shared_dir
 from logweave.sources.files import read_log_files
+from logweave.sources.frames import split_octet_frames
 from logweave.streaming import fleet as live
 from logweave.streaming.delivery import envelopes, recent_stream
 
@@ -125,3 +126,13 @@ def test_reports_wait_for_whole_scrapes(spark):
         seen.append(sorted(tuple(r) for r in got.collect()))
     assert seen == [[("b", True, "", "7")], [("a", True, "", "15"), ("b", True, "", "7")], [("a", False, "refused", "15"), ("b", True, "", "7")],
                     [("a", True, "", "20"), ("b", True, "", "10")]]
+    graphs = live.current_reports(spark, f"{root}/out").select(F.get_json_object("snapshot_json", "$.topology")).distinct().collect()
+    assert [r[0] for r in graphs] == ['{"nodes":[{"id":"r","type":"receiver"},{"id":"x","type":"exporter"},{"id":"p","type":"pipeline"}],'
+                                      '"edges":[{"from":"r","to":"p"},{"from":"p","to":"x"}]}']
+
+
+def test_a_payload_of_many_frames(spark):
+    n = 100_000
+    df = spark.range(1).select(F.concat(F.repeat(F.lit("9 message 1"), n), F.lit("7 tail")).alias("payload"))
+    got = split_octet_frames(df).agg(F.count("message"), F.max("frame_no"), F.countDistinct("message"), F.min("message"), F.max("_leftover")).first()
+    assert tuple(got) == (n, n - 1, 1, "message 1", "7 tail")
