@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .ordered import with_previous
+from .topology import topology_documents
 
 # Metric families of the collectors' own telemetry.
 ACCEPTED = "otelcol_receiver_accepted_log_records"
@@ -133,7 +134,8 @@ def snapshot(samples: DataFrame, routes: DataFrame, receivers: DataFrame, export
 def status_documents(agents: DataFrame, samples: DataFrame, routes: DataFrame, receivers: DataFrame, exporters: DataFrame,
                      by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """What each agent reports, as ``(by…, snapshot_json)`` in the shape of
-    ``schemas.SNAPSHOT``; what a scrape cannot tell is 0.
+    ``schemas.SNAPSHOT``: counters, process and the graph of its components.
+    What a scrape cannot tell is 0.
 
     ``agents`` is ``(by…, started_at, scraped_at)``, one row per document.
     """
@@ -150,10 +152,12 @@ def status_documents(agents: DataFrame, samples: DataFrame, routes: DataFrame, r
         value = F.struct(*[(F.col(x).cast("bigint") if x in wide.columns else zero).alias(x) for x in fields])
         entries = wide.select(*by, F.struct(F.col(component).alias("key"), value.alias("value")).alias("_e"))
         out = out.join(entries.groupBy(*by).agg(F.map_from_entries(F.array_sort(F.collect_set("_e"))).alias(name)), by, "left")
+    out = out.join(topology_documents(routes, receivers, exporters, by), by, "left")
+    graph = F.struct(*[F.coalesce(F.col(f"topology.{n}"), F.array().cast(out.schema["topology"].dataType[n].dataType)).alias(n) for n in ("nodes", "edges")])
     started = F.to_timestamp("started_at")
     process = F.struct(F.coalesce("cpu_seconds", F.lit(0.0)).alias("cpu_seconds"), *[F.coalesce(c, zero).alias(c) for c in ("memory_rss_bytes", "heap_alloc_bytes")])
     document = F.struct("started_at", uptime_seconds(started, F.col("scraped_at")).alias("uptime_seconds"), process.alias("process"),
-                        *[F.coalesce(F.col(n), F.create_map().cast(out.schema[n].dataType)).alias(n) for n in parts])
+                        *[F.coalesce(F.col(n), F.create_map().cast(out.schema[n].dataType)).alias(n) for n in parts], graph.alias("topology"))
     return out.select(*by, F.to_json(document).alias("snapshot_json"))
 
 

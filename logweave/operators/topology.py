@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SECTION = {"receiver": "receivers", "pipeline": "pipelines", "exporter": "exporters"}
@@ -23,6 +23,31 @@ def topology_edges(routes: DataFrame, by: Sequence[str] = ("agent_id",)) -> Data
     return inbound.unionByName(outbound)
 
 
+def topology_documents(routes: DataFrame, receivers: DataFrame, exporters: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
+    """The graph of each agent as one value: ``(by…, topology)`` in the shape of
+    ``schemas.SNAPSHOT``.
+
+    Receivers come first, then exporters and pipelines, each by id; edges go by
+    pipeline, in the order of its lists. A graph comes out of one config document.
+    """
+    edges = "array<struct<from:string,to:string>>"
+
+    def part(rows: DataFrame, column: str, kind: str, out: Column) -> DataFrame:
+        rank = F.lit(("receiver", "exporter", "pipeline").index(kind))
+        return rows.select(*by, F.struct(rank.alias("rank"), F.col(column).alias("id"), F.lit(kind).alias("type"), out.cast(edges).alias("edges")).alias("_n"))
+
+    def ends(column: str, edge: Callable[[Column], tuple[Column, Column]]) -> Column:
+        return F.transform(F.coalesce(column, F.array().cast("array<string>")), lambda id_: F.struct(edge(id_)[0].alias("from"), edge(id_)[1].alias("to")))
+
+    name = F.col("pipeline")
+    own = F.concat(ends("receivers", lambda id_: (id_, name)), ends("exporters", lambda id_: (name, id_)))
+    each = (part(receivers, "id", "receiver", F.array()).unionByName(part(exporters, "id", "exporter", F.array()))
+            .unionByName(part(routes, "pipeline", "pipeline", own)))
+    found = each.groupBy(*by).agg(F.array_sort(F.collect_set("_n")).alias("_n"))
+    nodes = F.transform("_n", lambda n: F.struct(n["id"].alias("id"), n["type"].alias("type")))
+    return found.select(*by, F.struct(nodes.alias("nodes"), F.flatten(F.transform("_n", lambda n: n["edges"])).alias("edges")).alias("topology"))
+
+
 def node_flow(nodes: DataFrame, counters: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """Nodes with their own events_in. Never events_out: fan-out inflates it."""
     section = F.create_map(*[F.lit(x) for kv in SECTION.items() for x in kv])

@@ -235,6 +235,11 @@ def status_snapshot(spark, sf):
 
 _ZEROS = """select agent_id, 'pipelines' as section, 'logs/all' as component, unnest(['events_dead_lettered', 'parse_errors']) as field, 0::bigint as value from ({agents})
     union all select agent_id, 'exporters', unnest(['hec/x0', 'hec/x1']), 'retries', 0 from ({agents})"""
+_GRAPH = " union all ".join([
+    f"select agent_id, 'topology' as section, pipeline as component, 'pipeline' as field, 1::bigint as value from ({_one('list_value')})",
+    *[f"select agent_id, 'topology', id, '{kind}', 1 from ({_IDS.format(column=kind + 's', routes=_one('list_value'))})" for kind in ("receiver", "exporter")],
+    *[f"select agent_id, 'topology', concat({ends}), 'edge', 1 from ({_IDS.format(column=column, routes=_one('list_value'))})"
+      for column, ends in (("receivers", "id, ' -> logs/all'"), ("exporters", "'logs/all -> ', id"))]])
 #: Seconds since the epoch at which documents are built; processes start with the year 2024.
 STATUS_AT = 1_704_067_200 + 86_400
 
@@ -244,7 +249,7 @@ def status_sql(source: str = SAMPLES) -> str:
     gauges = f"""select agent_id, 'process' as section, '' as component, unnest(['cpu_quarters', 'memory_rss_bytes', 'heap_alloc_bytes', 'uptime_seconds']) as field,
         unnest([coalesce(trunc(cpu * 4)::bigint, 0), coalesce(rss, 0), coalesce(heap, 0), 86400]) as value from ({_AGENTS}) left join (select scrape_id as agent_id,
             {_first(m.CPU_SECONDS)} as cpu, trunc({_first(m.RSS_BYTES)})::bigint as rss, trunc({_first(m.HEAP_BYTES)})::bigint as heap from ({source}) group by 1) using (agent_id)"""
-    return f"{_STATUS.replace(SAMPLES, source)} union all {_ZEROS.format(agents=_AGENTS)} union all {gauges}"
+    return f"{_STATUS.replace(SAMPLES, source)} union all {_ZEROS.format(agents=_AGENTS)} union all {gauges} union all {_GRAPH}"
 
 
 def one_pipeline(spark, sf):
@@ -260,7 +265,10 @@ def shown_status(documents):
     gauges = F.create_map(F.lit("cpu_quarters"), (F.col("s.process.cpu_seconds") * 4).cast("bigint"), F.lit("memory_rss_bytes"), F.col("s.process.memory_rss_bytes"),
                           F.lit("heap_alloc_bytes"), F.col("s.process.heap_alloc_bytes"), F.lit("uptime_seconds"), F.col("s.uptime_seconds"))
     process = s.select("agent_id", F.lit("process").alias("section"), F.lit("").alias("component"), F.explode(gauges).alias("field", "value"))
-    return snapshot_counters(documents).unionByName(process)
+    part = lambda rows, component, field: rows.select("agent_id", F.lit("topology").alias("section"), component.alias("component"), field.alias("field"), F.lit(1).cast("bigint").alias("value"))
+    nodes = part(s.select("agent_id", F.inline("s.topology.nodes")), F.col("id"), F.col("type"))
+    edges = part(s.select("agent_id", F.inline("s.topology.edges")), F.concat_ws(" -> ", "from", "to"), F.lit("edge"))
+    return snapshot_counters(documents).unionByName(process).unionByName(nodes).unionByName(edges)
 
 
 @query(status_sql())

@@ -93,4 +93,14 @@ SNAPSHOT = T.StructType([
             T.StructField("at", T.StringType()),
         ])),
     ]))),
+    T.StructField("topology", T.StructType([
+        T.StructField("nodes", T.ArrayType(T.StructType([
+            T.StructField("id", T.StringType()),
+            T.StructField("type", T.StringType()),
+        ]))),
+        T.StructField("edges", T.ArrayType(T.StructType([
+            T.StructField("from", T.StringType()),
+            T.StructField("to", T.StringType()),
+        ]))),
+    ])),
 ])
