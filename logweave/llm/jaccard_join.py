@@ -15,7 +15,9 @@ Two documents link when ``den * intersection >= num * union``. No link is lost:
    doesn't link is compared with every chunk.
 
 Shingles shared by more than a small part of the documents are left out of step
-2: what remains still differs in no more elements, so it stays complete.
+2: what remains still differs in no more elements. A set with too little left has
+signatures over all its shingles besides, by which it meets others of its kind;
+it meets the rest by what it has left, so step 2 stays complete.
 """
 
 from __future__ import annotations
@@ -97,20 +99,28 @@ class Signatures:
         return [(c, *self._class(c)) for c in found]
 
     def of(self, tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
-        """The signatures of a set, given the sorted hashes of common shingles."""
+        """The signatures of a set, given the sorted hashes of common shingles.
+
+        Linked sets agree in more than ``spare`` parts. If one has no more low
+        parts than that, one of these is not low, and both emit it in family 1.
+        If both have more, both are in family 2 whether or not they hold a
+        common shingle. Without common shingles the families are the same.
+        """
         rare = tokens
         if len(common):
             at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
             rare = tokens[common[at] != tokens]
         out = []
         for c, _, parts, spare, low in self.classes(len(tokens)):
-            few, own = self._family(rare, c, parts, spare, low, 1)
-            if few and len(rare) < len(tokens):
-                _, own = self._family(tokens, c, parts, spare, low, 2)
-            out.append(own)
+            few, lows, own = self._family(rare, c, parts, spare, low, 1)
+            if few and len(common):
+                out.append(own[~lows])
+                few, lows, own = self._family(tokens, c, parts, spare, low, 2)
+            out.append(own if few else own[~lows])
         return np.concatenate(out)
 
-    def _family(self, tokens: np.ndarray, c: int, parts: int, spare: int, low: int, family: int) -> tuple[bool, np.ndarray]:
+    def _family(self, tokens: np.ndarray, c: int, parts: int, spare: int, low: int, family: int) -> tuple[bool, np.ndarray, np.ndarray]:
+        """Whether more than ``spare`` parts are low, which are, and the signatures of all."""
         borders = np.searchsorted(tokens, (np.arange(1, parts, dtype=np.uint64) * U64(((1 << 64) - 1) // parts)))
         borders = np.concatenate([[0], borders, [len(tokens)]])
         sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(tokens), dtype=U64)])
@@ -118,8 +128,7 @@ class Signatures:
         where = np.arange(parts, dtype=np.uint64) + U64((c << 8 | family) << 40)
         own = mix(mix(where) + (sums[borders[1:]] - sums[borders[:-1]]) * U64(0x9E3779B97F4A7C15) + count.astype(U64))
         lows = count <= low
-        few = bool(lows.sum() > spare)
-        return few, own if few else own[~lows]
+        return bool(lows.sum() > spare), lows, own
 
 
 class Classes:

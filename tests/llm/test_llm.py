@@ -97,6 +97,61 @@ def test_jaccard_join_loses_no_link(spark, monkeypatch, k, num, den, chunk):
     assert jaccard_join.similar_documents(table(spark, []), k, num, den).count() == 0
 
 
+def hashed_sets(rng, base, n):
+    """Sets near ``base``: some of its elements exchanged for others."""
+    out = []
+    for _ in range(n):
+        own = list(base)
+        for _ in range(rng.randrange(0, max(1, len(base) // 10) + 1)):
+            own[rng.randrange(len(own))] = rng.getrandbits(64)
+        out.append(np.unique(np.array(own, np.uint64)))
+    return out
+
+
+@pytest.mark.parametrize("num,den", [(9, 10), (4, 5)])
+def test_linked_sets_share_a_signature(num, den):
+    rng = random.Random(num)
+    maker, straddled = jaccard_join.Signatures(num, den), 0
+    for _ in range(400):
+        base = [rng.getrandbits(64) for _ in range(rng.choice([1, 5, 20, 60, 150]))]
+        sets = hashed_sets(rng, base, 5)
+        # So many common shingles that what is left lies about the border, and some that not all sets hold.
+        common = np.unique(np.array([x for x in base if rng.random() < rng.choice([0.3, 0.6, 0.8, 0.95])] + [rng.getrandbits(64)], np.uint64))
+        own = [set(maker.of(s, common).tolist()) for s in sets]
+        few = [any(maker._family(np.setdiff1d(s, common), c, parts, spare, low, 1)[0] for c, _, parts, spare, low in maker.classes(len(s))) for s in sets]
+        for i, j in ((i, j) for i in range(5) for j in range(i)):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
+                assert own[i] & own[j]
+                straddled += few[i] != few[j]
+    assert straddled > 20
+
+
+@pytest.mark.parametrize("num,den", [(9, 10), (4, 5)])
+def test_jaccard_join_with_common_shingles(spark, monkeypatch, num, den):
+    monkeypatch.setattr(jaccard_join, "COMMON_LEAST", 8)
+    monkeypatch.setattr(jaccard_join, "COMMON_SHARE", 1, raising=False)
+    rng = random.Random(num)
+    pool = [f"s{i}" for i in range(400)]
+    texts = []
+    for _ in range(400):  # pairs, of which 5 to 70 % of the words are their own and the others common
+        size, own = rng.choice([20, 40, 60, 90]), rng.choice([0.05, 0.15, 0.3, 0.5, 0.7])
+        base = [f"u{rng.randrange(10**9)}" if rng.random() < own else x for x in rng.sample(pool, size)]
+        for _ in range(2):
+            copy = list(base)
+            for _ in range(rng.randrange(0, max(1, size // 20) + 1)):
+                copy[rng.randrange(size)] = f"z{rng.randrange(10**9)}"
+            texts.append(" ".join(copy))
+    sets = sets_of(texts, 1)
+    label = list(range(len(texts)))
+    links = [(i, j) for i in range(len(texts)) for j in range(i) if den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+    for i, j in links:
+        label[i] = label[j]
+    assert links and all(i == j + 1 for i, j in links)
+    out = {r.doc_id: r.component_id for r in jaccard_join.similar_documents(table(spark, texts), 1, num, den).collect()}
+    assert out == dict(enumerate(label))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (100, 101)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
