@@ -124,7 +124,7 @@ def _scan(items_of: Items):
                     spans[doc].append(np.arange(word, word + size) - first[doc])
                     items[doc].update(found)
                 hits = [np.unique(np.concatenate(s)) if s else np.empty(0, np.int64) for s in spans]
-                ids = [sorted(items_of.ids[i] for i in s) for s in items]
+                ids = [sorted({items_of.ids[i] for i in s}) for s in items]
                 yield pa.record_batch(
                     [*(c.slice(at, docs) for c in batch.columns[:n - 1]), pa.array(np.diff(first), pa.int64()), list_column(hits, pa.int64()), pa.array(ids, pa.list_(pa.string()))],
                     [*batch.schema.names[:n - 1], "n_words", "hit_words", "items"])

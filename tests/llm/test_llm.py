@@ -233,6 +233,14 @@ def test_decontamination(spark):
             assert (r.n_words, r.hit_words, r["items"]) == (len(w), sorted(hit), sorted(found))
 
 
+@pytest.mark.parametrize("block", [1 << 18, 2])
+def test_repeated_item_ids_count_once(spark, block):
+    bench = spark.createDataFrame([("a", "one two three"), ("a", "four five six"), ("a", "one two three"), ("b", "four five six")], "item_id string, text string")
+    docs = table(spark, ["x one two three y four five six", "four five six", "one two"])
+    out = {r.doc_id: (r.hit_words, r["items"]) for r in decontaminate.find_passages(docs, bench, block=block).collect()}
+    assert out == {0: ([1, 2, 3, 5, 6, 7], ["a", "b"]), 1: ([0, 1, 2], ["a", "b"]), 2: ([], [])}
+
+
 def test_license_scan(spark):
     texts = ["x y z\nLicensed under the Apache License, Version 2.0.\nmore", "released UNDER the mit license", "Permission is hereby granted", None, "", "license", license_scan.TEMPLATES[4][1].replace(", ", ",\n")]
     out = {r.doc_id: [n.license for n in r.notices] for r in license_scan.scan_licenses(table(spark, texts)).collect()}
