@@ -21,7 +21,7 @@ from .jaccard_join import Classes
 from .tables import components, shared_dir, stored
 
 CELL = 2.0
-RECALL = 0.95
+RECALL = 0.999
 BLOCK = 1024
 _SCALE, _STEPS = float(1 << 20), float(1 << 12)
 

@@ -174,6 +174,18 @@ def test_embeddings(spark):
     assert all((out[i].n_links, out[i].component_id) == (0, i) for i in range(900, 906))
 
 
+@pytest.mark.parametrize("cosine", [0.9, 0.8])
+def test_pairs_just_at_the_cosine_meet(cosine):
+    rng = np.random.default_rng(4)
+    x, y = rng.standard_normal((2, 2000, 48))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y -= (x * y).sum(1, keepdims=True) * x
+    y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
+    tables = embedding_dups.Tables(*embedding_dups.plan(1000, cosine))
+    met = sum(int((tables.keys(x[i:i + 200]) == tables.keys(y[i:i + 200])).any(1).sum()) for i in range(0, 2000, 200))
+    assert met >= 1990
+
+
 def test_byte_bpe_is_tiktoken(spark):
     import tiktoken
 
