@@ -260,6 +260,22 @@ def test_datalake_needs_a_host(spark):
     assert to_datalake(bare, hostname="me").first().serverHost == "me"
 
 
+def test_debug_prints_where_records_are(spark, monkeypatch, tmp_path):
+    df = spark.range(100).repartition(3).selectExpr("id", "'x' as body")
+
+    def write(line):
+        with open(tmp_path / str(os.getpid()), "a") as f:
+            f.write(line + "\n")
+
+    monkeypatch.setattr(type(df), "toLocalIterator", None)
+    debug_sink(df, "normal", write)
+    lines = [x for f in tmp_path.iterdir() for x in f.read_text().splitlines()]
+    assert sorted(lines) == sorted(f"{i} | x" for i in range(100))
+    assert str(os.getpid()) not in os.listdir(tmp_path)
+    debug_sink(df.where("id = 7"), "detailed", lambda text: write("<" + text + ">"))
+    assert "<id: 7\nbody: x\n>" in "".join(f.read_text() for f in tmp_path.iterdir())
+
+
 def test_debug_and_export(spark, capsys):
     from logweave.operators.logs import export_logs
     df = _records(spark)
