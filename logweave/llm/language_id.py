@@ -119,6 +119,7 @@ def fit_languages(docs: DataFrame, label: str = "lang", text: str = "text", key:
     """A kernel machine from about ``sample`` texts of each label.
 
     Rows without label or text are left out; the order of rows plays no part.
+    More than ``tables.MOST_LABELS`` labels are an error.
     """
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("_key"), F.col(label).cast("string").alias("_label"), F.col(text).cast("string").alias("_text"))
     found = sample_rows(known, "_label", sample, "_key").select("_label", "_text", F.xxhash64("_key", F.lit(3)).alias("_at")).toArrow().to_pylist()

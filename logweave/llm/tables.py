@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from .. import session
 
 
+#: Labels of which samples are taken; the driver has a count and a rate of each.
+MOST_LABELS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``."""
     return session.shared_dir(spark)
@@ -33,14 +37,17 @@ def sample_rows(rows: DataFrame, label: str, per_class: int, key: str = "doc_id"
     """A bounded, repeatable sample: about ``per_class`` rows of each label.
 
     Rows are taken by a hash of their key, at a rate from an exact count per
-    label, and never more than twice ``per_class`` per label in all.
+    label, and never more than twice ``per_class`` per label in all. More than
+    ``MOST_LABELS`` labels are an error: none is left out.
     """
-    counts = [(r[0], r[1]) for r in rows.groupBy(label).count().orderBy(F.desc("count")).limit(1000).collect()]
+    counts = [(r[0], r[1]) for r in rows.groupBy(label).count().limit(MOST_LABELS + 1).collect()]
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"column {label!r} has more than {MOST_LABELS} labels")
     if not counts:
         return rows.limit(0)
-    rate = F.lit(None).cast("double")
-    for value, n in counts:
-        rate = F.when(F.col(label) == F.lit(value), F.lit(per_class / n)).otherwise(rate)
+    rate = F
+    for value, n in counts:  # one flat CASE: nested ones of a thousand labels overflow the stack
+        rate = rate.when(F.col(label) == F.lit(value), F.lit(per_class / n))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return rows.where(draw < rate).limit(2 * per_class * len(counts))
 

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.llm import byte_bpe, decontaminate, embedding_dups, jaccard_join, language_id, license_scan, line_dedup, quality, token_files, toxicity
-from logweave.llm.tables import components, shared_dir
+from logweave.llm.tables import components, sample_rows, shared_dir
 
 ODD = [None, "", "  ", "\n\n", "x", "It's we'll I'D", "x\x1cy\x85z　w", "漢字かな混じり文、" * 40, "a" * 5000, "<|endoftext|> Ab.", "é. É, x...y!!", "long line here now\n" * 2000]
 SCHEMA = "doc_id long, text string, kept string, ids string, n_words string"
@@ -273,6 +273,14 @@ def test_classifiers_on_held_out_rows(spark):
     assert toxic.where("(truth = 1) = toxic").count() >= 0.9 * toxic.count()
 
 
+def test_too_many_labels_fail(spark):
+    rows = spark.range(1003).select(F.col("id").alias("doc_id"), F.concat(F.lit("l"), F.least("id", F.lit(1000))).alias("lang"), F.lit("some text").alias("text"))
+    with pytest.raises(ValueError, match="labels"):
+        language_id.fit_languages(rows)
+    most = sample_rows(rows.where("doc_id < 1000"), "lang", 5).select("lang").distinct().count()
+    assert most == 1000
+
+
 def test_models_on_odd_and_empty_tables(spark):
     docs = table(spark, ODD)
     none = docs.limit(0)
