@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import Job, table
-from . import byte_bpe, decontaminate, embedding_dups, jaccard_join, language_id, license_scan, line_dedup, quality, token_files, toxicity
+from . import byte_bpe, decontaminate, embedding_dups, jaccard_join, language_id, license_scan, lexical_search, line_dedup, quality, sharding, token_files, toxicity, whitening
 from .tables import digit, shared_dir
 
 QUERIES: dict[str, Job] = {}
@@ -146,3 +146,53 @@ def op10_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")).cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(r"""
+with recursive steps(i, c, k) as (
+  select i, i, 0 from range(256) t(i) union all select i, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+crc_table as (select list(c order by i) as t from steps where k = 8),
+coded as (select doc_id, source, hex(encode(coalesce(text, ''))) as h, t from documents, crc_table),
+bytes as (select doc_id, source, t, [('0x' || substr(h, 2 * i + 1, 2))::bigint for i in range(len(h) // 2)] as b from coded),
+sized as (
+  select doc_id, coalesce('=' || source, '') as stratum, md5('11:' || coalesce('=' || doc_id, '')) as hash, len(b) + 16 as size,
+    xor(4294967295, list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295)) as text_crc32 from bytes),
+ranked as (
+  select *, row_number() over (partition by stratum order by hash) - 1 as r, count(*) over (partition by stratum) as n,
+    ('0x' || substr(md5('11:source:' || stratum), 1, 8))::bigint / 4294967296.0::double as offs from sized),
+placed as (select *, row_number() over (order by (r + offs) / n, stratum, hash) - 1 as p, count(*) over () as total from ranked),
+cut as (select *, p * 40 // total as s from placed)
+select doc_id, size, text_crc32, 'rows' as law, s as shard, p - (s * total + 39) // 40 as slot, cast(null as integer) as grown_shard from cut
+""")
+def op11_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    docs = table(spark, sf, "documents").select("doc_id", "source", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
+    return sharding.assign_shards(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query()
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf, "embeddings").select("vec_id", "embedding"))
+    return out.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+@query(r"""
+with doc_terms as (
+  select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from documents),
+item_terms as (
+  select item_id, t, count(*) as c from (
+    select item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark)
+  group by item_id, t),
+sizes as (select doc_id, count(*) as n from doc_terms group by doc_id),
+whole as (select count(*) as nn, cast(sum(n) as bigint) as ll from sizes),
+tf as (select doc_id, t, count(*) as tf from doc_terms group by doc_id, t),
+weights as (select t, cast(floor(1000 * ln((2 * nn + 2) / (2 * count(*) + 1))) as bigint) as w from tf, whole group by t, nn),
+parts as (
+  select item_id, doc_id, c * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nn) // ll))) as s
+  from item_terms join tf using (t) join weights using (t) join sizes using (doc_id), whole),
+scores as (select item_id, doc_id, cast(sum(s) as bigint) as score from parts group by item_id, doc_id having sum(s) > 0),
+ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10
+""")
+def op13_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +29,30 @@ def stored(df: DataFrame, folder: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def carried(df: DataFrame, results: tuple[str, ...], *named: str, gone: tuple[str, ...] = ()) -> tuple[DataFrame, Callable[..., DataFrame], list[str]]:
+    """``df`` with its columns renamed c0, c1, … while an operator works, so that
+    none clashes with the operator's own, whatever its case, dots or repeats.
+
+    Also returns a function that takes a table with these columns and gives them
+    their names back, followed by the columns ``results`` (a column of the caller
+    that has such a name in any case is left out, and so are those in ``gone``), and
+    the inner names of the columns ``named``.
+    """
+    taken = {r.lower() for r in (*results, *gone)}
+    stay = [(f"c{i}", name) for i, name in enumerate(df.columns) if name.lower() not in taken]
+
+    def back(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(c) for c, _ in stay], *results).toDF(*[name for _, name in stay], *results)
+
+    def inner(name: str) -> str:
+        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not at:
+            raise ValueError(f"no column {name!r} among {df.columns}")
+        return f"c{at[0]}"
+
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), back, [inner(n) for n in named]
+
+
 def digit(column: str = "doc_id") -> F.Column:
     """The remainder by 5 of the CRC-32 of an id as text; 0 marks held-out rows."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
