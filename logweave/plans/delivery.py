@@ -177,7 +177,7 @@ def live_quality(spark, sf):
     lines = run_sql(spark, sf, lines_sql("nginx")).join(
         run_sql(spark, sf, f"select event_id as seq, if(event_id % 7 = 0, null, {US}) as ts from {{events}}"), "seq")
     kept = lambda stream: Chain(stream).apply([regex_parse(LINE_PATTERNS["nginx"], on_error="drop")]).records(keep_dropped=True)
-    out = spark.read.parquet(_feed(spark, lines, lambda stream, out, cp: d.quality_stream(kept(stream), out, cp)))
+    out = d.quality_counts(spark, _feed(spark, lines, lambda stream, out, cp: d.quality_stream(kept(stream), out, cp), parts=10))
     return out.groupBy("receiver").agg(*[F.sum(c).alias(c) for c in ("events_in", "events_out", "parse_errors")])
 
 
@@ -229,7 +229,7 @@ def live_flapping(spark, sf):
     """Restarts per sliding ten minutes, arriving in no order."""
     at = f.rfc3339(F.col("started_at"))
     restarts = f.restarts(messages(spark, sf)).select("agent_id", at.alias("restarted_at"), (F.col("seq") % 997).alias("arrival"))
-    counts = spark.read.parquet(_feed(spark, restarts, live.flap_stream, "arrival"))
+    counts = live.flap_counts(spark, _feed(spark, restarts, live.flap_stream, "arrival", parts=10))
     return live.flap_windows(counts).select("agent_id", F.unix_seconds("window_start").alias("window_start"), "restarts")
 
 

@@ -104,3 +104,27 @@ SNAPSHOT = T.StructType([
         ]))),
     ])),
 ])
+
+
+def _texts(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(n, T.StringType()) for n in names])
+
+
+#: The state of an agent as it was after batch ``batch`` of a stream; one that is gone was deleted.
+AGENT_STATE = T.StructType([
+    T.StructField("agent_id", T.StringType()),
+    *[f for f in AGENT_MESSAGE.fields if f.name in ("description", "health")],
+    T.StructField("snapshot_json", T.StringType()),
+    T.StructField("effective_config_hash", T.StringType()),
+    T.StructField("last_seen", T.TimestampType()),
+    T.StructField("last_started_at", T.StringType()),
+    T.StructField("restart_history", T.ArrayType(T.StringType())),
+    T.StructField("config_pending", _texts("content", "hash")),
+    T.StructField("config_good", _texts("content", "hash")),
+    T.StructField("config_error", T.StringType()),
+    T.StructField("package_pending", _texts("name", "version", "hash")),
+    T.StructField("package_good", _texts("name", "version", "hash")),
+    T.StructField("package_error", T.StringType()),
+    T.StructField("gone", T.BooleanType()),
+    T.StructField("batch", T.LongType()),
+])

@@ -1,25 +1,29 @@
 """Live fleet state: each micro-batch is summarised with the batch operators
-and merged into a versioned state table.
+and merged with the last state of the agents in it.
 
 A keyed state operator would send all rows of a chatty agent to one task. Here
 a batch is first reduced to one row per agent, and only those rows meet the
-state. Every version is written under its batch id from the version before, so
-a batch that runs again, after a lost executor or a restart, gives the same
-table. The folder must be one that every executor reaches.
+state. A batch writes the new rows of its agents alone (see ``runs``): silent
+agents cost nothing, and a batch that runs again, after a lost executor or a
+restart, gives the same table. The folder must be one that every executor reaches.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import fleet as f
 from ..operators import metrics as m
 from ..operators.ordered import latest
-from ..session import newest_version, remove
+from ..schemas import AGENT_STATE
+from ..session import remove
 from ..sources.scrapes import read_metric_scrapes
 from .delivery import trigger_args
+from .runs import Runs, added_up, newest_by
 
 _PUSHES = {"config": ["content", "hash"], "package": ["name", "version", "hash"]}
 
@@ -44,7 +48,7 @@ def summarise(rows: DataFrame) -> DataFrame:
         "effective_config": (F.col("effective_config"), has("effective_config")),
         "last_started_at": (F.col("started_at"), started),
     }, [
-        F.max(F.when(from_agent, F.col("ts"))).alias("seen"), F.min_by("ts", "seq").alias("created"),
+        F.count("*").alias("messages"), F.max(F.when(from_agent, F.col("ts"))).alias("seen"), F.min_by("ts", "seq").alias("created"),
         F.min_by(F.when(started, F.col("started_at")), F.when(started, F.col("seq"))).alias("first_started_at"),
     ])
     history = f.restart_history(f.restarts(alive))
@@ -58,25 +62,17 @@ def summarise(rows: DataFrame) -> DataFrame:
             .join(part(package, "package"), "agent_id", "left").join(gone, "agent_id", "full"))
 
 
-STATE = ("description", "health", "snapshot_json", "effective_config_hash", "last_seen", "last_started_at", "restart_history",
-         "config_pending", "config_good", "config_error", "package_pending", "package_good", "package_error")
+STATE = tuple(n for n in AGENT_STATE.names if n not in ("agent_id", "gone", "batch"))
 
 
-def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """State after a batch summary. One row per agent on both sides."""
-    b = batch.select("agent_id", F.lit(True).alias("in_batch"), *[F.col(c).alias(f"b_{c}") for c in batch.columns if c != "agent_id"])
-    if state is None:
-        shape = {"description": "struct<hostname:string,service_version:string,local_ui_addr:string>", "health": "struct<healthy:boolean,last_error:string>",
-                 "last_seen": "timestamp", "restart_history": "array<string>",
-                 "config_pending": "struct<content:string,hash:string>", "config_good": "struct<content:string,hash:string>",
-                 "package_pending": "struct<name:string,version:string,hash:string>", "package_good": "struct<name:string,version:string,hash:string>"}
-        joined = b.select("*", *[F.lit(None).cast(shape.get(c, "string")).alias(c) for c in STATE])
-    else:
-        joined = state.select("agent_id", *STATE).join(b, "agent_id", "full")
+def merge(state: DataFrame, batch: DataFrame) -> DataFrame:
+    """State after a batch summary, of the agents in the batch. One row per agent on both sides."""
+    joined = batch.select("agent_id", *[F.col(c).alias(f"b_{c}") for c in batch.columns if c != "agent_id"]).join(
+        state.select("agent_id", F.lit(True).alias("known"), *STATE), "agent_id", "left")
     # A delete in the batch forgets the old state; without a later message the agent is gone.
     reset = F.coalesce("b_reset", F.lit(False))
-    alive_after = F.col("b_created").isNotNull() | (~reset & F.col("last_seen").isNotNull())
-    joined = joined.filter(alive_after).withColumns({c: F.when(~reset, F.col(c)) for c in STATE})
+    gone = F.col("b_messages").isNull() & (reset | F.col("known").isNull())
+    joined = joined.withColumn("gone", gone).withColumns({c: F.when(~reset, F.col(c)) for c in STATE})
     none = F.array().cast("array<string>")
     crossed = (F.coalesce("last_started_at", F.lit("")) != "") & (F.col("b_first_started_at") != F.col("last_started_at"))
     restarts = F.concat(F.coalesce("restart_history", none), F.when(crossed, F.array("b_first_started_at")).otherwise(none), F.coalesce("b_restart_history", none))
@@ -97,26 +93,37 @@ def merge(state: DataFrame | None, batch: DataFrame) -> DataFrame:
         F.coalesce(f.config_hash(F.col("b_effective_config")), F.col("effective_config_hash")).alias("effective_config_hash"),
         F.coalesce("b_seen", "last_seen", "b_created").alias("last_seen"), latest_of("last_started_at"),
         F.slice(restarts, F.greatest(F.lit(1), F.size(restarts) - keep + 1), keep).alias("restart_history"),
-        *rollout("config"), *rollout("package"))
+        *rollout("config"), *rollout("package"), "gone")
 
 
-def fleet_state_stream(rows: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Maintain the state of every agent under ``out``, one version per batch.
-    The last two versions stay: one to read, one to write the next from."""
+def state_runs(out: str, **options) -> Runs:
+    return Runs(out, AGENT_STATE, newest_by("agent_id", "batch", "gone"), bucket_by="agent_id", **options)
+
+
+def fleet_state_stream(rows: DataFrame, out: str, checkpoint: str, every: str | None = None, **options) -> StreamingQuery:
+    """Maintain the state of every agent under ``out``. A batch reads the buckets of
+    its agents and writes one row for each of them. See ``current_state``;
+    ``options`` (``fan``, ``buckets``) must stay the same for a folder."""
+    runs = state_runs(out, **options)
+
     def fold(batch: DataFrame, batch_id: int) -> None:
-        state = batch.sparkSession.read.parquet(f"{out}/version={batch_id - 1}") if batch_id > 0 else None
+        spark = batch.sparkSession
+        runs.begin(spark, batch_id)
         batch = batch.persist()
-        merge(state, summarise(batch)).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        summary = summarise(batch).persist()
+        touched = [r[0] for r in summary.select(runs.bucket()).distinct().collect()]
+        old = runs.before(spark, batch_id, touched).join(summary.select("agent_id"), "agent_id", "left_semi")
+        runs.write(merge(runs.combine(old, True), summary).withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
+        summary.unpersist()
         batch.unpersist()
-        remove(batch.sparkSession, f"{out}/version={batch_id - 2}")
 
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()
 
 
-def current_state(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version, in the shape of the batch inventory and rollouts."""
+def current_state(spark: SparkSession, out: str, **options) -> DataFrame:
+    """The newest state of every agent, in the shape of the batch inventory and rollouts."""
     text = lambda c: F.coalesce(c, F.lit(""))
-    state = newest_version(spark, out)
+    state = state_runs(out, **options).newest(spark)
     return state.select(
         "agent_id", *[text(F.col(f"description.{n}")).alias(n) for n in ("hostname", "service_version", "local_ui_addr")],
         F.date_trunc("second", "last_seen").alias("last_seen"), F.coalesce("health.healthy", F.lit(True)).alias("healthy"),
@@ -131,49 +138,95 @@ def current_state(spark: SparkSession, out: str) -> DataFrame:
         text(F.col("package_error")).alias("last_package_error"))
 
 
+#: Seconds after which a scrape that is not complete has failed.
+SCRAPE_TIMEOUT = 60
+
+
+def report_runs(out: str, scrape_type: str = "bigint", **options) -> Runs:
+    """One row per agent: health as of its newest scrape, counters as of its newest good one."""
+    shape = T.StructType.fromDDL(f"agent_id string, scrape_id {scrape_type}, healthy boolean, last_error string, good_scrape_id {scrape_type}, snapshot_json string")
+
+    def combine(rows: DataFrame, whole: bool) -> DataFrame:
+        newest = F.max_by(F.struct("scrape_id", "healthy", "last_error"), "scrape_id")
+        good = F.max_by(F.struct("good_scrape_id", "snapshot_json"), "good_scrape_id")
+        return rows.groupBy("agent_id").agg(newest.alias("_health"), good.alias("_counters")).select("agent_id", "_health.*", "_counters.*")
+
+    return Runs(f"{out}/reports", shape, combine, bucket_by="agent_id", **options)
+
+
 def report_stream(lines: DataFrame, routes: DataFrame, receivers: DataFrame, exporters: DataFrame, out: str, checkpoint: str,
-                  every: str | None = "15 seconds") -> StreamingQuery:
+                  every: str | None = "15 seconds", timeout: float = SCRAPE_TIMEOUT, **options) -> StreamingQuery:
     """A report of every scrape, as soon as all of its lines are there.
 
     ``lines`` is ``(agent_id, scrape_id, lines, line_no, text, error, started_at,
     scraped_at)``: ``lines`` says how many rows the scrape has, ``scrape_id``
     grows within an agent. A failed scrape is one row with ``error``. The rows of
-    scrapes that are not complete wait in a table versioned by batch; an agent
-    without a complete scrape is not reported. ``routes``, ``receivers`` and
+    scrapes that are not complete wait in a table versioned by batch. One that is not
+    complete ``timeout`` seconds after its first line arrived has failed: the agent is
+    unhealthy, and the lines are dropped. That is looked at when a batch comes; lines that
+    come after it wait as a scrape of their own, and fail again. An agent is reported
+    from its first scrape that is complete or has failed. ``routes``, ``receivers`` and
     ``exporters`` are as in ``metrics.snapshot``. See ``current_reports``.
     """
     by = ["agent_id", "scrape_id"]
+    runs = report_runs(out, lines.schema["scrape_id"].dataType.simpleString(), **options)
 
     def report(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch if batch_id == 0 else batch.unionByName(spark.read.parquet(f"{out}/open/version={batch_id - 1}"))
+        runs.begin(spark, batch_id)
+        now = _arrival(spark, f"{out}/arrivals", batch_id)
+        rows = batch.withColumn("_arrived", now)
+        if batch_id:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{out}/open/version={batch_id - 1}"))
         rows = rows.persist()
-        counted = rows.groupBy(*by).agg((F.count("*") >= F.max("lines")).alias("whole"), F.max("error").alias("error"),
-                                        F.max("started_at").alias("started_at"), F.max("scraped_at").alias("scraped_at")).persist()
-        done = counted.filter("whole").drop("whole")
-        good = done.filter("error is null").drop("error")
+        counted = rows.groupBy(*by).agg(F.count("*").alias("_here"), F.max("lines").alias("_lines"), F.max("error").alias("error"),
+                                        F.max("started_at").alias("started_at"), F.max("scraped_at").alias("scraped_at"), F.min("_arrived").alias("_since"))
+        whole = F.coalesce(F.col("_here") >= F.col("_lines"), F.lit(False)) | F.col("error").isNotNull()
+        late = ~whole & (F.unix_micros(now) - F.unix_micros("_since") >= int(timeout * 1e6))
+        cut = F.concat(F.lit("scrape incomplete: "), F.col("_here").cast("string"), F.lit(" of "), F.coalesce(F.col("_lines").cast("string"), F.lit("?")), F.lit(" lines"))
+        counted = counted.withColumn("_done", whole | late).withColumn("error", F.when(late, cut).otherwise(F.col("error"))).persist()
+        done = counted.where("_done").select(*by, "error", "started_at", "scraped_at")
+        good = done.where("error is null").drop("error")
         samples = read_metric_scrapes(rows.join(good.select(*by), by, "left_semi").select(*by, "line_no", "text")).persist()
         of_scrape = lambda df: df.join(good.select(*by), "agent_id")
         documents = m.status_documents(good, samples, of_scrape(routes), of_scrape(receivers), of_scrape(exporters), by)
-        done.select(*by, "scraped_at", F.col("error").isNull().alias("healthy"), F.coalesce("error", F.lit("")).alias("last_error")).join(
-            documents, by, "left").write.mode("overwrite").parquet(f"{out}/reports/batch={batch_id}")
-        rows.join(counted.filter("not whole").select(*by), by, "left_semi").write.mode("overwrite").parquet(f"{out}/open/version={batch_id}")
-        remove(spark, f"{out}/open/version={batch_id - 2}")
+        fresh = done.select(*by, F.col("error").isNull().alias("healthy"), F.coalesce("error", F.lit("")).alias("last_error"),
+                            F.when(F.col("error").isNull(), F.col("scrape_id")).alias("good_scrape_id")).join(documents, by, "left")
+        rows.join(counted.where("not _done").select(*by), by, "left_semi").write.mode("overwrite").parquet(f"{out}/open/version={batch_id}")
+        runs.write(runs.combine(fresh, False), batch_id)
+        for old in ("open/version", "arrivals/batch"):
+            remove(spark, f"{out}/{old}={batch_id - 2}")
         for kept in (samples, counted, rows):
             kept.unpersist()
 
     return lines.writeStream.foreachBatch(report).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()
 
 
-def current_reports(spark: SparkSession, out: str) -> DataFrame:
+def _arrival(spark: SparkSession, folder: str, batch_id: int) -> Column:
+    """When a batch came first. It is kept, so that a batch that runs again has the same time."""
+    path = f"{folder}/batch={batch_id}"
+    kept = spark.read.schema("at bigint")
+    try:
+        at = kept.parquet(path).first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        at = None
+    if at is None:
+        spark.range(1).select(F.unix_micros(F.current_timestamp()).alias("at")).coalesce(1).write.mode("overwrite").parquet(path)
+        at = kept.parquet(path).first()
+    return F.timestamp_micros(F.lit(at["at"]))
+
+
+def current_reports(spark: SparkSession, out: str, scrape_type: str = "bigint", **options) -> DataFrame:
     """The newest report of each agent replaces the ones before: ``(agent_id,
     healthy, last_error, snapshot_json)``. Health follows the newest scrape; a
     failed one leaves the last counters as they are."""
-    reports = spark.read.parquet(f"{out}/reports").select("agent_id", "scrape_id", "healthy", "last_error", "snapshot_json")
-    last = reports.groupBy("agent_id").agg(F.max("scrape_id").alias("scrape_id"), F.max(F.when(F.col("healthy"), F.col("scrape_id"))).alias("_good"))
-    health = reports.drop("snapshot_json").join(last, ["agent_id", "scrape_id"])
-    counters = reports.select("agent_id", F.col("scrape_id").alias("_good"), "snapshot_json")
-    return health.join(counters, ["agent_id", "_good"], "left").select("agent_id", "healthy", "last_error", "snapshot_json")
+    return report_runs(out, scrape_type, **options).newest(spark).select("agent_id", "healthy", "last_error", "snapshot_json")
+
+
+def _flap_runs(out: str) -> Runs:
+    return Runs(out, T.StructType.fromDDL("agent_id string, minute timestamp, restarts bigint"), added_up(["agent_id", "minute"], ["restarts"]))
 
 
 def flap_stream(restarts: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
@@ -181,19 +234,26 @@ def flap_stream(restarts: DataFrame, out: str, checkpoint: str, every: str | Non
     is too late to count. A batch that is run again replaces its counts.
 
     ``restarts`` is a stream of ``(agent_id, restarted_at)``; without a time a
-    restart is in no window. See ``flap_windows``.
+    restart is in no window. See ``flap_counts``.
     """
+    runs = _flap_runs(out)
+
     def count(batch: DataFrame, batch_id: int) -> None:
-        counts = batch.filter("restarted_at is not null").groupBy("agent_id", F.date_trunc("minute", "restarted_at").alias("minute")).agg(
-            F.count("*").alias("restarts"))
-        counts.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        runs.begin(batch.sparkSession, batch_id)
+        runs.write(batch.filter("restarted_at is not null").groupBy("agent_id", F.date_trunc("minute", "restarted_at").alias("minute")).agg(
+            F.count("*").alias("restarts")), batch_id)
 
     return restarts.writeStream.foreachBatch(count).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()
 
 
+def flap_counts(spark: SparkSession, out: str) -> DataFrame:
+    """What ``flap_stream`` has counted so far: ``(agent_id, minute, restarts)``."""
+    return _flap_runs(out).newest(spark)
+
+
 def flap_windows(counts: DataFrame, threshold: int = f.FLAP_THRESHOLD) -> DataFrame:
     """Agents with at least ``threshold`` restarts in ten minutes that begin at
-    ``window_start``, from the counts of ``flap_stream``."""
+    ``window_start``, from ``flap_counts``."""
     back = F.explode(F.sequence(F.lit(0), F.lit(f.FLAP_WINDOW_SECONDS - 60), F.lit(60)))
     each = counts.select("agent_id", "restarts", "minute", back.alias("_back"))
     start = F.timestamp_seconds(F.unix_seconds("minute") - F.col("_back"))
