@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.leaves import leaf_paths, tokens
 from .chain import computed_once
 from .routing import component_type
 
@@ -29,11 +30,12 @@ def with_variant(configs: DataFrame) -> DataFrame:
     return computed_once(configs.withColumnRenamed("doc", "_text"), "doc", F.try_parse_json("_text")).drop("_text")
 
 
-def _object(doc: Column, path: str) -> Column:
+def objects(doc: Column, path: str) -> Column:
+    """The fields of an object; NULL where there is none."""
     return F.try_variant_get(doc, path, "map<string,variant>")
 
 
-def _strings(value: Column, path: str) -> Column:
+def strings(value: Column, path: str) -> Column:
     """String items of a list; anything else in it is dropped."""
     items = F.try_variant_get(value, path, "array<variant>")
     texts = F.filter(items, lambda v: F.schema_of_variant(v) == "STRING")
@@ -43,7 +45,7 @@ def _strings(value: Column, path: str) -> Column:
 def config_components(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """``(by…, category, id)`` of every defined receiver, exporter and extension."""
     docs = with_variant(configs)
-    lists = F.array(*[F.struct(F.lit(c).alias("category"), F.map_keys(_object(F.col("doc"), f"$.{s}")).alias("ids"))
+    lists = F.array(*[F.struct(F.lit(c).alias("category"), F.map_keys(objects(F.col("doc"), f"$.{s}")).alias("ids"))
                       for s, c in CATEGORY.items()])
     one = docs.select(*by, F.inline(lists))
     return one.select(*by, "category", F.explode("ids").alias("id"))
@@ -52,20 +54,20 @@ def config_components(configs: DataFrame, by: Sequence[str] = ("agent_id",)) ->
 def config_routes(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """``(by…, pipeline, receivers, exporters)`` of every pipeline."""
     docs = with_variant(configs)
-    each = docs.select(*by, F.explode(_object(F.col("doc"), "$.service.pipelines")).alias("pipeline", "_def"))
-    return each.select(*by, "pipeline", _strings(F.col("_def"), "$.receivers").alias("receivers"),
-                       _strings(F.col("_def"), "$.exporters").alias("exporters"))
+    each = docs.select(*by, F.explode(objects(F.col("doc"), "$.service.pipelines")).alias("pipeline", "_def"))
+    return each.select(*by, "pipeline", strings(F.col("_def"), "$.receivers").alias("receivers"),
+                       strings(F.col("_def"), "$.exporters").alias("exporters"))
 
 
 def config_active_extensions(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
     docs = with_variant(configs)
-    return docs.select(*by, F.explode(_strings(F.col("doc"), "$.service.extensions")).alias("id"))
+    return docs.select(*by, F.explode(strings(F.col("doc"), "$.service.extensions")).alias("id"))
 
 
 def config_host_settings(configs: DataFrame, type_: str = "dataset", by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """Host fallback of each data-lake exporter, for ``config_audit``."""
     docs = with_variant(configs)
-    each = docs.select(*by, F.explode(_object(F.col("doc"), "$.exporters")).alias("id", "_def"))
+    each = docs.select(*by, F.explode(objects(F.col("doc"), "$.exporters")).alias("id", "_def"))
     text = lambda field: F.try_variant_get("_def", f"$.server_host.{field}", "string")
     return each.filter(component_type(F.col("id")) == type_).select(
         *by, "id", F.coalesce(text("use_hostname"), F.lit("true")).alias("use_hostname"), text("server_host").alias("server_host"))
@@ -76,56 +78,23 @@ def explode_config(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> tup
     return config_components(configs, by), config_routes(configs, by)
 
 
-def depth(configs: DataFrame) -> int:
-    """The deepest nesting of any document: brackets outside of texts, counted
-    in one aggregate."""
-    text = F.to_json("doc")
-    brackets = F.regexp_replace(F.regexp_replace(text, r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', ""), r"[^{}\[\]]++", "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-
-    def step(acc: Column, c: Column) -> Column:
-        now = acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
-
-    each = F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), start, step)["most"]
-    return with_variant(configs).agg(F.max(each).alias("n")).first()["n"] or 0
-
-
-def config_leaves(configs: DataFrame, by: Sequence[str] = ("agent_id",), max_depth: int | None = None, redact: bool = False) -> DataFrame:
+def config_leaves(configs: DataFrame, by: Sequence[str] = ("agent_id",), redact: bool = False) -> DataFrame:
     """One row per leaf: ``(by…, path, value, is_text)``.
 
-    ``path`` is an array of keys and ``[i]`` list positions. Each level is one
-    narrow step, with no shuffle; there are as many as the documents are deep,
-    which one aggregate finds out. With ``max_depth`` (a stream needs it) that
-    is left out, and a deeper document fails the job rather than lose its
-    leaves. Empty objects and lists are leaves. ``redact`` replaces the whole
-    subtree under a sensitive key.
+    ``path`` is an array of keys and ``[i]`` list positions. One narrow pass over a
+    document's tokens, however deep it is; batch and stream are the same plan.
+    Empty objects and lists are leaves. ``redact`` replaces the whole subtree under a
+    sensitive key.
     """
-    spark = configs.sparkSession
-    max_depth = depth(configs) if max_depth is None else max_depth
-    level = with_variant(configs).select(*by, F.array().cast("array<string>").alias("path"), "doc").filter("doc is not null")
-    hidden = F.parse_json(F.lit(f'"{REDACTED}"'))
-    for _ in range(max_depth):
-        children = spark.tvf.variant_explode_outer(F.col("doc").outer()).select(
-            F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
-        value = F.when(F.lower("_key").isin(*SENSITIVE), hidden).otherwise(F.col("_value")) if redact else F.col("_value")
-        step = F.coalesce(F.col("_key"), F.concat(F.lit("["), F.col("_pos"), F.lit("]")))
-        level = level.lateralJoin(children).select(
-            *by,
-            F.when(F.col("_pos").isNull(), F.col("path")).otherwise(F.array_append("path", step)).alias("path"),
-            F.when(F.col("_pos").isNull(), F.col("doc")).otherwise(value).alias("doc"),
-        )
-    text = F.to_json("doc")
-    is_text = text.startswith('"')
-    deeper = text.rlike(r"^[{\[]") & ~text.isin("{}", "[]")
-    value = F.when(is_text, F.variant_get("doc", "$", "string")).otherwise(text)
-    return level.select(*by, "path", F.when(deeper, F.raise_error(F.lit(f"config document nested deeper than {max_depth}"))).otherwise(
-        value).alias("value"), is_text.alias("is_text"))
-
-
-def redact(configs: DataFrame, by: Sequence[str] = ("agent_id",), max_depth: int | None = None) -> DataFrame:
+    docs = with_variant(configs).select(*by, "doc").filter("doc is not null")
+    cut = computed_once(docs.select(*by, F.to_json("doc").alias("_json")), "_tokens", tokens(F.col("_json")))
+    leaves = leaf_paths(F.col("_tokens"), SENSITIVE, REDACTED) if redact else leaf_paths(F.col("_tokens"))
+    return cut.select(*by, F.inline(leaves))
+
+
+def redact(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """Leaves with sensitive subtrees replaced, ``${…}`` references included."""
-    return config_leaves(configs, by, max_depth, redact=True)
+    return config_leaves(configs, by, redact=True)
 
 
 def _under_sensitive(path: Column) -> Column:

@@ -2,43 +2,62 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+#: A dimension that Spark's statistics take to be larger is not broadcast.
 BROADCAST_BYTES = 32 << 20
 SALTS = 32
+_UNITS = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}
 
 
-def is_small(dim: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a dimension: at most ``rows`` rows and ``size`` bytes as text.
+def estimated_bytes(df: DataFrame) -> float:
+    """The size of a table by the optimizer's statistics: of its files, or of the
+    plan above them. Nothing is run."""
+    text = df.sparkSession.sql("explain cost select * from {df}", df=df).first()[0]
+    size, unit = re.search(r"sizeInBytes=([0-9.E+]+) (\w+)", text).groups()
+    return float(size) * _UNITS.get(unit, float("inf"))
 
-    Reads no more than ``rows`` + 1 rows.
-    """
-    width = F.sum(F.octet_length(F.to_json(F.struct(*dim.columns))))
-    n, total = dim.limit(rows + 1).agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
-    return n <= rows and total <= size
+
+def is_small(dim: DataFrame, size: int = BROADCAST_BYTES) -> bool:
+    return estimated_bytes(dim) <= size
 
 
-def join_dimension(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner",
-                   rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
-    """Inner or left join of a large, possibly skewed table to a dimension.
+def join_dimension(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str = "inner", size: int = BROADCAST_BYTES, salts: int = SALTS) -> DataFrame:
+    """Inner or left join of a large, possibly skewed table or stream to a dimension.
 
-    A dimension measured to be small is broadcast. A larger one is replicated
-    once per salt, so that the rows of a hot key spread over ``salts`` tasks.
+    A dimension that is small by its statistics is broadcast. A larger one is
+    replicated once per salt, so that the rows of a hot key spread over ``salts``
+    tasks, without help from adaptive execution, which streams do not have.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    if is_small(dim, rows, size):
+    if is_small(dim, size):
         return fact.join(F.broadcast(dim), list(on), how)
-    if fact.isStreaming:
-        return fact.join(dim, list(on), how)
-    own = fact.columns if _hashable(fact) else [F.to_json(F.struct(*fact.columns))]
-    salt = F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")
     copies = dim.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return fact.withColumn("_salt", salt).join(copies, [*on, "_salt"], how).drop("_salt")
+    return fact.withColumn("_salt", _salt(fact, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
+
+
+def look_up(fact: DataFrame, dim: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
+    """Left join of a table to another one that is as large, but has one row per key.
+
+    Which salts a key has in ``fact`` is found out first (combined before the
+    shuffle); only these get a copy of the key's row. A hot key has ``salts`` tasks, a
+    rare one no more rows than before.
+    """
+    salted = fact.withColumn("_salt", _salt(fact, salts))
+    copies = salted.select(*on, "_salt").distinct().join(dim, list(on), "left")
+    return salted.join(copies, [*on, "_salt"], "left").drop("_salt")
+
+
+def _salt(df: DataFrame, salts: int):
+    """From the row's own values, so that it is the same when a lost task runs again.
+    Spark hashes every type but maps (and variants), which go in as JSON."""
+    own = [F.to_json(F.struct(c)) if "map<" in t or "variant" in t else F.col(c) for c, t in df.dtypes]
+    return F.pmod(F.xxhash64(*own), F.lit(salts)).cast("int")
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -48,9 +67,3 @@ def spread(df: DataFrame) -> DataFrame:
     if df.isStreaming or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
-
-
-def _hashable(df: DataFrame) -> bool:
-    """Spark hashes every type but maps (and variants), which go in as JSON: a
-    salt from the row's own values stays the same when a lost task is run again."""
-    return not any(word in t for _, t in df.dtypes for word in ("map<", "variant"))

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .joins import look_up
 from .ordered import with_previous
 from .topology import topology_documents
 
@@ -83,27 +84,35 @@ def attribute_pipelines(routes: DataFrame, accepted: DataFrame, sent: DataFrame,
                         by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """Split each exporter's totals over the pipelines that use it.
 
-    ``routes`` is ``(by…, pipeline, receivers, exporters)``, the others are
-    ``(by…, id, n)``. A pipeline's share of an exporter is its part of the
+    ``routes`` is ``(by…, pipeline, receivers, exporters)``; see ``attribute_members``.
+    """
+    member = lambda column: routes.select(*by, "pipeline", F.explode_outer(column).alias("id"))
+    return attribute_members(member("receivers"), member("exporters"), accepted, sent, failed, by)
+
+
+def attribute_members(receivers: DataFrame, exporters: DataFrame, accepted: DataFrame, sent: DataFrame, failed: DataFrame,
+                      by: Sequence[str] = ("agent_id",)) -> DataFrame:
+    """Split each exporter's totals over the pipelines that use it.
+
+    ``receivers`` and ``exporters`` are the members of pipelines, ``(by…, pipeline, id)``,
+    the others are ``(by…, id, n)``. A pipeline's share of an exporter is its part of the
     events that all pipelines of that exporter took in, or an even part if they
     took in none. Shares are summed and rounded once. A receiver or exporter
-    listed twice counts twice.
+    listed twice counts twice; a pipeline without any has one row with a NULL id.
     """
     by = list(by)
     zero = F.lit(0).cast("bigint")
-    members = routes.select(*by, "pipeline", F.explode_outer("receivers").alias("id"))
-    volume = (members.join(accepted, [*by, "id"], "left")
-              .groupBy(*by, "pipeline").agg(F.coalesce(F.sum("n"), zero).alias("events_in")))
-    uses = (routes.select(*by, "pipeline", F.explode_outer("exporters").alias("id"))
-            .join(volume, [*by, "pipeline"]))
-    # Totals per exporter are joined back rather than windowed, so that a widely
-    # shared exporter is combined map-side and its rows stay spread out.
+    # A receiver or exporter that all pipelines share is one key: it is looked up per salt.
+    volume = look_up(receivers.select(*by, "pipeline", "id"), accepted.select(*by, "id", "n"), [*by, "id"])
+    volume = volume.groupBy(*by, "pipeline").agg(F.coalesce(F.sum("n"), zero).alias("events_in"))
+    # A pipeline may list many exporters, an agent many pipelines: this joins as many rows as it keeps.
+    uses = look_up(exporters.select(*by, "pipeline", "id"), volume, [*by, "pipeline"]).withColumn("events_in", F.coalesce("events_in", zero))
     totals = uses.groupBy(*by, "id").agg(F.sum("events_in").alias("total_in"), F.count("*").alias("users"))
     totals = (totals.join(sent.withColumnRenamed("n", "sent"), [*by, "id"], "left")
               .join(failed.withColumnRenamed("n", "failed"), [*by, "id"], "left"))
     share = F.when(F.col("total_in") > 0, F.col("events_in") / F.col("total_in")).otherwise(F.lit(1.0) / F.col("users"))
     part = lambda c: F.round(F.sum(share * F.coalesce(c, zero))).cast("bigint")
-    return uses.join(totals, [*by, "id"], "left").groupBy(*by, "pipeline").agg(
+    return look_up(uses, totals, [*by, "id"]).groupBy(*by, "pipeline").agg(
         F.any_value("events_in").alias("events_in"),
         F.coalesce(part("sent"), zero).alias("events_out"),
         F.coalesce(part("failed"), zero).alias("events_dropped"))

@@ -1,4 +1,4 @@
-"""Receiver -> pipeline -> exporter graphs, one per agent, as two tables."""
+"""Receiver -> pipeline -> exporter graphs, one per agent, with the flow through them."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SECTION = {"receiver": "receivers", "pipeline": "pipelines", "exporter": "exporters"}
-
+from .chain import computed_once
+from .configs import objects, strings, with_variant
 
 def topology_nodes(components: DataFrame, routes: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """``(by…, id, type)``: every receiver and exporter, used or not, and every pipeline."""
@@ -48,55 +48,85 @@ def topology_documents(routes: DataFrame, receivers: DataFrame, exporters: DataF
     return found.select(*by, F.struct(nodes.alias("nodes"), F.flatten(F.transform("_n", lambda n: n["edges"])).alias("edges")).alias("topology"))
 
 
-def node_flow(nodes: DataFrame, counters: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
-    """Nodes with their own events_in. Never events_out: fan-out inflates it."""
-    section = F.create_map(*[F.lit(x) for kv in SECTION.items() for x in kv])
-    flows = counters.filter(F.col("field") == "events_in").select(
-        *by, F.col("component").alias("id"), F.col("section"), F.col("value").alias("flow"))
-    return (nodes.withColumn("section", F.element_at(section, F.col("type")))
-            .join(flows, [*by, "section", "id"], "left").drop("section")
-            .withColumn("flow", F.coalesce("flow", F.lit(0).cast("bigint"))))
-
-
-def edge_flow(edges: DataFrame, flows: DataFrame, by: Sequence[str] = ("agent_id",), nodes: DataFrame | None = None) -> DataFrame:
-    """Edges between existing nodes with the flow of their source node:
-    a receiver's on the way in, a pipeline's on the way out. ``flows`` comes
-    from ``node_flow``; give ``nodes`` too, so that the check of the target end
-    does not compute the flows again."""
-    source = flows.select(*by, F.col("id").alias("from"), F.when(F.col("type") == "receiver", "in").when(
-        F.col("type") == "pipeline", "out").alias("kind"), "flow").filter("kind is not null")
-    target = (flows if nodes is None else nodes).select(*by, F.col("id").alias("to"), F.when(F.col("type") == "pipeline", "in").when(
-        F.col("type") == "exporter", "out").alias("kind")).filter("kind is not null")
-    return edges.join(source, [*by, "from", "kind"]).join(target, [*by, "to", "kind"], "left_semi")
-
-
-def flow_percent(flows: DataFrame, nodes: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
-    """Add each row's flow as a rounded percent of the agent's total ingest
-    (all receivers' flow); 0 without ingest. ``nodes`` comes from ``node_flow``."""
-    total = nodes.filter(F.col("type") == "receiver").groupBy(*by).agg(F.sum("flow").alias("_total"))
-    percent = F.when(F.col("_total") > 0, F.round(F.col("flow") / F.col("_total") * 100)).otherwise(F.lit(0.0))
-    return flows.join(total, list(by), "left").withColumn("percent", percent.cast("int")).drop("_total")
+def agent_graphs(configs: DataFrame, counters: DataFrame, by: Sequence[str] = ("agent_id",), pipeline_volume: bool = False, locale_order: bool = True) -> DataFrame:
+    """The flow graph of each agent, as one row ``(by…, nodes, links)``.
 
+    ``configs`` has one document ``doc`` for each of ``by``, ``counters`` is ``(by…, section,
+    component, field, value)``. Counters are added up per component and then meet
+    the document of their agent; everything else happens inside its row.
 
-def rank_nodes(flows: DataFrame, by: Sequence[str] = ("agent_id",), locale_order: bool = True) -> DataFrame:
-    """Position of each node in its column: flow descending, then id.
-
-    Locale order sorts ids as a browser would; otherwise by code point. The
-    nodes of one agent all come out of one config document, which is one row
-    of the input, so a window per agent holds no more than that row did.
+    A node's flow is its own events_in, 0 if there is none. Never events_out:
+    fan-out inflates it. With ``pipeline_volume`` that of a pipeline is what its receivers took
+    in, one listed twice counted twice. A link has the flow of its source: a receiver's
+    on the way in, a pipeline's on the way out; links without one of their ends are left
+    out. Percents are of all that the receivers took in; 0 without any. The rank in a
+    column is by flow, falling, then by id, in locale order as a browser would, or else by
+    code point. Links go by pipeline, in the order of its lists. An
+    agent without a document has no row. See ``graph_nodes`` and ``graph_links``.
     """
-    name = F.collate("id", "UNICODE") if locale_order else F.col("id")
-    column = Window.partitionBy(*by, "type").orderBy(F.desc("flow"), name, "id")
-    return flows.withColumn("rank", F.row_number().over(column).cast("bigint"))
-
-
-def compare_topology(flows: DataFrame, agents: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
+    by = list(by)
+    zero = F.lit(0).cast("bigint")
+    volume = counters.where(F.col("field") == "events_in").groupBy(*by, "section", "component").agg(F.sum("value").cast("bigint").alias("value"))
+    entry = F.struct(F.concat_ws(" ", "section", "component").alias("key"), "value").alias("_volume")
+    one = configs.select(*by, "doc").unionByName(volume.select(*by, entry), allowMissingColumns=True).groupBy(*by).agg(
+        F.any_value("doc", True).alias("doc"), F.collect_list("_volume").alias("_volumes"))
+    one = with_variant(one.where("doc is not null")).where("doc is not null")
+
+    # Step by step: each column is used more than once.
+    for name, value in (
+        ("_flows", F.map_from_entries("_volumes")), ("_pipelines", objects(F.col("doc"), "$.service.pipelines")),
+        ("_receivers", F.map_keys(objects(F.col("doc"), "$.receivers"))), ("_exporters", F.map_keys(objects(F.col("doc"), "$.exporters"))),
+    ):
+        one = computed_once(one, name, value)
+    one = one.drop("_volumes", "doc")
+    ids = lambda name: F.coalesce(F.col(name), F.array().cast("array<string>"))
+    flow_of = lambda section, id_: F.coalesce(F.try_element_at("_flows", F.concat(F.lit(f"{section} "), id_)), zero)
+
+    def route(name: Column) -> Column:
+        definition = F.try_element_at("_pipelines", name)
+        receivers = strings(definition, "$.receivers")
+        taken = F.aggregate(receivers, zero, lambda sum_, id_: sum_ + flow_of("receivers", id_)) if pipeline_volume else flow_of("pipelines", name)
+        return F.struct(name.alias("id"), receivers.alias("receivers"), strings(definition, "$.exporters").alias("exporters"), taken.alias("flow"))
+
+    one = computed_once(one, "_routes", F.transform(F.array_sort(F.coalesce(F.map_keys("_pipelines"), F.array().cast("array<string>"))), route))
+    total = F.aggregate(ids("_receivers"), zero, lambda sum_, id_: sum_ + flow_of("receivers", id_))
+    one = computed_once(one, "_total", total)
+    percent = lambda flow: F.when(F.col("_total") > 0, F.round(flow / F.col("_total") * 100)).otherwise(F.lit(0.0)).cast("int").alias("percent")
+
+    def column(type_: str, rows: Column) -> Column:
+        name = lambda id_: F.collate(id_, "UNICODE") if locale_order else id_
+        ranked = F.array_sort(F.transform(rows, lambda n: F.struct((-n["flow"]).alias("order"), name(n["id"]).alias("name"), n["id"].alias("id"))))
+        return F.transform(ranked, lambda n, i: F.struct(
+            n["id"].alias("id"), F.lit(type_).alias("type"), (-n["order"]).alias("flow"), percent(-n["order"]), (i + 1).cast("bigint").alias("rank")))
+
+    def own(section: str, name: str) -> Column:
+        return F.transform(ids(name), lambda id_: F.struct(id_.alias("id"), flow_of(section, id_).alias("flow")))
+
+    def links(r: Column) -> Column:
+        end = lambda from_, to, kind, flow, there: F.struct(from_.alias("from"), to.alias("to"), F.lit(kind).alias("kind"), flow.alias("flow"), percent(flow), there.alias("_there"))
+        into = F.transform(r["receivers"], lambda id_: end(id_, r["id"], "in", flow_of("receivers", id_), F.array_contains(ids("_receivers"), id_)))
+        out = F.transform(r["exporters"], lambda id_: end(r["id"], id_, "out", r["flow"], F.array_contains(ids("_exporters"), id_)))
+        return F.concat(into, out)
+
+    nodes = F.concat(column("receiver", own("receivers", "_receivers")), column("pipeline", F.transform("_routes", lambda r: F.struct(r["id"], r["flow"]))),
+                     column("exporter", own("exporters", "_exporters")))
+    return one.select(*by, nodes.alias("nodes"), F.filter(F.flatten(F.transform("_routes", links)), lambda e: e["_there"]).alias("links"))
+
+
+def graph_nodes(graphs: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
+    """``(by…, id, type, flow, percent, rank)`` of every node; none where nothing is configured."""
+    return graphs.select(*by, F.inline("nodes"))
+
+
+def graph_links(graphs: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
+    """``(by…, link_no, from, to, kind, flow, percent, offset)``: offset is the flow of
+    the links before that end in the same node. The rows of an agent are where its graph
+    was, so the window moves nothing."""
+    each = graphs.select(*by, F.posexplode("links").alias("link_no", "_l")).select(*by, "link_no", *[f"_l.{c}" for c in ("from", "to", "kind", "flow", "percent")])
+    below = Window.partitionBy(*by, "kind", "to").orderBy("link_no").rowsBetween(Window.unboundedPreceding, -1)
+    return each.withColumn("offset", F.coalesce(F.sum("flow").over(below), F.lit(0)).cast("bigint"))
+
+
+def compare_topology(nodes: DataFrame, agents: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:
     """Graphs of the chosen agents side by side, never merged."""
-    return flows.join(agents.select(*by).distinct(), list(by), "left_semi")
-
-
-def inbound_offsets(edges: DataFrame, order: str, by: Sequence[str] = ("agent_id",)) -> DataFrame:
-    """Events stacked below each inbound link of a node, in ``order``; a node's
-    links come out of one config document."""
-    below = Window.partitionBy(*by, "to").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return edges.withColumn("offset", F.coalesce(F.sum("flow").over(below), F.lit(0)).cast("bigint"))
+    return nodes.join(agents.select(*by).distinct(), list(by), "left_semi")

@@ -236,13 +236,14 @@ def attribution_by_agent(spark, sf):
     return _attributed(spark, sf).withColumnRenamed("pipeline", "route")
 
 
-def _flow_counters(spark, sf):
-    """events_in of receivers, pipelines and exporters in long form."""
-    run = lambda sql: run_sql(spark, sf, sql)
-    total = run(_SENT).unionByName(run(_FAILED)).groupBy("agent_id", "id").agg(F.sum("n").alias("events_in"))
-    return (m.long_counters("receivers", run(_ACC).withColumnRenamed("n", "events_in"), "id", ["events_in"], ["agent_id"])
-            .unionByName(m.long_counters("pipelines", _attributed(spark, sf), "pipeline", ["events_in"], ["agent_id"]))
-            .unionByName(m.long_counters("exporters", total, "id", ["events_in"], ["agent_id"])))
+# One pass over the orders: what receivers took in and what exporters were given.
+_VOLUME = """select concat('agent-', o_custkey) as agent_id, 'events_in' as field, inline(array(
+    struct('receivers' as section, case o_orderkey % 3 when 2 then 'file_log/r2' else concat('syslog/r', o_orderkey % 3) end as component, o_orderkey % 97 as value),
+    struct('exporters' as section, concat('hec/x', o_orderkey % 2) as component, o_orderkey % 89 as value))) from {orders}"""
+
+
+def _graphs(spark, sf, locale_order: bool = False):
+    return t.agent_graphs(run_sql(spark, sf, DOCS), run_sql(spark, sf, _VOLUME), pipeline_volume=True, locale_order=locale_order)
 
 
 _FLOWS = f"""select agent_id, id, type, coalesce(n, 0)::bigint as flow from (
@@ -256,16 +257,9 @@ _EDGES = f"""select agent_id, unnest(receivers) as "from", pipeline as "to", 'in
     union all select agent_id, pipeline, unnest(exporters), 'out' from ({ROUTES})"""
 
 
-def _flows(spark, sf):
-    """Nodes, nodes with flow, and edges."""
-    components, routes = c.explode_config(docs(spark, sf))
-    nodes = t.topology_nodes(components, routes)
-    return nodes, t.node_flow(nodes, _flow_counters(spark, sf)), t.topology_edges(routes)
-
-
 @query(f"select agent_id, id, type, flow from ({_FLOWS})")
 def topology_nodes(spark, sf):
-    return _flows(spark, sf)[1]
+    return t.graph_nodes(_graphs(spark, sf)).select("agent_id", "id", "type", "flow")
 
 
 @query(_EDGES)
@@ -285,27 +279,42 @@ def _percent(flow: str) -> str:
 
 @query(f"select e.*, {_percent('flow')} as percent from ({_EDGE_FLOW}) e join ({_TOTAL}) using (agent_id)")
 def edge_flow_percent(spark, sf):
-    nodes, flows, edges = _flows(spark, sf)
-    return t.flow_percent(t.edge_flow(edges, flows, nodes=nodes), flows)
+    return t.graph_links(_graphs(spark, sf)).select("agent_id", "from", "to", "kind", "flow", "percent")
 
 
 @query(f"""select agent_id, id, type, flow, {_percent('flow')} as percent, row_number() over (partition by agent_id, type order by flow desc, id) as rank
     from ({_FLOWS}) join ({_TOTAL}) using (agent_id)""")
 def ranked_nodes(spark, sf):
-    _, flows, _ = _flows(spark, sf)
-    return t.rank_nodes(t.flow_percent(flows, flows), locale_order=False)
+    return t.graph_nodes(_graphs(spark, sf))
+
+
+# Ids that differ in case, and agents without any events, so that ids decide the ranks.
+_MIXED = f"""select agent_id, replace(replace(replace(doc, 'hec/x1', 'HEC/x1'), 'syslog/r1', 'Syslog/r0'), 'file_log/r2', 'file/log') as doc from ({DOCS})"""
+# What the collation does to these ids: blanks and signs first, then digits, then letters whatever their case, lower case first.
+_LOCALE = "translate(lower(id), '_/', '!#'), id desc"
+
+
+@query(f"""select agent_id, id, type, row_number() over (partition by agent_id, type order by flow desc, {_LOCALE}) as rank from (
+    select agent_id, replace(replace(replace(id, 'hec/x1', 'HEC/x1'), 'syslog/r1', 'Syslog/r0'), 'file_log/r2', 'file/log') as id, type, 0 as flow from ({_FLOWS}))""")
+def ranked_nodes_locale(spark, sf):
+    """Ranks in the locale order, which is the default."""
+    none = run_sql(spark, sf, _VOLUME).limit(0)
+    return t.graph_nodes(t.agent_graphs(run_sql(spark, sf, _MIXED), none)).select("agent_id", "id", "type", "rank")
 
 
 @query(f"select f.* from ({_FLOWS}) f where agent_id in (select concat('agent-', c_custkey) from {{customer}} where c_acctbal > 9000)")
 def compared_agents(spark, sf):
-    _, flows, _ = _flows(spark, sf)
     chosen = run_sql(spark, sf, "select concat('agent-', c_custkey) as agent_id from {customer} where c_acctbal > 9000")
-    return t.compare_topology(flows, chosen)
+    return t.compare_topology(t.graph_nodes(_graphs(spark, sf)).select("agent_id", "id", "type", "flow"), chosen)
+
+
+# Links by pipeline, in the order of its lists.
+_LISTED = f"""select agent_id, unnest(receivers) as "from", pipeline as "to", 'in' as kind, pipeline, generate_subscripts(receivers, 1) as pos from ({ROUTES})
+    union all select agent_id, pipeline, unnest(exporters), 'out', pipeline, generate_subscripts(exporters, 1) from ({ROUTES})"""
+_LINKS = _EDGE_FLOW.replace(f"({_EDGES}) e", f"({_LISTED}) e").replace("e.kind, s.flow", "e.kind, e.pipeline, e.pos, s.flow")
 
 
-@query(f"""select agent_id, "from", "to", flow, coalesce(sum(flow) over (partition by agent_id, "to" order by kind, "from", n rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
-    from (select *, row_number() over (partition by agent_id, "from", "to" order by flow) as n from ({_EDGE_FLOW}))""")
+@query(f"""select agent_id, "from", "to", flow, coalesce(sum(flow) over (partition by agent_id, kind, "to" order by pipeline, pos rows between unbounded preceding and 1 preceding), 0)::bigint as "offset"
+    from ({_LINKS})""")
 def inbound_offsets(spark, sf):
-    nodes, flows, edges = _flows(spark, sf)
-    links = t.edge_flow(edges, flows, nodes=nodes).withColumn("edge_no", F.struct("kind", "from"))
-    return t.inbound_offsets(links, "edge_no").select("agent_id", "from", "to", "flow", "offset")
+    return t.graph_links(_graphs(spark, sf)).select("agent_id", "from", "to", "flow", "offset")

@@ -103,21 +103,21 @@ def attribution_sql(routes: str, accepted: str, sent: str, failed: str) -> str:
 
 
 # One shared graph: suppliers are receivers, nations pipelines, regions exporters.
-SHARED_ROUTES = """select 'fleet' as agent_id, concat('logs/', n.n_name) as pipeline,
-    {agg}(concat('syslog/s', s.s_suppkey)) as receivers, {pair} as exporters
-    from {{nation}} n join {{supplier}} s on s.s_nationkey = n.n_nationkey group by n.n_name, n.n_regionkey"""
-_PAIR = "concat('hec/r', n.n_regionkey), concat('hec/r', (n.n_regionkey + 1) % 5)"
+SHARED_RECEIVERS = """select 'fleet' as agent_id, concat('logs/', n_name) as pipeline, concat('syslog/s', s_suppkey) as id
+    from {nation} join {supplier} on s_nationkey = n_nationkey"""
+SHARED_EXPORTERS = """select 'fleet' as agent_id, concat('logs/', n_name) as pipeline, concat('hec/r', (n_regionkey + k) % 5) as id
+    from {nation} join (select distinct s_nationkey from {supplier}) s on s_nationkey = n_nationkey cross join (select 0 as k union all select 1) two"""
+_SHARED_ROUTES = f"""select agent_id, pipeline, receivers, exporters from (select agent_id, pipeline, list(id) as receivers from ({SHARED_RECEIVERS}) group by 1, 2)
+    join (select agent_id, pipeline, list(id) as exporters from ({SHARED_EXPORTERS}) group by 1, 2) using (agent_id, pipeline)"""
 SHARED_ACCEPTED = "select 'fleet' as agent_id, concat('syslog/s', l_suppkey) as id, count(*) as n from {lineitem} group by l_suppkey"
 SHARED_SENT = """select 'fleet' as agent_id, concat('hec/r', n.n_regionkey) as id, count(*) filter (where l.l_returnflag {op} 'R') as n
     from {{lineitem}} l join {{supplier}} s on s.s_suppkey = l.l_suppkey join {{nation}} n on n.n_nationkey = s.s_nationkey group by n.n_regionkey"""
 
 
-@query(attribution_sql(SHARED_ROUTES.format(agg="list", pair=f"[{_PAIR}]").replace("{{", "{").replace("}}", "}"), SHARED_ACCEPTED,
-                       SHARED_SENT.format(op="<>"), SHARED_SENT.format(op="=")))
+@query(attribution_sql(_SHARED_ROUTES, SHARED_ACCEPTED, SHARED_SENT.format(op="<>"), SHARED_SENT.format(op="=")))
 def attribution(spark, sf):
     run = lambda sql: run_sql(spark, sf, sql)
-    return m.attribute_pipelines(run(SHARED_ROUTES.format(agg="collect_list", pair=f"array({_PAIR})")), run(SHARED_ACCEPTED),
-                                 run(SHARED_SENT.format(op="<>")), run(SHARED_SENT.format(op="=")))
+    return m.attribute_members(run(SHARED_RECEIVERS), run(SHARED_EXPORTERS), run(SHARED_ACCEPTED), run(SHARED_SENT.format(op="<>")), run(SHARED_SENT.format(op="=")))
 
 
 DELIVERIES = """select concat('hec/c', o_custkey % 50) as exporter, o_orderkey as seq,

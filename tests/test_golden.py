@@ -171,11 +171,6 @@ def test_secret_report_and_placeholder(doc):
     assert configs.PLACEHOLDER in values and "${DIR}" not in values
 
 
-def test_too_deep_is_an_error(doc):
-    with pytest.raises(Exception, match="nested deeper"):
-        configs.config_leaves(doc, max_depth=2).collect()
-
-
 def test_definitions(doc):
     components, defs = configs.explode_config(doc)
     assert rows(routing.pipelines_referencing(defs, "receiver", "file_log/app"), "pipeline") == [("logs/app",)]
@@ -189,15 +184,26 @@ def test_definitions(doc):
         ("unknown signal", "test"), ("unused component", "lonely")]
     nodes = topology.topology_nodes(components, defs)
     assert rows(nodes, "type", "id") == [("exporter", "hec/a"), ("pipeline", "logs/app"), ("pipeline", "test"), ("receiver", "file_log/app"), ("receiver", "lonely")]
-    flows = topology.node_flow(nodes, nodes.sparkSession.createDataFrame([("a", "receivers", "file_log/app", "events_in", 10)], "agent_id string, section string, component string, field string, value bigint"))
-    edges = topology.edge_flow(topology.topology_edges(defs), flows)
-    assert ("logs/app", "ghost") not in rows(edges, "from", "to")
-    assert rows(edges, "from", "to", "flow").count(("file_log/app", "logs/app", 10)) == 2
+    counters = nodes.sparkSession.createDataFrame([("a", "receivers", "file_log/app", "events_in", 4), ("a", "receivers", "file_log/app", "events_in", 6), ("b", "receivers", "x", "events_in", 1)],
+                                                  "agent_id string, section string, component string, field string, value bigint")
+    graphs = topology.agent_graphs(doc, counters, pipeline_volume=True)
+    links = topology.graph_links(graphs)
+    assert ("logs/app", "ghost") not in rows(links, "from", "to")
+    # Listed twice: two links, and twice the volume of the pipeline.
+    assert rows(links, "from", "to", "flow", "offset", "percent") == [
+        ("file_log/app", "logs/app", 10, 0, 100), ("file_log/app", "logs/app", 10, 10, 100), ("logs/app", "hec/a", 20, 0, 200), ("test", "hec/a", 0, 20, 0)]
+    assert rows(topology.graph_nodes(graphs), "type", "id", "flow", "rank") == [
+        ("exporter", "hec/a", 0, 1), ("pipeline", "logs/app", 20, 1), ("pipeline", "test", 0, 2), ("receiver", "file_log/app", 10, 1), ("receiver", "lonely", 0, 2)]
 
 
 def test_empty_graph(spark, doc):
     components, defs = configs.explode_config(doc.limit(0))
     assert topology.topology_nodes(components, defs).count() == 0
+    counters = spark.createDataFrame([("a", "receivers", "r", "events_in", 1)], "agent_id string, section string, component string, field string, value bigint")
+    nothing = spark.createDataFrame([("a", "{}"), ("b", "no JSON"), ("c", None), ("d", '{"service":{"pipelines":[]},"receivers":5}')], "agent_id string, doc string")
+    for docs in (doc.limit(0), nothing):
+        graphs = topology.agent_graphs(docs, counters)
+        assert topology.graph_nodes(graphs).count() == topology.graph_links(graphs).count() == 0
 
 
 # --- fleet ---

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from logweave.operators import fleet
-from logweave.operators.joins import is_small, join_dimension
+from logweave.operators import fleet, metrics
+from logweave.operators.joins import is_small, join_dimension, look_up
 from logweave.operators.ordered import count_within, running_total, with_previous
 from logweave.operators.routing import route_in, route_out
+from logweave.session import shared_dir
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +59,7 @@ def test_salted_join(hot, how):
     dim = hot.sparkSession.createDataFrame([("hot", 1), ("hot", 2), ("k5", 3), ("nobody", 4)], "k string, d int")
     plain = hot.join(dim, "k", how)
     same(join_dimension(hot, dim, ["k"], how), plain)
-    salted = join_dimension(hot, dim, ["k"], how, rows=2)
+    salted = join_dimension(hot, dim, ["k"], how, size=2)
     assert "Generate explode" in salted._jdf.queryExecution().executedPlan().toString()
     same(salted, plain)
 
@@ -66,13 +67,63 @@ def test_salted_join(hot, how):
 def test_salted_join_with_maps(hot):
     df = hot.withColumn("m", F.create_map("k", "k"))
     dim = hot.select("k").distinct()
-    assert join_dimension(df, dim, ["k"], rows=1).count() == hot.count()
+    assert join_dimension(df, dim, ["k"], size=1).count() == hot.count()
 
 
 def test_size_check(spark):
-    assert is_small(spark.range(10))
-    assert not is_small(spark.range(11), rows=10)
-    assert not is_small(spark.range(10).select(F.repeat(F.lit("x"), 1000).alias("x")), size=5000)
+    """Sizes come from statistics: nothing is run."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("sizes", "")
+    assert is_small(spark.range(10)) and not is_small(spark.range(11), size=80)
+    join_dimension(spark.range(100).withColumnRenamed("id", "k"), spark.range(10).select(F.col("id").alias("k"), F.repeat(F.lit("x"), 1000).alias("x")), ["k"])
+    assert not tracker.getJobIdsForGroup("sizes")
+    spark.sparkContext.setJobGroup("other", "")
+
+
+def test_look_up(hot):
+    dim = hot.groupBy("k").agg(F.sum("v").alias("s")).where("k <> 'k5'")
+    same(look_up(hot, dim, ["k"]), hot.join(dim, "k", "left"))
+
+
+def test_a_hot_receiver_spreads_in_a_stream(spark):
+    """Nine records in ten are of one receiver, and the routes are too many to broadcast."""
+    root = shared_dir(spark)
+    spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("receiver"), F.col("id").alias("seq")).write.parquet(f"{root}/in")
+    stream = spark.readStream.schema("receiver string, seq long").parquet(f"{root}/in")
+    members = spark.createDataFrame([("hot", "a"), ("hot", "b"), ("cold", "a")], "receiver string, pipeline string")
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        routed = join_dimension(stream, members, ["receiver"], size=1).withColumn("task", F.spark_partition_id())
+        routed.writeStream.format("memory").queryName("routed").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+        seen = spark.table("routed").groupBy("task").count().collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sum(r["count"] for r in seen) == 2 * 18_000 + 2_000
+    assert max(r["count"] for r in seen) < 12_000 and len(seen) == 8
+
+
+def test_a_shared_exporter_is_split_without_adaptive_joins(spark):
+    """One exporter in all pipelines, adaptive execution off."""
+    n = 4000
+    pipelines = spark.range(n).select(F.lit("f").alias("agent_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("pipeline"))
+    receivers = pipelines.withColumn("id", F.col("pipeline"))
+    exporters = pipelines.withColumn("id", F.lit("x"))
+    one = lambda id_, k: spark.createDataFrame([("f", id_, k)], "agent_id string, id string, n long")
+    accepted = receivers.select("agent_id", "id", F.lit(2).cast("long").alias("n"))
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        out = metrics.attribute_members(receivers, exporters, accepted, one("x", n * 3), one("x", n))
+        assert [tuple(r) for r in out.groupBy("events_in", "events_out", "events_dropped").count().collect()] == [(2, 3, 1, n)]
+        uses = look_up(exporters, one("x", 1), ["agent_id", "id"]).groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in uses) < n / 2
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
 
 
 def test_no_record_is_lost_and_fan_out_adds_up(hot):
