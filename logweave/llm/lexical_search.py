@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..operators.joins import is_small
 from .arrays import LOWER, byte_class, mix, text_groups, word_hashes, words
 from .tables import carried, stored
 
@@ -32,6 +31,8 @@ LEVELS = (1, 2, 3, 5)
 BITS, HASHES = 10, 4
 #: Items of a block, and bytes of their texts; every block reads the index anew.
 BLOCK_ITEMS, BLOCK_BYTES = 1024, 1 << 20
+#: Ids of documents to score that are broadcast at most; more are joined by a shuffle.
+BROADCAST_IDS = 200_000
 _CELLS = 1 << 22
 _BILLION, _THOUSAND = 1_000_000_000, 1000
 
@@ -285,7 +286,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = 10, key: str = "d
         for r in found.collect():
             least[r["item"]] = r["score"]
         reach = stored(slices.mapInArrow(_bound_rows(block, k, least), f"id {kind}"))
-        best = _only(docs, reach.distinct(), is_small(reach)).mapInArrow(_score_rows(block, k), f"item int, score long, id {kind}")
+        few = reach.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        best = _only(docs, reach.distinct(), few).mapInArrow(_score_rows(block, k), f"item int, score long, id {kind}")
         labels = spark.createDataFrame(list(enumerate(ids)), StructType([StructField("item", IntegerType()), StructField("item_id", item_type)]))
         out.append(stored(_ranked(best, k).join(F.broadcast(labels), "item").select("item_id", "rank", "id", "score")))
     if not out:
