@@ -22,9 +22,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import LOWER, Cache, byte_class, text_groups, word_hashes, words
+from .arrays import LOWER, byte_class, text_groups, word_hashes, words
 
-CACHE_WORDS = 400_000
+#: Words that a worker knows before it starts anew.
+CACHE_WORDS = 1_000_000
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 256 << 10
 PAGE_ROWS = 1000
@@ -36,12 +37,14 @@ _SIGN[[ord(c) for c in ".,!?;:"]] = True
 
 
 class WordEncoder:
-    """Ids from the tokenizers library, each distinct word of a group of texts looked up once.
+    """Ids from the tokenizers library, each distinct word looked up once.
 
     Holds for tokenizers that drop white space and lower the case, as
     ``word_bpe_49k.json`` does: the ids of a text are those of its stretches
     without white space, and the tokenizer starts a new word at a sign that
-    follows a letter. Words the cache lacks go through the library.
+    follows a letter. What is known lies in arrays, by the sorted 64-bit hashes of
+    words: their ids stand one after the other in ``flat``. Words that are not
+    known go through the library.
     """
 
     def __init__(self, path: str):
@@ -49,22 +52,38 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache = Cache(CACHE_WORDS)
-
-    def lookup(self, words: list[bytes]) -> list[bytes]:
-        """Ids of distinct words as little-endian 32-bit integers."""
-        fresh = self.cache.missing(set(words))
-        for at in range(0, len(fresh), 20_000):
-            some = fresh[at:at + 20_000]
-            found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
-            self.cache.update((w, array("I", e.ids).tobytes()) for w, e in zip(some, found))
-        return [self.cache[w] for w in words]
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.begin, self.size, self.flat = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+
+    def learn(self, hashes: np.ndarray, words: list[bytes]) -> None:
+        """Add words that are not known; ``hashes`` are sorted."""
+        ids, sizes = array("i"), array("i")
+        for at in range(0, len(words), 20_000):
+            for found in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words[at:at + 20_000]], add_special_tokens=False):
+                own = found.ids
+                ids.extend(own)
+                sizes.append(len(own))
+        size = np.frombuffer(sizes, np.int32)
+        at = np.searchsorted(self.hashes, hashes)
+        begin = len(self.flat) + np.cumsum(size, dtype=np.int64) - size
+        self.hashes, self.begin, self.size = (np.insert(old, at, new) for old, new in ((self.hashes, hashes), (self.begin, begin), (self.size, size)))
+        self.flat = np.concatenate([self.flat, np.frombuffer(ids, np.int32)])
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        """Where the words of sorted hashes are among those known; -1 for one that is not."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, at, -1)
 
     def encode(self, column: pa.Array, closing: bytes = b"") -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Row ranges of a text column: (first, last, ids in each text, all ids).
 
         ``closing`` is put at the end of each text.
         """
+        end = np.frombuffer(closing, "<i4")
         for first_row, last_row, data, offs in text_groups(column):
             cuts = None
             if b"<|" not in data.tobytes():  # else a stretch may hold a special token, which has its own case
@@ -74,17 +93,28 @@ class WordEncoder:
                 cuts = np.zeros(len(data), bool)
                 cuts[1:] = letter[:-1] & _SIGN[data[1:]]
             starts, ends, first = words(data, offs, BLANKS, cuts)
-            _, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-            codes = self.lookup([data[s:e].tobytes() for s, e in zip(starts[at].tolist(), ends[at].tolist())])
-            which = np.insert(which, first[1:], len(codes))
-            codes.append(closing)
-            sizes = np.fromiter(map(len, codes), np.int64, len(codes)) // 4
-            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1]
-            counts = sizes[which]
+            distinct, at, which = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
+            place = self.places(distinct)
+            if (fresh := place < 0).any():
+                if len(self.hashes) > CACHE_WORDS:
+                    self.forget()
+                    fresh[:] = True
+                self.learn(distinct[fresh], [data[s:e].tobytes() for s, e in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist())])
+                place = self.places(distinct)
+            where = place[which]
+            counts = self.size[where].astype(np.int64)
             sums = np.concatenate([[0], np.cumsum(counts)])
-            flat = np.frombuffer(b"".join(codes), "<i4")
-            ids = flat[np.repeat(begin[which] - sums[:-1], counts) + np.arange(sums[-1])]
-            yield first_row, last_row, np.diff(sums[first + np.arange(len(first))]), ids
+            # The ids of a word follow those of the words before; each document before adds an end.
+            docs = np.repeat(np.arange(len(first) - 1), np.diff(first))
+            n_ids = sums[first[1:]] - sums[first[:-1]] + len(end)
+            ids = np.empty(int(sums[-1]) + len(end) * (len(first) - 1), np.int32)
+            source = np.repeat(self.begin[where] - sums[:-1], counts) + np.arange(sums[-1])
+            if len(end):
+                ids[np.repeat(docs * len(end), counts) + np.arange(sums[-1])] = self.flat[source]
+                ids[(np.cumsum(n_ids) - len(end))[:, None] + np.arange(len(end))] = end
+            else:
+                ids = self.flat[source]
+            yield first_row, last_row, n_ids, ids
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -152,8 +182,10 @@ def with_crc32(tokens: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sums = [zlib.crc32(x.values.to_numpy(zero_copy_only=False).astype("<u4")) if x.is_valid else None for x in batch.column(len(rest))]
-            yield pa.record_batch([*batch.columns[:len(rest)], pa.array(sums, pa.int64())], [*rest, out])
+            lists = batch.column(len(rest))
+            flat, offs = memoryview(np.ascontiguousarray(lists.values, "<u4")).cast("B"), (np.asarray(lists.offsets) * 4).tolist()
+            sums = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(offs, offs[1:])], pa.int64(), mask=np.asarray(lists.is_null()))
+            yield pa.record_batch([*batch.columns[:len(rest)], sums], [*rest, out])
 
     source = tokens.select(*rest, ids)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema)

@@ -311,3 +311,52 @@ def test_pipeline_stages(spark):
     assert counts == sorted(counts, reverse=True) and counts[-1] == counts[-2] > 0
     assert Counter(corpus_pipeline.run(spark, sf).columns) == Counter(["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
     assert hashlib.sha256(b"").hexdigest()
+
+
+def hostile(rng, n):
+    signs = ["a", "Z", "é", "É", "ß", "İ", "ς", "Σ", ".", ",", "'", "'s", "'LL", "!", "1", "٣", " ", "\n", "\t", "\x85", "\x1c", "　", "漢", "́", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "-", "$", "_", "​", "🙂"]
+    return ["".join(rng.choices(signs, k=rng.randrange(0, 60))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("words", [token_files.CACHE_WORDS, 5])
+def test_word_encoder_is_the_library(monkeypatch, words):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_files, "CACHE_WORDS", words)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    own, library = token_files.WordEncoder(path), Tokenizer.from_file(path)
+    texts = hostile(random.Random(7), 3000) + ["", "x" * 100_000, "word " * 50_000]
+    for closing in ((), (1,), (7, 8)):
+        at = 0
+        for first, last, sizes, flat in own.encode(pa.array(texts), np.array(closing, "<i4").tobytes()):
+            ends = np.cumsum(sizes)
+            for text, a, b in zip(texts[first:last], ends - sizes, ends):
+                assert flat[a:b].tolist() == library.encode(text, add_special_tokens=False).ids + list(closing)
+            at += last - first
+        assert at == len(texts)
+
+
+def test_token_file_layout(spark):
+    """Dictionary ids, delta-encoded numbers (which only format 2 has), a page index."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    folder = f"{shared_dir(spark)}/tokens"
+    texts = [" ".join(some_words(random.Random(i), 40)) for i in range(3000)]
+    token_files.write_tokens(table(spark, texts), folder, public_tokenizers.path("word_bpe_49k.json"), parts=1)
+    meta = pq.ParquetFile(glob.glob(f"{folder}/data/part-*")[0]).metadata
+    columns = {c.path_in_schema: c for c in (meta.row_group(0).column(i) for i in range(meta.num_columns))}
+    ids = next(c for name, c in columns.items() if name.startswith("ids."))
+    assert "RLE_DICTIONARY" in ids.encodings
+    assert all("DELTA_BINARY_PACKED" in columns[c].encodings and "RLE_DICTIONARY" not in columns[c].encodings for c in ("doc_id", "offset"))
+    assert all(c.has_offset_index and c.has_column_index for c in (ids, columns["doc_id"]))
+    some = token_files.read_tokens(spark, folder, ("doc_id", "n_tokens")).where("doc_id between 100 and 102").collect()
+    assert [r.doc_id for r in some] == [100, 101, 102]
+
+
+def test_crc32_of_null_and_empty_lists(spark):
+    df = spark.createDataFrame([(1, None), (2, []), (3, [1, 2])], "doc_id long, ids array<int>").coalesce(1)
+    assert {r.doc_id: r.ids_crc32 for r in token_files.with_crc32(df).collect()} == {1: None, 2: 0, 3: zlib.crc32(np.array([1, 2], "<u4").tobytes())}
+    assert token_files.with_crc32(df.limit(0)).count() == 0
