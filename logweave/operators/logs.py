@@ -51,19 +51,25 @@ def since_last_clear(df: DataFrame, clears: DataFrame) -> DataFrame:
 
 # --- conditions ---
 
+#: Stands between the texts that are searched as one; it cannot be part of what is sought.
+_SEP = "\x00"
+
+
+def searched_text() -> Column:
+    """Body, keys and values as one text, in lower case."""
+    return F.lower(F.concat_ws(_SEP, "body", F.map_keys("attributes"), F.map_values("attributes"), F.map_keys("resource"), F.map_values("resource")))
+
+
 def matches_text(q: str) -> Column:
     """Substring of body, attribute or resource keys or values, ignoring case."""
     q = q.lower()
-    sep = "\x00"
-    if sep in q:
+    if _SEP in q:
         texts = [F.array("body"), *[f(m) for m in ("attributes", "resource") for f in (F.map_keys, F.map_values)]]
         hit = F.lit(False)
         for t in texts:
             hit = hit | F.coalesce(F.exists(t, lambda x: F.contains(F.lower(x), F.lit(q))), F.lit(False))
         return hit
-    # One search over the joined text; the separator cannot be part of ``q``.
-    text = F.concat_ws(sep, "body", F.map_keys("attributes"), F.map_values("attributes"), F.map_keys("resource"), F.map_values("resource"))
-    return F.contains(F.lower(text), F.lit(q))
+    return F.contains(searched_text(), F.lit(q))
 
 
 def has_severity(s: str) -> Column:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import maps
-from ..operators import logs
+from ..operators import log_index, logs
 from ..operators.logs import CAPACITY
 from ..functions.severity import NUMBER_NAMES
+from ..session import shared_dir
 from .registry import query, run_spread, run_sql
 
 # Documents and conversation turns as records; conversations have no source.
@@ -87,6 +88,16 @@ def text_search(spark, sf):
     return df.filter(logs.matches_text("host-1") | logs.matches_text("TION the")).select("seq", F.length("body").cast("bigint").alias("chars"))
 
 
+@query(f"select seq, length(body) as chars from ({DOCS}) where {_hit('host-1', DOC_KEYS)} or {_hit('tion the', DOC_KEYS)}")
+def indexed_search(spark, sf):
+    """Records in many files, of which a search reads those that may hold the text."""
+    root = shared_dir(spark)
+    records(spark, sf, DOCS, DOC_KEYS).repartitionByRange(16, "seq").write.parquet(f"{root}/records")
+    log_index.build_index(spark, f"{root}/records", f"{root}/index")
+    found = log_index.search_stored(spark, f"{root}/records", f"{root}/index", "host-1").unionByName(log_index.search_stored(spark, f"{root}/records", f"{root}/index", "TION the"))
+    return found.select("seq", F.length("body").cast("bigint").alias("chars")).distinct()
+
+
 @query(f"select seq, severity from ({labelled(DOCS)}) where lower(severity) = 'warning'")
 def by_severity(spark, sf):
     return logs.by_severity(records(spark, sf, DOCS, DOC_KEYS), "WARNING").select("seq", "severity")

@@ -56,6 +56,14 @@ def _any(path: Column, globs: Sequence[str]) -> Column:
     return hit
 
 
+def _as_glob(path: str) -> str:
+    """The same path as a pattern: a stream looks for a pattern anew in each batch, but
+    fails at once where a plain path does not exist."""
+    if re.search(r"[*?\[{]", path):
+        return path
+    return re.sub(r"([^/\\])(/*)$", r"[\1]\2", path)
+
+
 def read_log_files(spark: SparkSession, include: Sequence[str], exclude: Sequence[str] = (), start_at: str = "end",
                    stream: bool = False, started: datetime | None = None, files_per_trigger: int | None = None,
                    receiver: str = "file_log", checkpoint: str | None = None) -> DataFrame:
@@ -66,7 +74,8 @@ def read_log_files(spark: SparkSession, include: Sequence[str], exclude: Sequenc
     is kept in a folder beside it, so that a stream that resumes reads what has
     arrived meanwhile; a stream from the end needs that folder or ``started``. A
     file that matches several patterns is read once; a pattern that matches
-    nothing adds no lines. Columns: ``receiver, file_path, body``.
+    nothing adds no lines, and in a stream is looked for in each batch, as is its
+    folder. Columns: ``receiver, file_path, body``.
     """
     if start_at not in ("beginning", "end"):
         raise ValueError(f"start_at must be beginning or end, not {start_at!r}")
@@ -85,9 +94,9 @@ def read_log_files(spark: SparkSession, include: Sequence[str], exclude: Sequenc
             reader = reader.option("maxFilesPerTrigger", files_per_trigger)
         path = F.col("_metadata.file_path")
         try:
-            lines = reader.text(pattern)
+            lines = reader.text(_as_glob(pattern) if stream else pattern)
         except AnalysisException as e:
-            if stream or e.getCondition() != "PATH_NOT_FOUND":
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             lines = spark.createDataFrame([], "value string, _metadata struct<file_path:string,file_modification_time:timestamp>")
         lines = lines.filter(~_any(path, [*include[:i], *exclude]))

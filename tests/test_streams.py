@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.session import shared_dir
+from logweave.sources.files import read_log_files
 from logweave.streaming import fleet as live
 from logweave.streaming.delivery import quality_counts, quality_stream
 from logweave.streaming.runs import Runs, added_up, combined_at, newest_by, runs_before
@@ -161,3 +162,21 @@ def test_quality_over_many_batches(spark):
         spark.createDataFrame([(None, "r", i % 3 == 0, ["e"] if i % 2 else [])], shape).write.mode("append").parquet(f"{root}/in")
         quality_stream(spark.readStream.schema(shape).parquet(f"{root}/in"), f"{root}/out", f"{root}/cp").awaitTermination()
     assert [tuple(r) for r in quality_counts(spark, f"{root}/out").collect()] == [(None, "r", 9, 6, 3, 4)]
+
+
+@pytest.mark.parametrize("pattern", ["late/*.log", "late/app.log", "late", "late/*/app.lo?", "la{te,ter}/app.log"])
+def test_a_stream_waits_for_its_first_file(spark, pattern):
+    root = shared_dir(spark)
+    lines = read_log_files(spark, [f"{root}/{pattern}"], start_at="beginning", stream=True)
+    query = lines.writeStream.format("memory").queryName("late").option("checkpointLocation", f"{root}/cp").start()
+    try:
+        query.processAllAvailable()
+        assert spark.table("late").count() == 0
+        folder = f"{root}/late/one" if pattern == "late/*/app.lo?" else f"{root}/late"
+        os.makedirs(folder)
+        with open(f"{folder}/app.log", "w") as f:
+            f.write("first\nsecond\n")
+        query.processAllAvailable()
+        assert sorted(r.body for r in spark.table("late").collect()) == ["first", "second"]
+    finally:
+        query.stop()
