@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import Cache
+from .tables import carried, with_text
 
 CACHE_PIECES = 80_000
 SHORT = 128
@@ -208,8 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
     it does not match has no tokens. A null or empty text has none. A column
     named ``ids`` is replaced; rows that repeat are encoded each.
     """
-    rest = [c for c in docs.columns if c not in {text, "ids"}]
-    source = docs.select(*rest, F.col(text).cast("string").alias("_text"))
+    source, rest, kinds, back = with_text(docs, text, ("ids",), gone=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = ranks(path, pattern)
@@ -222,8 +222,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text") -> Data
                 flat = np.frombuffer(b"".join(codes), "<i4")
                 yield pa.record_batch([*part.columns[:len(rest)], pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], [*rest, "ids"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema)
-    return source.mapInArrow(run, f"{kinds}{', ' if kinds else ''}ids array<int>")
+    return back(source.mapInArrow(run, f"{kinds}ids array<int>"))
 
 
 def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> DataFrame:
@@ -232,8 +231,9 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
     A null list gives null; an id outside the vocabulary fails the job. A column
     named ``decoded`` is replaced.
     """
-    rest = [c for c in tokens.columns if c not in {"decoded"}]
-    source = tokens.select(*rest)
+    inner, back, (ids,) = carried(tokens, ("decoded",), ids)
+    rest = [c for c, name in zip(inner.columns, tokens.columns) if name.lower() != "decoded" or c == ids]
+    source = inner.select(*rest)
     at = rest.index(ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,5 +244,5 @@ def decode(tokens: DataFrame, path: str, pattern: str, ids: str = "ids") -> Data
                 out = [None if not x.is_valid else b"".join(map(get, x.values.to_numpy(zero_copy_only=False).tolist())) for x in part.column(at)]
                 yield pa.record_batch([*part.columns, pa.array(out, pa.binary())], [*rest, "decoded"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
-    return source.mapInArrow(run, f"{kinds}, decoded binary")
+    kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in source.schema)
+    return back(source.mapInArrow(run, f"{kinds}decoded binary"))

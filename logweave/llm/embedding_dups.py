@@ -51,20 +51,38 @@ class Tables:
         self.each, self.tables, self.seed = each, tables, seed
         self.directions: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def keys(self, x: np.ndarray) -> np.ndarray:
-        dim = x.shape[1]
+    def keys(self, x: np.ndarray, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The keys of some or all tables, one column each."""
+        dim, last = x.shape[1], self.tables if last is None else last
         if dim not in self.directions:
             rng = np.random.Generator(np.random.PCG64([self.seed, dim]))
             r = np.rint(rng.standard_normal((dim, self.each * self.tables)) * _STEPS)
             self.directions[dim] = r, np.rint(rng.random(self.each * self.tables) * CELL * _SCALE * _STEPS)
-        r, shift = self.directions[dim]
+        r, shift = (d[..., first * self.each:last * self.each] for d in self.directions[dim])
         cells = np.floor((np.rint(x * _SCALE) @ r + shift) / (CELL * _SCALE * _STEPS)).astype(np.int64).view(np.uint64)
-        cells = cells.reshape(len(x), self.tables, self.each)
-        key = np.broadcast_to(mix(np.arange(self.tables, dtype=np.uint64) + U64(dim << 32)), cells.shape[:2]).copy()
+        cells = cells.reshape(len(x), last - first, self.each)
+        key = np.broadcast_to(mix(np.arange(first, last, dtype=np.uint64) + U64(dim << 32)), cells.shape[:2]).copy()
         for i in range(self.each):
             key = mix(key * U64(0x9E3779B97F4A7C15) + cells[:, :, i])
         return key
 
+    def apart_before(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, tab: int) -> np.ndarray:
+        """Which of the pairs (a, b) of rows of ``x`` meet in none of the tables before ``tab``.
+
+        Close pairs meet in one of the first tables, so these are looked at a few at a time,
+        for the rows whose pairs are left.
+        """
+        left, first, width = np.arange(len(a)), 0, 4
+        while first < tab and len(left):
+            last = min(tab, first + width)
+            rows, at = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True)
+            keys = self.keys(x[rows], first, last)
+            left = left[(keys[at[:len(left)]] != keys[at[len(left):]]).all(1)]
+            first, width = last, width * 2
+        out = np.zeros(len(a), bool)
+        out[left] = True
+        return out
+
 
 def _normal(blobs: list[bytes]) -> np.ndarray:
     x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
@@ -117,10 +135,7 @@ def _bucket_links(tables: Tables, cosine: float):
         a, b = np.nonzero(close)
         if not len(a):
             return None
-        keys = tables.keys(x)
-        first = np.ones(len(a), bool)  # a pair counts in the first table where it meets
-        for t in range(tab):
-            first &= keys[a, t] != keys[b, t]
+        first = tables.apart_before(x, a, b, tab)  # a pair counts in the first table where it meets
         a, b = a[first], b[first]
         classes = Classes(len(reps))
         for p, q in zip(a.tolist(), b.tolist()):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .byte_bpe import text_slices
-from .tables import sample_rows
+from .tables import sample_rows, with_text
 
 #: Labelled rows per language that the fit may use (about), and how many of them are landmarks.
 SAMPLE, LANDMARKS = 300, 32
@@ -134,8 +134,7 @@ def predict_languages(docs: DataFrame, model: Kernel, text: str = "text") -> Dat
     under a model without languages; of equal scores the first name wins. Columns
     named like the results are replaced.
     """
-    rest = [c for c in docs.columns if c not in {"lang_pred", "score"}]
-    source = docs.select(*rest, F.col(text).cast("string").alias("_text"))
+    source, rest, kinds, back = with_text(docs, text, ("lang_pred", "score"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,5 +143,4 @@ def predict_languages(docs: DataFrame, model: Kernel, text: str = "text") -> Dat
                 names, scores = model.predict(part.column(len(rest)).to_pylist())
                 yield pa.record_batch([*part.columns[:len(rest)], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*rest, "lang_pred", "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema)
-    return source.mapInArrow(run, f"{kinds}, lang_pred string, score double")
+    return back(source.mapInArrow(run, f"{kinds}lang_pred string, score double"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, byte_class, gram_hashes, text_groups, word_hashes, words
+from .tables import with_text
 
 WORD = byte_class((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 LEAST_DICE = 0.8
@@ -93,8 +94,7 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
     Null and empty texts and units of fewer than two words have none; of equally
     similar templates the first name wins. A column named ``notices`` is replaced.
     """
-    rest = [c for c in docs.columns if c not in {text, "notices"}]
-    source = docs.select(*rest, F.col(text).cast("string").alias("_text"))
+    source, rest, kinds, back = with_text(docs, text, ("notices",), gone=True)
     known = Templates(templates, least)
     kind = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -117,5 +117,4 @@ def scan_licenses(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLA
                     found.append(own)
             yield pa.record_batch([*batch.columns[:len(rest)], pa.array(found, kind)], [*rest, "notices"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema)
-    return source.mapInArrow(run, f"{kinds}{', ' if kinds else ''}notices array<struct<license:string,dice:double,start:long,end:long>>")
+    return back(source.mapInArrow(run, f"{kinds}notices array<struct<license:string,dice:double,start:long,end:long>>"))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, mix
-from .tables import shared_dir, stored
+from .tables import carried, shared_dir, stored
 
 SHARD_KEYS = 1 << 16
 PROBE_ROWS = 250_000
@@ -164,7 +164,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    source = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
+    results = "n_lines", "n_dropped", "kept"
+    inner, back, (text, key) = carried(docs, results, text, key, gone=(text,))
+    rest = [c for c, name in zip(inner.columns, docs.columns) if c != text and name.lower() not in results]
+    source = inner.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("string").alias("text"))
     lines = stored(source.mapInArrow(_line_hashes, "doc long, h long, f long"), folder)
     keys = lines.groupBy("h", "f").agg(F.count("*").alias("n_docs"), F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     keys = stored(keys.drop("last"), folder)
@@ -182,8 +185,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     # Two lines with one 64-bit hash: all but one of them are matched as plain rows.
     extra = stored(by_shard.applyInPandas(twins, "h long, f long, first long"), folder)
 
-    most = lines.groupBy(shard).count().agg(F.max("count")).first()[0] or 0
-    salts = max(1, -(-most // PROBE_ROWS))
+    # A shard with more lines than a task should probe is copied for each of its salts; the others stay as they are.
+    salts = F.ceil(F.col("count") / PROBE_ROWS).cast("int").alias("salts")
+    loads = stored(lines.groupBy(shard.alias("shard")).count().select("shard", salts), folder)
 
     def probe(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -191,14 +195,13 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         known, first = Shard(right.iloc[0].to_dict()).probe(left["h"].to_numpy(), left["f"].to_numpy())
         return left[["doc", "f"]][known & (first < left["doc"].to_numpy())]
 
-    salted = arrays.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    probes = lines.withColumns({"shard": shard, "salt": F.pmod(F.xxhash64("doc"), F.lit(salts)).cast("int")})
+    salted = arrays.join(F.broadcast(loads), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")  # a row per SHARD_KEYS keys
+    probes = lines.withColumn("shard", shard).join(F.broadcast(loads), "shard").withColumn("salt", F.pmod(F.xxhash64("doc"), F.col("salts")).cast("int")).drop("salts")
     gone = probes.groupBy("shard", "salt").cogroup(salted.groupBy("shard", "salt")).applyInPandas(probe, "doc long, f long")
     if not extra.isEmpty():
         gone = gone.unionAll(lines.join(extra, ["h", "f"]).where("first < doc").select("doc", "f"))
-    gone = gone.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("f").alias("_gone"))
+    gone = gone.groupBy("doc").agg(F.collect_list("f").alias("gone"))
 
-    rest = [c for c in docs.columns if c not in {text, "n_lines", "n_dropped", "kept"}]
-    joined = docs.withColumn("_doc", F.col(key).cast("long")).join(gone, "_doc", "left").select(*rest, F.col(text).cast("string").alias("_text"), "_gone")
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.select(*rest).schema)
-    return joined.mapInArrow(_without, f"{kinds}, n_lines long, n_dropped long, kept string")
+    joined = inner.withColumn("doc", F.col(key).cast("long")).join(gone, "doc", "left").select(*rest, F.col(text).cast("string").alias("text"), "gone")
+    kinds = "".join(f"{c} {inner.schema[c].dataType.simpleString()}, " for c in rest)
+    return back(joined.mapInArrow(_without, f"{kinds}n_lines long, n_dropped long, kept string"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, byte_class, text_groups, word_hashes, words
-from .tables import sample_rows
+from .tables import sample_rows, with_text
 
 #: Labelled rows per class that the fit may use, about.
 SAMPLE = 3000
@@ -138,8 +138,7 @@ def score_quality(docs: DataFrame, model: Quadratic | float, text: str = "text")
     Nulls and empty texts are scored as texts without words; a column named
     ``score`` is replaced.
     """
-    rest = [c for c in docs.columns if c != "score"]
-    source = docs.select(*rest, F.col(text).cast("string").alias("_text"))
+    source, rest, kinds, back = with_text(docs, text, ("score",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,5 +146,4 @@ def score_quality(docs: DataFrame, model: Quadratic | float, text: str = "text")
             score = model.score(x) if isinstance(model, Quadratic) else np.full(len(x), model)
             yield pa.record_batch([*batch.columns[:len(rest)], pa.array(score)], [*rest, "score"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema)
-    return source.mapInArrow(run, f"{kinds}, score double")
+    return back(source.mapInArrow(run, f"{kinds}score double"))

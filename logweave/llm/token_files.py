@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, byte_class, text_groups, word_hashes, words
+from .tables import carried
 
 #: Words that a worker knows before it starts anew.
 CACHE_WORDS = 1_000_000
@@ -178,7 +179,8 @@ def read_tokens(spark: SparkSession, folder: str, columns: tuple[str, ...] = ("d
 
 def with_crc32(tokens: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> DataFrame:
     """Replace the column ``ids`` by the CRC-32 of its little-endian 32-bit integers; a null list has null."""
-    rest = [c for c in tokens.columns if c not in {ids, out}]
+    inner, back, (ids,) = carried(tokens, (out,), ids, gone=(ids,))
+    rest = [c for c, name in zip(inner.columns, tokens.columns) if c != ids and name.lower() != out.lower()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,6 +189,6 @@ def with_crc32(tokens: DataFrame, ids: str = "ids", out: str = "ids_crc32") -> D
             sums = pa.array([zlib.crc32(flat[a:b]) for a, b in zip(offs, offs[1:])], pa.int64(), mask=np.asarray(lists.is_null()))
             yield pa.record_batch([*batch.columns[:len(rest)], sums], [*rest, out])
 
-    source = tokens.select(*rest, ids)
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema)
-    return source.mapInArrow(run, f"{kinds}, {out} long")
+    source = inner.select(*rest, ids)
+    kinds = "".join(f"{c} {source.schema[c].dataType.simpleString()}, " for c in rest)
+    return back(source.mapInArrow(run, f"{kinds}{out} long"))

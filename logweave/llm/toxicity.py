@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, U64, byte_class, mix, text_groups, word_hashes, words
-from .tables import sample_rows
+from .tables import sample_rows, with_text
 
 #: Labelled rows per grade that the fit may use (about); features in fewer of them have no weight.
 SAMPLE, LEAST_TEXTS = 2000, 5
@@ -150,8 +150,7 @@ def score_severity(docs: DataFrame, model: Ordinal, text: str = "text") -> DataF
 
     Nulls and empty texts have no words; columns named like the results are replaced.
     """
-    rest = [c for c in docs.columns if c not in {"severity", "grade"}]
-    source = docs.select(*rest, F.col(text).cast("string").alias("_text"))
+    source, rest, kinds, back = with_text(docs, text, ("severity", "grade"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,5 +158,4 @@ def score_severity(docs: DataFrame, model: Ordinal, text: str = "text") -> DataF
             each = -np.diff(np.concatenate([np.ones((len(over), 1)), over, np.zeros((len(over), 1))], 1), axis=1)
             yield pa.record_batch([*batch.columns[:len(rest)], pa.array(over.sum(1)), pa.array(each.argmax(1).astype(np.int32))], [*rest, "severity", "grade"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*rest).schema)
-    return source.mapInArrow(run, f"{kinds}, severity double, grade int")
+    return back(source.mapInArrow(run, f"{kinds}severity double, grade int"))

@@ -1,10 +1,8 @@
 """The text operators against plain Python, on small tables with nulls, ties, copies and clashing names."""
 
 import base64
-import hashlib
 import random
 import zlib
-from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -217,7 +215,7 @@ def test_token_files(spark):
     assert "EqualTo(doc_id,3)" in plan and "ids" not in plan.split("ReadSchema")[-1]
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rng = random.Random(5)
     items = [some_words(rng, n) for n in (30, 25, 12, 10, 4, 1, 0)] + [["shared"] + some_words(rng, 14)]
     docs = []
@@ -231,8 +229,9 @@ def test_decontamination(spark):
     docs += [None, "", "..", " ".join(items[0]).upper()]
     bench = spark.createDataFrame([(f"i{i}", " ".join(w)) for i, w in enumerate(items)] + [(None, "x y"), ("n", None)], "item_id string, text string")
     split = lambda t: [w.lower() for w in (t or "").replace(",", " ").replace(".", " ").split()]
-    for block in (1 << 18, 40):
-        for r in decontaminate.find_passages(table(spark, docs), bench, block=block).collect():
+    for few in (decontaminate.FEW_DOCS, 0):
+        monkeypatch.setattr(decontaminate, "FEW_DOCS", few)
+        for r in decontaminate.find_passages(table(spark, docs), bench).collect():
             w, hit, found = split(docs[r.doc_id]), set(), set()
             for i, item in enumerate(items):
                 item = [x.lower() for x in item]
@@ -245,14 +244,25 @@ def test_decontamination(spark):
             assert (r.n_words, r.hit_words, r["items"]) == (len(w), sorted(hit), sorted(found))
 
 
-@pytest.mark.parametrize("block", [1 << 18, 2])
-def test_repeated_item_ids_count_once(spark, block):
+def test_repeated_item_ids_count_once(spark):
     bench = spark.createDataFrame([("a", "one two three"), ("a", "four five six"), ("a", "one two three"), ("b", "four five six")], "item_id string, text string")
     docs = table(spark, ["x one two three y four five six", "four five six", "one two"])
-    out = {r.doc_id: (r.hit_words, r["items"]) for r in decontaminate.find_passages(docs, bench, block=block).collect()}
+    out = {r.doc_id: (r.hit_words, r["items"]) for r in decontaminate.find_passages(docs, bench).collect()}
     assert out == {0: ([1, 2, 3, 5, 6, 7], ["a", "b"]), 1: ([0, 1, 2], ["a", "b"]), 2: ([], [])}
 
 
+def test_many_items_take_one_scan_of_the_documents(spark):
+    """300,000 item windows: the driver has a bitmap, the tasks no items."""
+    rng = random.Random(6)
+    words = [f"v{i}" for i in range(5000)]
+    items = [(f"i{n}", " ".join(rng.choices(words, k=310))) for n in range(1000)]
+    docs = [" ".join(rng.choices(words, k=50)) + " " + " ".join(items[n][1].split()[n % 300:n % 300 + 9 + n % 3]) for n in range(60)]
+    out = {r.doc_id: (r.n_words, len(r.hit_words), r["items"]) for r in decontaminate.find_passages(table(spark, docs), spark.createDataFrame(items, "item_id string, text string")).collect()}
+    assert out == {n: (59 + n % 3, 0 if n % 3 == 0 else 9 + n % 3, [] if n % 3 == 0 else [f"i{n}"]) for n in range(60)}
+    bitmap, sizes = decontaminate._bitmap(spark.createDataFrame([(10, i * 7919) for i in range(3000)], "size int, print long"))
+    assert len(bitmap) * 8 == 65536 and sizes == [10] and 2800 < np.unpackbits(bitmap).sum() <= 3000
+
+
 def test_license_scan(spark):
     texts = ["x y z\nLicensed under the Apache License, Version 2.0.\nmore", "released UNDER the mit license", "Permission is hereby granted", None, "", "license", license_scan.TEMPLATES[4][1].replace(", ", ",\n")]
     out = {r.doc_id: [n.license for n in r.notices] for r in license_scan.scan_licenses(table(spark, texts)).collect()}
@@ -297,22 +307,6 @@ def test_models_on_odd_and_empty_tables(spark):
     assert severity[0] < severity[1] < severity[2]
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    counts = [docs.count()]
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, sf)
-        counts.append(docs.count())
-        if name != "byte-level BPE":
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert counts == sorted(counts, reverse=True) and counts[-1] == counts[-2] > 0
-    assert Counter(corpus_pipeline.run(spark, sf).columns) == Counter(["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-    assert hashlib.sha256(b"").hexdigest()
-
-
 def hostile(rng, n):
     signs = ["a", "Z", "é", "É", "ß", "İ", "ς", "Σ", ".", ",", "'", "'s", "'LL", "!", "1", "٣", " ", "\n", "\t", "\x85", "\x1c", "　", "漢", "́", "<|", "|>", "<|endoftext|>", "<|startoftext|>", "-", "$", "_", "​", "🙂"]
     return ["".join(rng.choices(signs, k=rng.randrange(0, 60))) for _ in range(n)]
@@ -360,3 +354,34 @@ def test_crc32_of_null_and_empty_lists(spark):
     df = spark.createDataFrame([(1, None), (2, []), (3, [1, 2])], "doc_id long, ids array<int>").coalesce(1)
     assert {r.doc_id: r.ids_crc32 for r in token_files.with_crc32(df).collect()} == {1: None, 2: 0, 3: zlib.crc32(np.array([1, 2], "<u4").tobytes())}
     assert token_files.with_crc32(df.limit(0)).count() == 0
+
+
+CLASHING = ("_text", "_doc", "_gone", "_row", "_null", "_key", "_label", "a.b", "Kept", "IDS", "Items", "Score", "notices2", "c0", "doc", "gone", "at", "size", "row", "none")
+
+
+def test_columns_with_any_name_come_back(spark):
+    """Names like helper columns, in other cases, with dots: each comes back, or is replaced by a result."""
+    texts = [*ODD[:6], "Licensed under the Apache License, Version 2.0.", "one two three four five six seven eight nine ten"] * 2
+    df = spark.createDataFrame([(i, t, *(f"{c}{i}" for c in CLASHING)) for i, t in enumerate(texts)], "id long, text string, " + ", ".join(f"`{c}` string" for c in CLASHING))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(8)], "id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "two three four")], "item_id long, text string")
+    kernel = language_id.Kernel.fit(["der und die das", "the and of it"] * 3, ["de", "en"] * 3)
+    runs = {
+        ("lang_pred", "score"): lambda: language_id.predict_languages(df, kernel),
+        ("n_lines", "n_dropped", "kept"): lambda: line_dedup.dedup_lines(df, key="id"),
+        ("notices",): lambda: license_scan.scan_licenses(df),
+        ("score",): lambda: quality.score_quality(df, quality.fit_quality(df, labels, key="id")),
+        ("severity", "grade"): lambda: toxicity.score_severity(df, toxicity.fit_severity(df, labels, key="id")),
+        ("n_words", "hit_words", "items"): lambda: decontaminate.find_passages(df, bench),
+        ("ids",): lambda: byte_bpe.encode(df, *VOCABULARY),
+        ("decoded",): lambda: byte_bpe.decode(byte_bpe.encode(df.drop("IDS"), *VOCABULARY), *VOCABULARY),
+        ("ids_crc32",): lambda: token_files.with_crc32(df.drop("IDS").withColumn("ids", F.array(F.lit(1)))),
+    }
+    for results, run in runs.items():
+        out = run()
+        assert out.columns[-len(results):] == list(results)
+        rows = sorted(out.collect(), key=lambda r: r.id)
+        assert [r.id for r in rows] == list(range(len(texts)))
+        stay = [c for c in CLASHING if c in out.columns]
+        assert {c.lower() for c in CLASHING} - {c.lower() for c in stay} <= {*results, "ids"}
+        assert all(r[c] == f"{c}{r.id}" for r in rows for c in stay if c not in results)
