@@ -143,6 +143,13 @@ def normalize(df: DataFrame, key: str, fields: dict[str, str] | list[str] | None
     return chain.records() if fields is None else chain.flat(fields, keep)
 
 
+def steps(kind: str) -> dict[str, list[dict]]:
+    """The operators of a kind in each template's chain that has any: the same
+    table of steps that ``plan`` runs for one template."""
+    found = {t.key: [s for s in t.operators() if s["type"] == kind] for t in TEMPLATES.values()}
+    return {key: own for key, own in found.items() if own}
+
+
 def _pick(key: Column, cases: dict[str, Column], default: Column) -> Column:
     """CASE on the template key; each row evaluates only its own branch."""
     out = None
@@ -188,7 +195,7 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     df = df.withColumns({"_ok": ok, "_content": F.when(ok, content), "ts": F.when(ok, F.coalesce(time, F.col("ts"))).otherwise(F.col("ts"))})
 
     # 2. line grammar
-    lines = {t.key: regex.named(t.pattern) for t in TEMPLATES.values() if t.pattern}
+    lines = {key: regex.named(own[0]["regex"]) for key, own in steps("regex_parser").items()}
     df = df.withColumn("_text", F.coalesce(F.col("_content"), F.col("body")))
     df = computed_once(df, "_got", _pick(k, {n: regex.capture(F.col("_text"), p) for n, p in lines.items()}, no_groups))
     hit = _pick(k, {n: regex.matched("_got", p) for n, p in lines.items()}, F.lit(None).cast("boolean"))
@@ -216,9 +223,10 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     df = computed_once(df, "_attrs", F.when(F.size("attributes") > 0, maps.merge(F.col("attributes"), F.col("_new"))).otherwise(F.col("_new")))
 
     # 4. JSON and key=value text (one of them per template at most)
-    kv_text = _pick(k, {t.key: F.col("_attrs")[t.kv_from] for t in TEMPLATES.values() if t.kv_from}, null_str)
-    json_keys = [t.key for t in TEMPLATES.values() if t.json]
-    kv_keys = [t.key for t in TEMPLATES.values() if t.kv_from]
+    attribute = lambda path: path.removeprefix("attributes.")
+    kv_steps, json_keys = steps("key_value_parser"), list(steps("json_parser"))
+    kv_keys = list(kv_steps)
+    kv_text = _pick(k, {key: F.col("_attrs")[attribute(own[0]["parse_from"])] for key, own in kv_steps.items()}, null_str)
     df = computed_once(df, "_pairs", F.when(k.isin(kv_keys), kv_parts(kv_text)))
     df = computed_once(df, "_json", F.when(k.isin(json_keys), maps.from_json_object(F.col("body"))))
     pairs_ok = kv_ok(F.col("_pairs"))
@@ -226,14 +234,11 @@ def normalize_all(df: DataFrame, key: str = "source_key", year: int | None = Non
     df = computed_once(df, "_attributes", F.when(F.col("_more").isNotNull(), maps.merge(F.col("_attrs"), F.col("_more"))).otherwise(F.col("_attrs")))
 
     # 5. severity, tags, body
-    level_keys = [t.key for t in TEMPLATES.values() if t.severity]
+    level_keys = list(steps("severity_parser"))
     df = df.withColumn("_sev", F.when(k.isin(level_keys), severity.preset_number(F.col("_attributes")["severity"])))
     number = F.coalesce(F.col("_sev"), F.when(F.col("_ok"), severity.syslog_number((F.col("_pri") % 8).cast("int"))))
-    tags = _pick(k, {
-        t.key: F.create_map(*[F.lit(x) for kv in (("datasource", t.datasource), ("sourcetype", t.sourcetype)) if kv[1] for x in kv])
-        for t in TEMPLATES.values()
-    }, maps.empty())
-    moving = k.isin([t.key for t in TEMPLATES.values() if t.move_message])
+    tags = _pick(k, {key: F.create_map(*[F.lit(x) for add in own for x in (attribute(add["field"]), add["value"])]) for key, own in steps("add").items()}, maps.empty())
+    moving = k.isin(list(steps("move")))
     message = F.when(moving, F.col("_attributes")["message"])
     body = F.coalesce(message, F.when(k == "ubiquiti", F.col("_content")), F.col("body"))
     attrs = F.when(moving, F.map_filter("_attributes", lambda a, _: a != "message")).otherwise(F.col("_attributes"))

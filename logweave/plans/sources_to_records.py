@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.regex import named
 from ..functions.severity import NUMBER_NAMES, SYSLOG_NUMBERS
 from ..operators import chain as ops
 from ..operators.chain import apply_operators, parse_quality
@@ -369,6 +370,44 @@ def mixed_sources(spark, sf):
     return counts.join(catalogue, "source_key").select("source_key", "category", "default_id", "records", "failed", "body_chars")
 
 
+_PAIRS = {"cisco_meraki": ("src", "dst", "note", "bytes"), "cef": ("src", "act", "cnt")}
+
+
+def _attributes_oracle() -> str:
+    """Every attribute of every line: of the header, the line grammar, JSON or key=value text and the tags, the last of them wins."""
+    parts = []
+    for key, t in TEMPLATES.items():
+        sub = template_sql(key, f"select * from ({mixed_sql()}) where source_key = '{key}'")
+        found: list[tuple[str, str, int]] = []
+        if t.envelope:
+            header = {"priority": "pri::varchar", "facility": "cast(floor(pri / 8) as integer)::varchar", "content": "h.content"}
+            if t.envelope == "rfc3164":
+                header |= {"message": "h.content", "hostname": "h.hostname"}
+            if t.envelope == "rfc5424":
+                header |= {n: f"nullif(h.{n}, '-')" for n in ("hostname", "appname", "proc_id", "msg_id")}
+                header |= {"message": "h.content", "version": "h.version", "structured_data": f"case when h.structured_data <> '-' then {_SD_JSON} end"}
+            found += [(n, f"case when env_ok then {v} end", 1) for n, v in header.items()]
+        if t.pattern:
+            found += [(n, f"case when ok then g.{n} end", 2) for n in named(t.pattern).names]
+        if t.kv_from:
+            sub = f"select *, {_KV_TOKENS.format('g.' + t.kv_from)} as tokens from ({sub})"
+            good = "ok and len(tokens) > 0 and len(list_filter(tokens, lambda t: strpos(t, '=') <= 1)) = 0"
+            found += [(n, f"case when {good} then {_kv_sql('tokens', n)} end", 3) for n in _PAIRS[key]]
+        if t.json:
+            found += [(n, f"case when json_valid(body) then body end->>'$.{n}'", 3) for n in ("k", "user", "nested")]
+        found += [(n, f"'{v}'", 4) for n, v in (("datasource", t.datasource), ("sourcetype", t.sourcetype)) if v]
+        entries = ", ".join(f"{{'k': '{n}', 'v': {v}, 'r': {r}}}" for n, v, r in found if not (t.move_message and n == "message"))
+        parts.append(f"select seq, unnest([{entries}]) as e from ({sub})")
+    return f"select seq, e.k as key, max_by(e.v, e.r) as value from ({' union all '.join(parts)}) where e.v is not null group by 1, 2"
+
+
+@query(_attributes_oracle())
+def mixed_attributes(spark, sf):
+    """All attributes of all lines of all eighteen sources."""
+    records = normalize_all(run_spread(spark, sf, mixed_sql()), year=2024)
+    return records.select("seq", F.explode("attributes").alias("key", "value"))
+
+
 # --- single operators on their own ---
 
 @query(f"""select event_id as seq, epoch(date_trunc('second', ts))::bigint as a_seconds, epoch(date_trunc('minute', ts))::bigint as b_seconds,
