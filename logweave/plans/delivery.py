@@ -36,12 +36,13 @@ def _timed(spark, sf):
 
 # --- sources ---
 
-@query("""select receiver, transport, length(payload) as chars, count(*) as frames from (
-    select 'syslog/tcp' as receiver, 'tcp' as transport, props as payload from {events}) group by 1, 2, 3""")
+@query("""select event_id as seq, case when event_id % 3 = 0 then 'syslog/udp' else 'syslog/tcp' end as receiver, case when event_id % 3 = 0 then 'udp' else 'tcp' end as transport,
+    concat('<', event_id % 200, '>', event_type, ' ', props) as payload, epoch_us(ts)::bigint as received_us from {events}""")
 def syslog_frames(spark, sf):
-    landed = run_sql(spark, sf, f"select props as payload, {US} as received_at from {{events}}")
-    frames = read_syslog_frames(landed, "syslog/tcp", "tcp")
-    return frames.groupBy("receiver", "transport", F.length("payload").cast("bigint").alias("chars")).agg(F.count("*").alias("frames"))
+    landed = run_sql(spark, sf, f"select event_id as seq, cast(concat('<', event_id % 200, '>', event_type, ' ', props) as binary) as payload, {US} as received_at from {{events}}")
+    own = lambda transport, rows: read_syslog_frames(rows, f"syslog/{transport}", transport)
+    frames = own("udp", landed.where("seq % 3 = 0")).unionByName(own("tcp", landed.where("seq % 3 <> 0")))
+    return frames.select("seq", "receiver", "transport", "payload", F.unix_micros("received_at").alias("received_us"))
 
 
 _FRAMES = """select doc_id, text, concat('second 12 é', doc_id) as other, case doc_id % 3 when 0 then '' when 1 then '77 cut off' else 'no length' end as tail from {documents}"""
@@ -99,12 +100,12 @@ def message_log(spark, sf):
 
 # --- envelopes ---
 
-@query(f"""select seq, epoch_us(ts)::bigint as time_us, r1 as host, body as event, 'main' as "index", a1 as sourcetype, a2 as session, 2 as n_fields
+@query(f"""select seq, epoch_us(ts)::bigint as time_us, r1 as host, body as event, 'main' as "index", a1 as sourcetype, null::varchar as source, concat('host.name=', r1, ',session_id=', a2) as fields
     from ({EVENTS}) e join (select event_id as seq, ts from {{events}}) t using (seq)""")
 def hec_envelope(spark, sf):
     out = to_hec(_timed(spark, sf), index="main", attr_map={"sourcetype": "event_type", "source": ""})
     return out.select("seq", (F.col("time") * 1_000_000).cast("bigint").alias("time_us"), "host", "event", "index", "sourcetype",
-                      F.col("fields")["session_id"].alias("session"), F.size("fields").alias("n_fields"))
+                      "source", F.array_join(F.array_sort(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("fields"))
 
 
 _HOSTED = """select event_id as seq, event_type, case when event_id % 3 = 0 then concat('own-', user_id % 4) when event_id % 3 = 1 then '' end as own,
@@ -157,17 +158,28 @@ _ROUTES = """select concat('logs/p', n_nationkey) as pipeline, array(concat('sys
 _DUCK_ROUTES = _ROUTES.replace("array(", "list_value(")
 
 
-@query(f"""select exporter, pipeline as route, count(*) as events from (select unnest(exporters) as exporter, pipeline from (
-    select r.pipeline, r.exporters from (select concat('syslog/r', user_id % 5) as receiver from {{events}}) e
-    join (select pipeline, unnest(receivers) as receiver, exporters from ({_DUCK_ROUTES})) r using (receiver))) group by 1, 2""")
+_ROUTED = f"""select e.*, r.pipeline as route, unnest(r.exporters) as exporter from (
+    select l.*, epoch_us(ts)::bigint as us, concat('syslog/r', user_id % 5) as receiver from ({labelled(EVENTS)}) l join (select event_id as seq, ts, user_id from {{events}}) t using (seq)) e
+    join (select pipeline, unnest(receivers) as receiver, exporters from ({_DUCK_ROUTES})) r using (receiver)"""
+
+
+@query(f"""select exporter, route, case when exporter <> 'debug' then r1 end as host, case when exporter <> 'debug' then a1 end as event_type, case when exporter like 'dataset/%' then severity end as severity,
+    count(*) as events, count(distinct body) as texts, min(body) as first_text, max(body) as last_text, sum(length(body))::bigint as chars,
+    sum(case when exporter like 'splunk%' then us end)::bigint as us from ({_ROUTED}) group by all""")
 def live_delivery(spark, sf):
-    """Routed to exporters as a stream: every exporter gets the whole output."""
+    """Routed to exporters as a stream: every exporter gets the whole output, each in its envelope."""
     routes = run_sql(spark, sf, _ROUTES)
     out = _feed(spark, _timed(spark, sf), lambda stream, out, cp: d.run_pipeline(stream, routes, out, cp))
     # Folder names escape the slash, and file URIs escape the percent sign.
     name = lambda level: F.url_decode(F.url_decode(F.regexp_extract(F.col("_metadata.file_path"), level + "=([^/]*)/", 1)))
-    sent = spark.read.option("recursiveFileLookup", "true").text(out)
-    return sent.groupBy(name("exporter").alias("exporter"), name("pipeline").alias("route")).agg(F.count("*").alias("events"))
+    sent = spark.read.option("recursiveFileLookup", "true").text(out).select(name("exporter").alias("exporter"), name("pipeline").alias("route"), "value")
+    at = lambda path: F.get_json_object("value", path)
+    plain = F.col("exporter") == "debug"
+    text = F.when(plain, F.col("value")).otherwise(F.coalesce(at("$.event"), at("$.message")))
+    return sent.withColumn("text", text).groupBy(
+        "exporter", "route", F.coalesce(at("$.host"), at("$.serverHost")).alias("host"), F.coalesce(at("$.fields.event_type"), at("$.attrs.event_type")).alias("event_type"), at("$.severity").alias("severity")).agg(
+        F.count("*").alias("events"), F.count_distinct("text").alias("texts"), F.min("text").alias("first_text"), F.max("text").alias("last_text"), F.sum(F.length("text")).alias("chars"),
+        F.sum((at("$.time").cast("decimal(20,6)") * 1_000_000).cast("bigint")).alias("us"))
 
 
 @query(f"""select receiver, count(*) as events_in, count(*) filter (ok) as events_out, count(*) filter (not ok) as parse_errors
