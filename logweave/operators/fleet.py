@@ -351,23 +351,72 @@ def fleet_total(counters: DataFrame, section: str, field: str) -> DataFrame:
     return counters.filter(wanted).agg(F.coalesce(F.sum("value"), F.lit(0).cast("bigint")).alias("total"))
 
 
-def fleet_overview(state: DataFrame, counters: DataFrame) -> DataFrame:
-    """One row for the fleet. ``state`` has healthy, flapping, config_drifted."""
-    agents = state.agg(
-        F.count("*").alias("agents"), F.count_if("healthy").alias("healthy"), F.count_if(~F.col("healthy")).alias("unhealthy"),
-        F.count_if(F.coalesce("flapping", F.lit(False))).alias("flapping"),
-        F.count_if(F.coalesce("config_drifted", F.lit(False))).alias("config_drift"))
+def agent_states(messages: DataFrame, pushes: DataFrame, asof: Column, span: int = CHUNK_ROWS,
+                 window_seconds: int = FLAP_WINDOW_SECONDS, threshold: int = FLAP_THRESHOLD) -> DataFrame:
+    """Inventory, flapping and config rollout of every agent that has sent a message, out of one pass.
+
+    The log and the pushes ``(agent_id, seq, content)`` are one table in the order of ``seq``. A
+    window inside each chunk of it tells every row the start time and the push or outcome
+    before it; what is before the chunk comes out of one row per chunk. All else are
+    aggregates of one grouping. Same as ``inventory``, ``flapping`` and ``config_rollout``.
+    """
+    keys = ["agent_id", "_chunk"]
+    push = pushes.select("agent_id", "seq", F.struct("content", config_hash(F.col("content")).alias("hash")).alias("_push"))
+    status = F.lower(F.col("config_status.status"))
+    kind = F.when(F.col("_push").isNotNull(), "push").when(status == "applied", "applied").when(status == "failed", "failed")
+    rows = messages.withColumn("_sent", F.lit(True)).unionByName(push, allowMissingColumns=True).withColumns({
+        "_chunk": F.expr(f"seq div {int(span)}"), "_started": F.nullif(F.col("started_at"), F.lit("")), "_event": F.when(kind.isNotNull(), F.struct(kind.alias("kind"), F.col("_push").alias("push")))})
+    inside = Window.partitionBy(*keys).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({f"{c}_before": F.last(c, True).over(inside) for c in ("_started", "_event")})
+
+    # The last of each chunk, with what the chunk's last row has itself, then the last of the chunks before.
+    own = {c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("seq"))) for c in ("_started", "_event")}
+    across = Window.partitionBy("agent_id").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = rows.groupBy(*keys).agg(*[v.alias(c) for c, v in own.items()]).select(*keys, *[F.last(c, True).over(across).alias(f"{c}_carry") for c in own])
+    rows = rows.join(carry, keys).withColumns({f"{c}_before": F.coalesce(f"{c}_before", f"{c}_carry") for c in own})
+
+    restarted = F.coalesce(F.col("_started") != F.col("_started_before"), F.lit(False))
+    rows = rows.withColumn("_restart", restarted)
+    # No chunk brings more than the last ten.
+    late = F.row_number().over(Window.partitionBy(*keys, "_restart").orderBy(F.desc("seq"))) <= MAX_RESTART_HISTORY
+    rows = rows.withColumn("_late", F.when(F.col("_restart") & late, F.struct("seq", F.col("_started").alias("at"))))
+    has = lambda name: F.col(name).isNotNull()
+    applied = (F.col("_event.kind") == "applied") & F.coalesce(F.col("_event_before.kind") == "push", F.lit(False))
+    failed, pushed = F.col("_event.kind") == "failed", has("_push")
+    state = latest(rows, ["agent_id"], "seq", {
+        "_description": (F.col("description"), has("description")), "_health": (F.col("health"), has("health")), "snapshot_json": (F.col("snapshot_json"), has("snapshot_json")),
+        "last_started_at": (F.col("_started"), has("_started")), "effective_config": (F.col("effective_config"), has("effective_config")),
+        "_good": (F.col("_event_before.push"), applied), "_error": (F.when(failed, _text(F.col("config_status.error"))).otherwise(""), applied | failed),
+        "_pushed": (F.col("_push"), pushed), "_push_seq": (F.col("seq"), pushed), "_outcome_seq": (F.col("seq"), has("_event") & ~pushed),
+    }, [F.max(F.when(F.col("_sent"), F.col("ts"))).alias("_seen"), F.count("_sent").alias("_messages"), F.collect_list("_late").alias("_late")]).where("_messages > 0")
+    history = F.slice(F.sort_array("_late", asc=False), 1, MAX_RESTART_HISTORY)
+    cutoff = F.timestamp_micros(F.unix_micros(asof) - window_seconds * 1_000_000)
+    recent = F.size(F.filter(history, lambda r: F.coalesce(rfc3339(r["at"]) > F.col("_cutoff"), F.lit(False))))
+    open_ = F.col("_push_seq") > F.coalesce("_outcome_seq", F.lit(-(2**63)))
+    return state.withColumn("_cutoff", cutoff).select(
+        "agent_id", *[_text(F.col(f"_description.{n}")).alias(n) for n in ("hostname", "service_version", "local_ui_addr")],
+        F.date_trunc("second", "_seen").alias("last_seen"), F.coalesce("_health.healthy", F.lit(True)).alias("healthy"), _text(F.col("_health.last_error")).alias("last_error"),
+        *[_text(F.col(n)).alias(n) for n in ("snapshot_json", "last_started_at")], _text(config_hash(F.col("effective_config"))).alias("effective_config_hash"),
+        F.reverse(F.transform(history, lambda r: r["at"])).alias("restart_history"), recent.alias("restart_count_recent"), (recent >= threshold).alias("flapping"),
+        *[_text(F.when(open_, F.col(f"_pushed.{n}"))).alias(f"pending_config{suffix}") for n, suffix in (("content", ""), ("hash", "_hash"))],
+        _text(F.col("_good.content")).alias("last_known_good_config"), _text(F.col("_good.hash")).alias("last_known_good_hash"), _text(F.col("_error")).alias("last_config_error"))
+
+
+def fleet_overview(state: DataFrame) -> DataFrame:
+    """One row for the fleet. ``state`` has healthy, flapping, config_drifted and
+    snapshot_json, whose counters are added up inside its row first."""
+    zero = F.lit(0).cast("bigint")
 
     def total(section: str, field: str) -> Column:
-        wanted = (F.col("section") == section) & (F.col("field") == field)
-        return F.coalesce(F.sum(F.when(wanted, F.col("value"))), F.lit(0).cast("bigint"))
-
-    sums = counters.agg(
-        total("receivers", "events_in").alias("events_in"), total("pipelines", "events_dropped").alias("events_dropped"),
-        total("pipelines", "parse_errors").alias("parse_errors"), total("exporters", "batches_failed").alias("batches_failed"))
-    # Both are one row; adding them up puts them side by side.
-    both = agents.unionByName(sums, allowMissingColumns=True)
-    return both.agg(*[F.sum(c).alias(c) for c in both.columns])
+        values = F.coalesce(F.map_values(f"_s.{section}"), F.array().cast(T.ArrayType(SNAPSHOT[section].dataType.valueType)))
+        return F.coalesce(F.aggregate(values, zero, lambda sum_, v: sum_ + F.coalesce(v[field], zero)), zero)
+
+    sums = {"events_in": ("receivers", "events_in"), "events_dropped": ("pipelines", "events_dropped"), "parse_errors": ("pipelines", "parse_errors"), "batches_failed": ("exporters", "batches_failed")}
+    each = state.withColumn("_s", F.from_json(F.nullif(F.col("snapshot_json"), F.lit("")), SNAPSHOT))
+    each = each.select(*[F.coalesce(c, F.lit(False)).alias(c) for c in ("healthy", "flapping", "config_drifted")], *[total(*of).alias(n) for n, of in sums.items()])
+    return each.agg(
+        F.count("*").alias("agents"), F.count_if("healthy").alias("healthy"), F.count_if(~F.col("healthy")).alias("unhealthy"), F.count_if("flapping").alias("flapping"),
+        F.count_if("config_drifted").alias("config_drift"), *[F.coalesce(F.sum(n), zero).alias(n) for n in sums])
 
 
 def agent_stats(inventory_: DataFrame) -> DataFrame:

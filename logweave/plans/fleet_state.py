@@ -374,11 +374,19 @@ def _total(section: str, field: str) -> str:
     {_total('receivers', 'events_in')} as events_in, {_total('pipelines', 'events_dropped')} as events_dropped,
     {_total('pipelines', 'parse_errors')} as parse_errors, {_total('exporters', 'batches_failed')} as batches_failed from ({_DRIFT})""")
 def fleet_overview(spark, sf):
-    m = messages(spark, sf)
-    inv = f.inventory(m)
-    history = f.flapping(f.restart_history(f.restarts(m)), _asof(spark, sf))
-    state = inv.join(history, "agent_id", "left").join(_config(spark, sf), "agent_id", "left")
-    return f.fleet_overview(f.config_drift(state), f.snapshot_counters(inv))
+    states = f.agent_states(messages(spark, sf), run_sql(spark, sf, PUSHES), _asof(spark, sf), span=20_000)
+    return f.fleet_overview(f.config_drift(states))
+
+
+@query(f"""select i.agent_id, i.hostname, i.last_seen, i.healthy, i.snapshot_json, i.last_started_at, i.effective_config_hash, coalesce(restart_count_recent, 0)::integer as restart_count_recent,
+    coalesce(pending, '') as pending_config, coalesce(good, '') as last_known_good_config, coalesce(error, '') as last_config_error
+    from ({_INVENTORY.format(source=DUCK)}) i left join ({_FLAP}) using (agent_id) left join ({_CONFIG}) using (agent_id)""")
+def agent_states(spark, sf):
+    """Inventory, flapping and config rollout out of one pass, in small chunks."""
+    out = f.agent_states(messages(spark, sf), run_sql(spark, sf, PUSHES), _asof(spark, sf), span=500)
+    return out.select(
+        "agent_id", "hostname", F.unix_seconds("last_seen").alias("last_seen"), F.col("healthy").cast("int").alias("healthy"), "snapshot_json", "last_started_at",
+        "effective_config_hash", "restart_count_recent", "pending_config", "last_known_good_config", "last_config_error")
 
 
 @query(f"""select agent_id, round((snapshot_json->'process'->>'cpu_seconds')::double, 1) as cpu_seconds, round((snapshot_json->'process'->>'memory_rss_bytes')::double / 1048576, 1) as rss_mib,
