@@ -115,6 +115,7 @@ class Ordinal:
                 s[0] = 0.9 * s[0] + 0.1 * g
                 s[1] = 0.999 * s[1] + 0.001 * g * g
                 x += RATE * (s[0] / (1 - 0.9 ** step)) / (np.sqrt(s[1] / (1 - 0.999 ** step)) + 1e-8)
+            np.maximum(weights, 0, out=weights)  # no other word makes up for one that is severe
         return Ordinal(vocabulary, weights, cut[0] + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
     def over(self, sets: list[np.ndarray]) -> np.ndarray:
