@@ -3,6 +3,9 @@ and return what they wrote, so the batch SQL is their oracle too."""
 
 from __future__ import annotations
 
+import time
+from datetime import datetime, timedelta, timezone
+
 from pyspark.sql import functions as F
 
 from ..functions import maps
@@ -88,6 +91,31 @@ def file_lines(spark, sf):
     return lines.groupBy(kind.alias("kind")).agg(F.count("*").alias("lines"), F.sum(F.length("body")).alias("chars"))
 
 
+@query(f"select body from ({lines_sql('kafka')}) where seq % 3 <> 0")
+def tailed_lines(spark, sf):
+    """A stream from the end: what was there before it began is left out, what arrives
+    while it is stopped is read when it resumes."""
+    root = shared_dir(spark)
+    lines = run_sql(spark, sf, lines_sql("kafka"))
+
+    def arrive(third: int) -> None:
+        lines.where(F.col("seq") % 3 == third).select("body").write.mode("append").text(f"{root}/logs/{third}")
+
+    def tail(started: datetime | None = None) -> None:
+        stream = read_log_files(spark, [f"{root}/logs/*/part-*"], stream=True, started=started, checkpoint=f"{root}/cp")
+        stream.select("body").writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/cp").trigger(availableNow=True).start().awaitTermination()
+
+    arrive(0)
+    # A second from now: files carry times of a second at the least.
+    start = datetime.now(timezone.utc) + timedelta(seconds=1)
+    time.sleep(2)
+    arrive(1)
+    tail(start)
+    arrive(2)
+    tail()
+    return spark.read.parquet(f"{root}/out").select("body")
+
+
 @query(f"""select agent_id, seq, hostname, healthy::integer as healthy, started_at, effective_config, config_status from ({DUCK})""")
 def message_log(spark, sf):
     """The message log through its JSON form; absent parts stay absent."""
@@ -124,6 +152,15 @@ def datalake_host(spark, sf):
     return out.select("seq", "serverHost", "severity", F.size("attrs").alias("n_attrs"))
 
 
+@query(f"select seq, body, a1 as event_type, r1 as host, severity from ({labelled(EVENTS)}) where a1 = 'error'")
+def exported_records(spark, sf):
+    """The records found, written as JSON lines and read back."""
+    path = f"{shared_dir(spark)}/export"
+    logs.export_logs(logs.correlate(records(spark, sf, EVENTS, EVENT_KEYS), "event_type", "error"), path)
+    back = spark.read.schema("seq long, body string, severity string, attributes map<string,string>, resource map<string,string>").json(path)
+    return back.select("seq", "body", F.col("attributes")["event_type"].alias("event_type"), F.col("resource")["host.name"].alias("host"), "severity")
+
+
 # --- streams ---
 
 def _feed(spark, df, start, order: str = "seq", parts: int = 3) -> str:

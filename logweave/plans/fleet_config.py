@@ -302,6 +302,14 @@ def ranked_nodes_locale(spark, sf):
     return t.graph_nodes(t.agent_graphs(run_sql(spark, sf, _MIXED), none)).select("agent_id", "id", "type", "rank")
 
 
+@query(f"select agent_id, count(*) as nodes, max(flow) as flow from ({_FLOWS}) where substr(agent_id, 7)::integer % 3 <> 0 group by 1")
+def empty_graphs(spark, sf):
+    """Every third agent has nothing configured: it has counters, but no graph."""
+    shown = run_sql(spark, sf, f"select agent_id, case when cast(substr(agent_id, 7) as int) % 3 = 0 then '{{}}' else doc end as doc from ({DOCS})")
+    nodes = t.graph_nodes(t.agent_graphs(shown, run_sql(spark, sf, _VOLUME), pipeline_volume=True))
+    return nodes.groupBy("agent_id").agg(F.count("*").alias("nodes"), F.max("flow").alias("flow"))
+
+
 @query(f"select f.* from ({_FLOWS}) f where agent_id in (select concat('agent-', c_custkey) from {{customer}} where c_acctbal > 9000)")
 def compared_agents(spark, sf):
     chosen = run_sql(spark, sf, "select concat('agent-', c_custkey) as agent_id from {customer} where c_acctbal > 9000")
