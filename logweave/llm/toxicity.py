@@ -79,12 +79,13 @@ class Ordinal:
         if top == 0:
             return Ordinal(np.empty(0, U64), np.empty(0), np.full(1, 60.0))
         vocabulary, count = np.unique(np.concatenate(sets), return_counts=True)
-        total = np.zeros(len(vocabulary))
-        centred = grades - grades.mean()
-        for s, g in zip(sets, centred):
-            total[np.searchsorted(vocabulary, s)] += g
-        spread = np.maximum(count * (1 - count / len(sets)), 1e-9) * centred.var()
-        vocabulary = vocabulary[(count >= LEAST_TEXTS) & (total * total / spread >= LEAST_CHI)]
+        chi = np.zeros(len(vocabulary))
+        at = np.concatenate([np.searchsorted(vocabulary, s) for s in sets])
+        for g in range(1, top + 1):  # a feature may tell any two neighbouring grades apart
+            centred = (grades >= g) - (grades >= g).mean()
+            total = np.bincount(at, np.repeat(centred, [len(s) for s in sets]), len(vocabulary))
+            chi = np.maximum(chi, total * total / np.maximum(count * (1 - count / len(sets)) * centred.var(), 1e-9))
+        vocabulary = vocabulary[(count >= LEAST_TEXTS) & (chi >= LEAST_CHI)]
         found = [_positions(vocabulary, s) for s in sets]
         rows, cols = np.repeat(np.arange(len(sets)), [len(f) for f in found]), np.concatenate(found)
         n = np.bincount(grades, minlength=top + 1)

@@ -264,9 +264,42 @@ def test_many_items_take_one_scan_of_the_documents(spark):
 
 
 def test_license_scan(spark):
-    texts = ["x y z\nLicensed under the Apache License, Version 2.0.\nmore", "released UNDER the mit license", "Permission is hereby granted", None, "", "license", license_scan.TEMPLATES[4][1].replace(", ", ",\n")]
+    grant = license_scan.TEMPLATES[4][1]
+    whole = next(t for n, t in license_scan.TEMPLATES if n == "MIT" and len(t) > 900)
+    header = " */\n\n * ".join(grant[i:i + 60] for i in range(0, len(grant), 60))
+    texts = [
+        "x y z\nLicensed under the Apache License, Version 2.0.\nmore", "released UNDER the mit license", "Permission is hereby granted", None, "", "license", grant.replace(", ", ",\n"),
+        "It is free to use. Licensed under the Apache License, Version 2.0. Contact us for more.", "# SPDX-License-Identifier: Apache-2.0\nimport os", "/*\n * " + header.replace("Soft */\n\n * ware", "Software"),
+        "before " + whole + " after", "// SPDX-License-Identifier: MIT\n" + "code " * 500 + "\nReleased under the MIT License.", "SPDX-License-Identifier: WTFPL", "the license of the software and of the work is in the files under the terms " * 50]
     out = {r.doc_id: [n.license for n in r.notices] for r in license_scan.scan_licenses(table(spark, texts)).collect()}
-    assert out == {0: ["Apache-2.0"], 1: ["MIT"], 2: [], 3: [], 4: [], 5: [], 6: ["MIT"]}
+    assert out == {0: ["Apache-2.0"], 1: ["MIT"], 2: [], 3: [], 4: [], 5: [], 6: ["MIT"], 7: ["Apache-2.0"], 8: ["Apache-2.0"], 9: ["MIT"], 10: ["MIT"], 11: ["MIT", "MIT"], 12: [], 13: []}
+    spans = {r.doc_id: [texts[r.doc_id][n.start:n.end] for n in r.notices] for r in license_scan.scan_licenses(table(spark, texts)).collect()}
+    assert spans[7] == ["Licensed under the Apache License, Version 2.0"] and spans[10][0].startswith("Permission is") and spans[10][0].endswith("OTHER DEALINGS IN")
+
+
+def test_license_scan_compares_all_stretches(spark):
+    """Every stretch of every text with every template, and the same choice of those that overlap."""
+    rng = random.Random(11)
+    templates = [("A", "one two three four five"), ("B", "two three four six seven eight nine"), ("C", "one two one two one"), ("D", "ten"), ("E", "three four")]
+    words = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "zero"]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.4 else w for w in (rng.choice(templates)[1] + " " + rng.choice(templates)[1] + " x " * rng.randrange(3)).split()) for _ in range(150)]
+    pairs = lambda w: list(zip(w, w[1:]))
+    least = 0.7
+    out = {r.doc_id: [(n.license, round(n.dice, 9), texts[r.doc_id][n.start:n.end]) for n in r.notices] for r in license_scan.scan_licenses(table(spark, texts), templates, least).collect()}
+    for d, text in enumerate(texts):
+        own, found = pairs(text.split()), []
+        for name, t in templates:
+            grams = pairs(t.split())
+            for i in range(len(own)):
+                for j in range(i, min(len(own), i + int(len(grams) * (2 - least) / least + 1e-9))):
+                    both, here = len(set(own[i:j + 1]) & set(grams)), len(set(own[i:j + 1]))
+                    if both >= least * len(set(grams)) and 2 * both >= least * (here + len(set(grams))):
+                        found.append((-both, -2 * both / (here + len(set(grams))), name, i, j))
+        kept = []
+        for f in sorted(found):
+            if all(f[4] + 1 < k[3] or f[3] > k[4] + 1 for k in kept):
+                kept.append(f)
+        assert out[d] == [(f[2], round(-f[1], 9), " ".join(text.split()[f[3]:f[4] + 2])) for f in sorted(kept, key=lambda f: f[3])]
 
 
 def test_classifiers_on_held_out_rows(spark):
@@ -385,3 +418,42 @@ def test_columns_with_any_name_come_back(spark):
         stay = [c for c in CLASHING if c in out.columns]
         assert {c.lower() for c in CLASHING} - {c.lower() for c in stay} <= {*results, "ids"}
         assert all(r[c] == f"{c}{r.id}" for r in rows for c in stay if c not in results)
+
+
+def test_language_kernel_against_one_without_landmarks():
+    """On a small set, where every text is a landmark, the projection is the kernel itself."""
+    rng = random.Random(3)
+    pools = {"a": "der und die das nicht ein".split(), "b": "the and of to in is".split(), "c": "le la et les des un".split()}
+    texts, labels = zip(*[(" ".join(rng.choices(pools[k], k=12)), k) for k in "abc" for _ in range(10)])
+    model = language_id.Kernel.fit(list(texts), list(labels))
+    others = [" ".join(rng.choices(pools[k], k=9)) for k in "abc" for _ in range(5)]
+    names, scores = model.predict(others)
+    sets = [set(language_id.grams(t).tolist()) for t in (*texts, *others)]
+    kernel = np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in sets] for x in sets])
+    n = len(texts)
+    want = [max("abc", key=lambda c: kernel[n + i, :n] @ np.linalg.solve(kernel[:n, :n] + np.eye(n), np.array([1.0 if y == c else -1.0 for y in labels]))) for i in range(len(others))]
+    assert names == want and all(0 < s <= 1 for s in scores)
+
+
+def test_ordinal_fit_is_a_stationary_point():
+    """Gradients by differences: no weight over 0, and no threshold, can be moved for the better."""
+    rng = np.random.default_rng(4)
+    sets = [np.unique(np.array([*rng.choice(30, 6), *([200] if rng.random() < 0.2 + 0.6 * (g > 0) else []), *([201] if rng.random() < 0.1 + 0.7 * (g > 1) else [])], np.uint64)) for g in (0, 1, 2) for _ in range(80)]
+    grades = np.repeat([0, 1, 2], 80)
+    model = toxicity.Ordinal.fit(sets, grades)
+    assert model.words.tolist() == [200, 201] and (model.weights > 0).all() and np.all(np.diff(model.thresholds) > 0)
+
+    def value(weights, thresholds):
+        x = np.zeros(len(sets))
+        for i, s in enumerate(sets):
+            x[i] = weights[toxicity._positions(model.words, s)].sum()
+        over = np.concatenate([np.ones((len(sets), 1)), toxicity._chance(x[:, None] - thresholds), np.zeros((len(sets), 1))], 1)
+        own = over[np.arange(len(sets)), grades] - over[np.arange(len(sets)), grades + 1]
+        return np.log(own).reshape(3, -1).mean(1).mean() - toxicity.PENALTY / 2 * (weights ** 2).sum()
+
+    best, step = value(model.weights, model.thresholds), 1e-4
+    for i in range(len(model.weights)):
+        moved = [value(model.weights + sign * step * np.eye(len(model.weights))[i], model.thresholds) - best for sign in (1, -1)]
+        assert moved[0] < 1e-6 and (model.weights[i] < step or moved[1] < 1e-6)
+    for i in range(len(model.thresholds)):
+        assert all(value(model.weights, model.thresholds + sign * step * np.eye(len(model.thresholds))[i]) - best < 1e-6 for sign in (1, -1))
