@@ -23,6 +23,8 @@ from .tables import components, shared_dir, stored
 CELL = 2.0
 RECALL = 0.999
 BLOCK = 1024
+_PAIRS = 4096
+_BUCKET = ("bucket", "tab", "i", "j")
 _SCALE, _STEPS = float(1 << 20), float(1 << 12)
 
 
@@ -66,21 +68,22 @@ class Tables:
             key = mix(key * U64(0x9E3779B97F4A7C15) + cells[:, :, i])
         return key
 
-    def apart_before(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, tab: int) -> np.ndarray:
+    def apart_before(self, x: np.ndarray, a: np.ndarray, b: np.ndarray, tab: np.ndarray) -> np.ndarray:
         """Which of the pairs (a, b) of rows of ``x`` meet in none of the tables before ``tab``.
 
         Close pairs meet in one of the first tables, so these are looked at a few at a time,
         for the rows whose pairs are left.
         """
-        left, first, width = np.arange(len(a)), 0, 4
-        while first < tab and len(left):
-            last = min(tab, first + width)
-            rows, at = np.unique(np.concatenate([a[left], b[left]]), return_inverse=True)
+        open_, out, first, width = np.flatnonzero(tab > 0), tab == 0, 0, 4
+        while len(open_):
+            last = min(int(tab[open_].max()), first + width)
+            rows, at = np.unique(np.concatenate([a[open_], b[open_]]), return_inverse=True)
             keys = self.keys(x[rows], first, last)
-            left = left[(keys[at[:len(left)]] != keys[at[len(left):]]).all(1)]
+            met = (keys[at[:len(open_)]] == keys[at[len(open_):]]) & (np.arange(first, last) < tab[open_, None])
+            open_ = open_[~met.any(1)]
+            out[open_[tab[open_] <= last]] = True
+            open_ = open_[tab[open_] > last]
             first, width = last, width * 2
-        out = np.zeros(len(a), bool)
-        out[left] = True
         return out
 
 
@@ -126,16 +129,39 @@ def _bucket_rows(tables: Tables):
     return run
 
 
+#: Buckets of as many rows at most are compared by shifting the rows against each other; larger ones by a matrix product.
+SMALL = 12
+
+
 def _bucket_links(tables: Tables, cosine: float):
-    def links(tab: int, i: int, j: int, block: np.ndarray, reps: np.ndarray, weights: np.ndarray, blobs: list[bytes]):
-        x = _normal(blobs)
-        close = np.triu(x @ x.T >= cosine, 1)
-        if i != j:
-            close &= block[:, None] != block[None, :]
-        a, b = np.nonzero(close)
+    def close_pairs(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of rows of one bucket with a cosine of at least ``cosine``."""
+        group = np.repeat(np.arange(len(starts)), ends - starts)
+        small = np.repeat(ends - starts <= SMALL, ends - starts)
+        pairs = []
+        for o in range(1, SMALL):
+            a = np.flatnonzero((group[o:] == group[:-o]) & small[o:])
+            if not len(a):
+                break
+            pairs += [(a[at:at + _PAIRS], a[at:at + _PAIRS] + o) for at in range(0, len(a), _PAIRS)]
+        pairs = [(a[c], b[c]) for a, b in pairs if (c := np.einsum("ij,ij->i", x[a], x[b]) >= cosine).any()]
+        for lo, hi in zip(starts.tolist(), ends.tolist()):
+            if hi - lo > SMALL:
+                a, b = np.nonzero(np.triu(x[lo:hi] @ x[lo:hi].T >= cosine, 1))
+                pairs.append((a + lo, b + lo))
+        return tuple(np.concatenate([np.empty(0, np.int64), *side]) for side in (zip(*pairs) if pairs else ((), ())))
+
+    def links(batch: pa.RecordBatch) -> tuple[np.ndarray, ...] | None:
+        """Of whole buckets of vectors of one width: rows with links, how many, and one they are linked to."""
+        tab, i, j, block, reps, weights = (np.asarray(batch.column(c)) for c in ("tab", "i", "j", "block", "rep", "n"))
+        x = _normal(batch.column("vec").to_pylist())
+        starts, ends = _borders(batch)
+        a, b = close_pairs(x, starts, ends)
+        some = (i[a] == j[a]) | (block[a] != block[b])
+        a, b = a[some], b[some]
         if not len(a):
             return None
-        first = tables.apart_before(x, a, b, tab)  # a pair counts in the first table where it meets
+        first = tables.apart_before(x, a, b, tab[a].astype(np.int64))  # a pair counts in the first table where it meets
         a, b = a[first], b[first]
         classes = Classes(len(reps))
         for p, q in zip(a.tolist(), b.tolist()):
@@ -144,27 +170,43 @@ def _bucket_links(tables: Tables, cosine: float):
         some = np.flatnonzero(degree)
         return reps[some], degree[some].astype(np.int64), reps[[classes.root(int(r)) for r in some]] if len(some) else reps[:0]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush():
-            out = links(held[0][1], held[0][2], held[0][3], *(np.array([r[c] for r in held]) for c in (4, 5, 6)), [r[7] for r in held]) if len(held) > 1 else None
-            held.clear()
-            return out
+    def by_width(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """A bucket has vectors of one width, but for hashes that happen to be equal."""
+        for rows in _by_width(batch.column("vec").to_pylist()):
+            yield batch.take(pa.array(rows))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # of the last bucket, which may go on
         for batch in batches:
-            found = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if held and held[-1][:4] != row[:4]:
-                    found.append(flush())
-                held.append(row)
-            yield from _packed(found)
+            if not batch.num_rows:
+                continue
+            starts, _ = _borders(batch)
+            key = [batch.column(c)[0] for c in _BUCKET]
+            if held and [held[0].column(c)[0] for c in _BUCKET] == key:
+                starts = starts[1:]
+            cut = int(starts[-1]) if len(starts) else 0
+            if len(starts):
+                whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()
+                yield from _packed([links(p) for w in whole for p in by_width(w)])
+                held = []
+            held.append(batch.slice(cut))
         if held:
-            yield from _packed([flush()])
+            yield from _packed([links(p) for w in pa.Table.from_batches(held).combine_chunks().to_batches() for p in by_width(w)])
 
     return run
 
 
+def _borders(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Where buckets start and end."""
+    new = np.zeros(batch.num_rows, bool)
+    new[:1] = True
+    for c in _BUCKET:
+        own = np.asarray(batch.column(c))
+        new[1:] |= own[1:] != own[:-1]
+    starts = np.flatnonzero(new)
+    return starts, np.append(starts[1:], batch.num_rows)
+
+
 def _packed(found: list) -> Iterator[pa.RecordBatch]:
     found = [f for f in found if f is not None]
     if found:
