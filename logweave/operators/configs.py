@@ -23,11 +23,33 @@ PLACEHOLDER = "placeholder-value"
 CATEGORY = {"receivers": "receiver", "exporters": "exporter", "extensions": "extension"}
 
 
+#: Spark's parser of JSON takes 1,000 levels, its stack somewhat fewer: a deeper document would take the executor with it.
+MAX_DEPTH = 500
+
+
 def with_variant(configs: DataFrame) -> DataFrame:
-    """Parse ``doc`` if it is text; a document that is not JSON becomes NULL."""
+    """Parse ``doc`` if it is text; a document that is not JSON becomes NULL, one of more
+    than ``MAX_DEPTH`` levels fails the job rather than lose its leaves."""
     if dict(configs.dtypes)["doc"] == "variant":
         return configs
-    return computed_once(configs.withColumnRenamed("doc", "_text"), "doc", F.try_parse_json("_text")).drop("_text")
+    # Few documents have as many brackets at all; only those are looked at closely.
+    many = F.length("_text") - F.length(F.translate("_text", "{[", "")) > MAX_DEPTH
+    error = F.raise_error(F.lit(f"config document nested deeper than {MAX_DEPTH}")).cast("variant")
+    parsed = F.when(F.when(many, _depth(F.col("_text"))).otherwise(0) > MAX_DEPTH, error).otherwise(F.try_parse_json("_text"))
+    return computed_once(configs.withColumnRenamed("doc", "_text"), "doc", parsed).drop("_text")
+
+
+def _depth(text: Column) -> Column:
+    """The deepest nesting of a JSON text, by one pass over the brackets outside of its texts."""
+    plain = F.replace(F.replace(text, F.lit("\\\\"), F.lit("")), F.lit('\\"'), F.lit(""))
+    brackets = F.regexp_extract_all(F.regexp_replace(plain, '"[^"]*"', ""), F.lit(r"[{}\[\]]"), F.lit(0))
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("{", "["), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(brackets, start, step)["most"]
 
 
 def objects(doc: Column, path: str) -> Column:

@@ -66,6 +66,14 @@ def test_long_and_wide_documents(spark):
     assert configs.redact(df).where("agent_id = 1 and value = '***redacted***'").count() == 500
 
 
+def test_documents_beyond_the_depth_of_the_parser(spark):
+    deep = lambda n: spark.createDataFrame([(1, '{"x":[' * n + '"{{[[\\\\"' + "]}" * n), (2, json.dumps(["[{" * 900, {"a": [[]] * 900}]))], "agent_id long, doc string")
+    assert max(len(r.path) for r in configs.config_leaves(deep(configs.MAX_DEPTH // 2)).collect()) == configs.MAX_DEPTH
+    for job in (configs.config_leaves, configs.redact, configs.config_components):
+        with pytest.raises(Exception, match="nested deeper"):
+            job(deep(configs.MAX_DEPTH // 2 + 1)).collect()
+
+
 def test_documents_that_are_none(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "{"), (4, "null"), (5, "[]")], "agent_id long, doc string")
     assert sorted((r.agent_id, r.path, r.value) for r in configs.config_leaves(df).collect()) == [(4, [], "null"), (5, [], "[]")]
