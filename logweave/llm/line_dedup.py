@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import U64, mix
@@ -107,11 +107,11 @@ class Shard:
         self.rest = np.frombuffer(row["rest"], np.uint64)
         self.fingerprints, self.counts, self.firsts = (np.frombuffer(row[c], np.int64) for c in ("fingerprints", "counts", "firsts"))
 
-    def probe(self, h: np.ndarray, f: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which line hashes are indexed, and the smallest document of each."""
+    def probe(self, h: np.ndarray, f: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which line hashes are indexed with a count of at least ``least``, and the smallest document of each."""
         slot = find(h.astype(np.uint64), self.levels, self.rest)
         known = slot >= 0
-        known[known] = self.fingerprints[slot[known]] == f[known]
+        known[known] = (self.fingerprints[slot[known]] == f[known]) & (self.counts[slot[known]] >= least)
         return known, np.where(known, self.firsts[np.where(known, slot, 0)], 0)
 
 
@@ -154,9 +154,15 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [*part.schema.names[:n - 2], "n_lines", "n_dropped", "kept"])
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def salts_by_shard(lines: DataFrame, shard: Column) -> DataFrame:
+    """A shard with more lines than a task should probe is copied for each of its salts; the others stay as they are."""
+    return lines.groupBy(shard.alias("shard")).count().select("shard", F.ceil(F.col("count") / PROBE_ROWS).cast("int").alias("salts"))
+
+
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", least_rows: int = 2) -> DataFrame:
     """The other columns of ``docs`` with n_lines, n_dropped and kept (the remaining text).
 
+    A line that at least two documents and ``least_rows`` rows hold stays in the first document alone.
     Lines are split at \\n; a null or empty text is one empty line. Rows with one
     id are one document. Lines of a document without an id count nowhere and all
     stay; so does a line of fewer than ten code points. Columns named like the
@@ -178,21 +184,19 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         return pd.DataFrame([_shard_row(int(group["shard"].iloc[0]), group.drop_duplicates("h"))])
 
     def twins(group: pd.DataFrame) -> pd.DataFrame:
-        return group[group.duplicated("h")][["h", "f", "first"]]
+        return group[group.duplicated("h")][["h", "f", "first", "n_docs"]]
 
     by_shard = keys.withColumn("shard", shard).groupBy("shard")
     arrays = stored(by_shard.applyInPandas(index, _INDEX), folder)
     # Two lines with one 64-bit hash: all but one of them are matched as plain rows.
-    extra = stored(by_shard.applyInPandas(twins, "h long, f long, first long"), folder)
+    extra = stored(by_shard.applyInPandas(twins, "h long, f long, first long, n_docs long"), folder).where(F.col("n_docs") >= least_rows)
 
-    # A shard with more lines than a task should probe is copied for each of its salts; the others stay as they are.
-    salts = F.ceil(F.col("count") / PROBE_ROWS).cast("int").alias("salts")
-    loads = stored(lines.groupBy(shard.alias("shard")).count().select("shard", salts), folder)
+    loads = stored(salts_by_shard(lines, shard), folder)
 
     def probe(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"doc": [], "f": []}, dtype="int64")
-        known, first = Shard(right.iloc[0].to_dict()).probe(left["h"].to_numpy(), left["f"].to_numpy())
+        known, first = Shard(right.iloc[0].to_dict()).probe(left["h"].to_numpy(), left["f"].to_numpy(), least_rows)
         return left[["doc", "f"]][known & (first < left["doc"].to_numpy())]
 
     salted = arrays.join(F.broadcast(loads), "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")  # a row per SHARD_KEYS keys

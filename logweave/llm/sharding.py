@@ -19,7 +19,7 @@ from ..operators.ordered import running_total
 from .tables import carried, stored
 
 #: Rows of a bucket on average; a task sorts a few buckets.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 5_000
 #: A bucket of a source with more rows than this is split (rows that repeat with
 #: their key fall into one bucket). There are at most rows / SPLIT_ROWS of them.
 SPLIT_ROWS = 1_000_000

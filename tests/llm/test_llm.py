@@ -52,6 +52,23 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(table(spark, [])).count() == 0
 
 
+def test_lines_of_few_rows_stay(spark):
+    texts = ["a line that two hold\na line that three hold", "A line that two hold\na line that THREE hold", "a line that three hold"]
+    kept = lambda least: [r.n_dropped for r in line_dedup.dedup_lines(table(spark, texts), least_rows=least).orderBy("doc_id").collect()]
+    assert kept(2) == [0, 2, 1] and kept(3) == [0, 1, 1] and kept(4) == [0, 0, 0]
+
+
+def test_a_hot_line_copies_its_shard_alone(spark, monkeypatch):
+    """A line in all documents: of the shards only its own is copied, once for each of its salts."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "PROBE_ROWS", 100)
+    texts = ["\n".join(["the line that all documents hold", f"shared by two documents {i // 2}", f"own line of document {i}"]) for i in range(400)]
+    assert {r.doc_id: r.n_dropped for r in line_dedup.dedup_lines(table(spark, texts)).collect()} == {i: int(i > 0) + i % 2 for i in range(400)}
+    lines = spark.range(1000).select(F.when(F.col("id") < 900, 3).otherwise(F.col("id") % 10).alias("h"))
+    salts = {r.shard: r.salts for r in line_dedup.salts_by_shard(lines, F.col("h")).collect()}
+    assert salts == {i: 10 if i == 3 else 1 for i in range(10)}
+
+
 def test_perfect_hash_is_minimal():
     keys = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 50_000, dtype=np.uint64))
     slot, levels, rest = line_dedup.build_index(keys)
