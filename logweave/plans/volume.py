@@ -105,8 +105,8 @@ def attribution_sql(routes: str, accepted: str, sent: str, failed: str) -> str:
 # One shared graph: suppliers are receivers, nations pipelines, regions exporters.
 SHARED_RECEIVERS = """select 'fleet' as agent_id, concat('logs/', n_name) as pipeline, concat('syslog/s', s_suppkey) as id
     from {nation} join {supplier} on s_nationkey = n_nationkey"""
-SHARED_EXPORTERS = """select 'fleet' as agent_id, concat('logs/', n_name) as pipeline, concat('hec/r', (n_regionkey + k) % 5) as id
-    from {nation} join (select distinct s_nationkey from {supplier}) s on s_nationkey = n_nationkey cross join (select 0 as k union all select 1) two"""
+SHARED_EXPORTERS = " union all ".join(f"""select 'fleet' as agent_id, concat('logs/', n_name) as pipeline, concat('hec/r', (n_regionkey + {k}) % 5) as id
+    from {{nation}} join (select distinct s_nationkey from {{supplier}}) s on s_nationkey = n_nationkey""" for k in (0, 1))
 _SHARED_ROUTES = f"""select agent_id, pipeline, receivers, exporters from (select agent_id, pipeline, list(id) as receivers from ({SHARED_RECEIVERS}) group by 1, 2)
     join (select agent_id, pipeline, list(id) as exporters from ({SHARED_EXPORTERS}) group by 1, 2) using (agent_id, pipeline)"""
 SHARED_ACCEPTED = "select 'fleet' as agent_id, concat('syslog/s', l_suppkey) as id, count(*) as n from {lineitem} group by l_suppkey"
