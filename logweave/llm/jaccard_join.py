@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import LOWER, U64, byte_class, gram_hashes, mix, text_groups, word_hashes, words
-from .tables import components, shared_dir, stored
+from .tables import components, may_be_among, shared_dir, stored
 
 WORD = byte_class((0x09, 0x0D), (0x20, 0x20))
 CLASS_RATIO = 1.4
@@ -455,5 +455,8 @@ def similar_documents(docs: DataFrame, words_each: int = 5, num: int = 4, den: i
 
 def _with_text(members: DataFrame, full: DataFrame) -> DataFrame:
     """The texts of the representatives. They are merged by id at every size:
-    how many documents have a candidate grows with the input."""
-    return members.join(full.withColumnRenamed("doc", "rep").hint("merge"), "rep")
+    how many documents have a candidate grows with the input. Texts of documents
+    that have none stay where they are."""
+    members = stored(members)
+    texts = may_be_among(full.withColumnRenamed("doc", "rep"), members.select("rep").distinct(), "rep")
+    return members.join(texts.hint("merge"), "rep")

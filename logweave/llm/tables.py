@@ -69,6 +69,23 @@ def digit(column: str = "doc_id") -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5
 
 
+#: Bits of a bitmap for each key, and its bits at most (32 MB).
+BITS_EACH, MOST_BITS = 16, 1 << 28
+_PIECE = 1 << 15
+
+
+def may_be_among(rows: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """All ``rows`` whose ``column`` is among that of ``keys``, and few others: for before a
+    join that moves wide rows. The keys' bitmap is broadcast,
+    so its size has a bound; where that is reached, more rows pass."""
+    bits = min(MOST_BITS, 1 << max(15, (BITS_EACH * max(keys.count(), 1) - 1).bit_length()))
+    at = F.pmod(F.xxhash64(column, F.lit(17)), F.lit(bits))
+    pieces = keys.select(at.alias("bit")).groupBy(F.expr(f"bit div {_PIECE}").alias("piece")).agg(F.bitmap_construct_agg(F.col("bit") % _PIECE).alias("bits"))
+    byte = F.conv(F.hex(F.substring("bits", ((F.col("bit") % _PIECE) / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("bit", at).withColumn("piece", F.expr(f"bit div {_PIECE}")).join(F.broadcast(pieces), "piece")
+    return found.where(F.getbit(byte, (F.col("bit") % 8).cast("int")) == 1).select(*rows.columns)
+
+
 def sample_rows(rows: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
     """A bounded, repeatable sample: about ``per_class`` rows of each label.
 

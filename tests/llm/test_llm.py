@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logweave.llm import byte_bpe, decontaminate, embedding_dups, jaccard_join, language_id, license_scan, line_dedup, quality, token_files, toxicity
-from logweave.llm.tables import components, sample_rows, shared_dir
+from logweave.llm.tables import components, may_be_among, sample_rows, shared_dir
 
 ODD = [None, "", "  ", "\n\n", "x", "It's we'll I'D", "x\x1cy\x85z　w", "漢字かな混じり文、" * 40, "a" * 5000, "<|endoftext|> Ab.", "é. É, x...y!!", "long line here now\n" * 2000]
 SCHEMA = "doc_id long, text string, kept string, ids string, n_words string"
@@ -173,6 +173,14 @@ def test_components(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
 
 
+def test_rows_that_may_be_among_keys(spark):
+    rows = spark.range(20_000).select("id", F.concat(F.lit("text "), "id").alias("text"))
+    keys = spark.range(0, 20_000, 100)
+    out = {r.id: r.text for r in may_be_among(rows, keys, "id").collect()}
+    assert set(range(0, 20_000, 100)) <= out.keys() and len(out) < 3000 and out[100] == "text 100"
+    assert may_be_among(rows, keys.limit(0), "id").count() == 0
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((60, 16))
