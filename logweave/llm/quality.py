@@ -138,11 +138,11 @@ def score_quality(docs: DataFrame, model: Quadratic | float, text: str = "text")
     Nulls and empty texts are scored as texts without words; a column named
     ``score`` is replaced.
     """
-    source, rest, kinds, back = with_text(docs, text, ("score",))
+    source, rest, kinds, back = with_text(docs, text, ("score",), once=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([*statistics(batch.column(len(rest))), np.empty((0, len(STATISTICS)))])
+            x = np.concatenate([*statistics(batch.column(batch.num_columns - 1)), np.empty((0, len(STATISTICS)))])
             score = model.score(x) if isinstance(model, Quadratic) else np.full(len(x), model)
             yield pa.record_batch([*batch.columns[:len(rest)], pa.array(score)], [*rest, "score"])
 

@@ -53,15 +53,19 @@ def carried(df: DataFrame, results: tuple[str, ...], *named: str, gone: tuple[st
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), back, [inner(n) for n in named]
 
 
-def with_text(df: DataFrame, text: str, results: tuple[str, ...], gone: bool = False) -> tuple[DataFrame, list[str], str, Callable[..., DataFrame]]:
+def with_text(df: DataFrame, text: str, results: tuple[str, ...], gone: bool = False, once: bool = False) -> tuple[DataFrame, list[str], str, Callable[..., DataFrame]]:
     """For scans with Arrow: ``df`` as the columns to hand back (of ``carried``; without
     the text if it is ``gone``) and the text as a string; the names of the former, their types
-    as a prefix of a schema, and the function that gives their names back."""
+    as a prefix of a schema, and the function that gives their names back. The text is the
+    last column; with ``once``, if it is a string, the last of those to hand back is the
+    text itself, so that it travels once."""
     inner, back, (text,) = carried(df, results, text, gone=(text,) if gone else ())
     taken = {r.lower() for r in results}
     rest = [c for c, name in zip(inner.columns, df.columns) if name.lower() not in taken and not (gone and c == text)]
+    once = once and text in rest and inner.schema[text].dataType.simpleString() == "string"
+    rest = sorted(rest, key=lambda c: c == text) if once else rest
     kinds = "".join(f"{c} {inner.schema[c].dataType.simpleString()}, " for c in rest)
-    return inner.select(*rest, F.col(text).cast("string").alias("text")), rest, kinds, back
+    return inner.select(*rest, *([] if once else [F.col(text).cast("string").alias("text")])), rest, kinds, back
 
 
 def digit(column: str = "doc_id") -> F.Column:
