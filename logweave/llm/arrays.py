@@ -7,7 +7,7 @@ partition.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,15 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+#: What an operator keeps in a Python process from task to task, as functions that drop it.
+_kept: list[Callable[[], None]] = []
+
+
+def keep(drop: Callable[[], None]) -> None:
+    """Say how to drop what is kept from task to task: an operator of another kind in the same process does."""
+    _kept.append(drop)
+
+
 def byte_class(*outside: tuple[int, int]) -> np.ndarray:
     """A table of the bytes that belong to words: all but the given ranges."""
     table = np.ones(256, bool)
@@ -47,6 +56,8 @@ def text_groups(column: pa.Array, limit: int = GROUP_BYTES) -> Iterator[tuple[in
 
     Nulls are empty. A range holds at most ``limit`` bytes, or one row.
     """
+    while _kept:
+        _kept.pop()()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     for at in range(0, len(column), _ROWS):

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Cache
+from .arrays import Cache, keep
 from .tables import carried, with_text
 
 CACHE_PIECES = 80_000
@@ -183,9 +183,10 @@ _loaded: dict[tuple[str, str], Ranks] = {}
 
 
 def ranks(path: str, pattern: str) -> Ranks:
-    """The vocabulary, read once per Python process."""
+    """The vocabulary, read once per Python process; scans of another kind drop it with all pieces learnt."""
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Ranks(path, pattern)
+        keep(_loaded.clear)
     return _loaded[path, pattern]
 
 

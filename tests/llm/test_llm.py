@@ -482,3 +482,14 @@ def test_ordinal_fit_is_a_stationary_point():
         assert moved[0] < 1e-6 and (model.weights[i] < step or moved[1] < 1e-6)
     for i in range(len(model.thresholds)):
         assert all(value(model.weights, model.thresholds + sign * step * np.eye(len(model.thresholds))[i]) - best < 1e-6 for sign in (1, -1))
+
+
+def test_other_scans_drop_the_vocabulary():
+    import pyarrow as pa
+
+    from logweave.llm.arrays import text_groups
+
+    own = byte_bpe.ranks(*VOCABULARY)
+    assert byte_bpe.ranks(*VOCABULARY) is own
+    assert list(text_groups(pa.array(["a"]))) and not byte_bpe._loaded
+    assert byte_bpe.ranks(*VOCABULARY) is not own
