@@ -23,6 +23,8 @@ PLACEHOLDER = "placeholder-value"
 CATEGORY = {"receivers": "receiver", "exporters": "exporter", "extensions": "extension"}
 
 
+#: Levels of a document that are taken apart step by step.
+LEVELS = 6
 #: Spark's parser of JSON takes 1,000 levels, its stack somewhat fewer: a deeper document would take the executor with it.
 MAX_DEPTH = 500
 
@@ -103,15 +105,35 @@ def explode_config(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> tup
 def config_leaves(configs: DataFrame, by: Sequence[str] = ("agent_id",), redact: bool = False) -> DataFrame:
     """One row per leaf: ``(by…, path, value, is_text)``.
 
-    ``path`` is an array of keys and ``[i]`` list positions. One narrow pass over a
-    document's tokens, however deep it is; batch and stream are the same plan.
-    Empty objects and lists are leaves. ``redact`` replaces the whole subtree under a
-    sensitive key.
+    ``path`` is an array of keys and ``[i]`` list positions. The first ``LEVELS`` levels,
+    which is as deep as documents are as a rule, are a narrow step each; what is deeper
+    comes out of one fold over its tokens. So the plan is the same for all documents,
+    in a stream too, and nothing moves. Empty objects and lists are leaves. ``redact``
+    replaces the whole subtree under a sensitive key.
     """
-    docs = with_variant(configs).select(*by, "doc").filter("doc is not null")
-    cut = computed_once(docs.select(*by, F.to_json("doc").alias("_json")), "_tokens", tokens(F.col("_json")))
-    leaves = leaf_paths(F.col("_tokens"), SENSITIVE, REDACTED) if redact else leaf_paths(F.col("_tokens"))
-    return cut.select(*by, F.inline(leaves))
+    spark = configs.sparkSession
+    level = with_variant(configs).select(*by, F.array().cast("array<string>").alias("path"), "doc").filter("doc is not null")
+    hidden = F.parse_json(F.lit(f'"{REDACTED}"'))
+    for _ in range(LEVELS):
+        children = spark.tvf.variant_explode_outer(F.col("doc").outer()).select(
+            F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_value"))
+        value = F.when(F.lower("_key").isin(*SENSITIVE), hidden).otherwise(F.col("_value")) if redact else F.col("_value")
+        step = F.coalesce(F.col("_key"), F.concat(F.lit("["), F.col("_pos"), F.lit("]")))
+        level = level.lateralJoin(children).select(
+            *by,
+            F.when(F.col("_pos").isNull(), F.col("path")).otherwise(F.array_append("path", step)).alias("path"),
+            F.when(F.col("_pos").isNull(), F.col("doc")).otherwise(value).alias("doc"),
+        )
+    text = F.to_json("doc")
+    is_text = text.startswith('"')
+    deeper = text.rlike(r"^[{\[]") & ~text.isin("{}", "[]")
+    # The tokens are bound once, and only where there is something deeper.
+    inside = F.flatten(F.transform(F.array(tokens(text)), lambda t: leaf_paths(t, SENSITIVE if redact else (), REDACTED)))
+    value = F.when(is_text, F.variant_get("doc", "$", "string")).otherwise(text)
+    each = level.select(*by, "path", value.alias("value"), is_text.alias("is_text"), F.explode_outer(F.when(deeper, inside)).alias("_leaf"))
+    below = F.col("_leaf").isNotNull()
+    return each.select(*by, F.when(below, F.concat("path", "_leaf.path")).otherwise(F.col("path")).alias("path"), F.when(below, F.col("_leaf.value")).otherwise(F.col("value")).alias("value"),
+                       F.when(below, F.col("_leaf.is_text")).otherwise(F.col("is_text")).alias("is_text"))
 
 
 def redact(configs: DataFrame, by: Sequence[str] = ("agent_id",)) -> DataFrame:

@@ -41,13 +41,15 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on: Sequence[str], how: str
     return fact.withColumn("_salt", _salt(fact, salts)).join(copies, [*on, "_salt"], how).drop("_salt")
 
 
-def look_up(fact: DataFrame, dim: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Left join of a table to another one that is as large, but has one row per key.
+def look_up(fact: DataFrame, dim: DataFrame, on: Sequence[str], salts: int = SALTS, size: int | None = None) -> DataFrame:
+    """Left join of a table to another one that may be as large, but has one row per key.
 
-    Which salts a key has in ``fact`` is found out first (combined before the
+    One that is small by its statistics is broadcast. Else, which salts a key has in ``fact`` is found out first (combined before the
     shuffle); only these get a copy of the key's row. A hot key has ``salts`` tasks, a
     rare one no more rows than before.
     """
+    if is_small(dim, BROADCAST_BYTES if size is None else size):
+        return fact.join(F.broadcast(dim), list(on), "left")
     salted = fact.withColumn("_salt", _salt(fact, salts))
     copies = salted.select(*on, "_salt").distinct().join(dim, list(on), "left")
     return salted.join(copies, [*on, "_salt"], "left").drop("_salt")

@@ -105,8 +105,8 @@ def attribute_members(receivers: DataFrame, exporters: DataFrame, accepted: Data
     # A receiver or exporter that all pipelines share is one key: it is looked up per salt.
     volume = look_up(receivers.select(*by, "pipeline", "id"), accepted.select(*by, "id", "n"), [*by, "id"])
     volume = volume.groupBy(*by, "pipeline").agg(F.coalesce(F.sum("n"), zero).alias("events_in"))
-    # A pipeline may list many exporters, an agent many pipelines: this joins as many rows as it keeps.
-    uses = look_up(exporters.select(*by, "pipeline", "id"), volume, [*by, "pipeline"]).withColumn("events_in", F.coalesce("events_in", zero))
+    # A pipeline has as many rows here as it lists exporters.
+    uses = exporters.select(*by, "pipeline", "id").join(volume, [*by, "pipeline"], "left").withColumn("events_in", F.coalesce("events_in", zero))
     totals = uses.groupBy(*by, "id").agg(F.sum("events_in").alias("total_in"), F.count("*").alias("users"))
     totals = (totals.join(sent.withColumnRenamed("n", "sent"), [*by, "id"], "left")
               .join(failed.withColumnRenamed("n", "failed"), [*by, "id"], "left"))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from logweave.operators import fleet, metrics
+from logweave.operators import fleet, joins, metrics
 from logweave.operators.joins import is_small, join_dimension, look_up
 from logweave.operators.ordered import count_within, running_total, with_previous
 from logweave.operators.routing import route_in, route_out
@@ -82,7 +82,8 @@ def test_size_check(spark):
 
 def test_look_up(hot):
     dim = hot.groupBy("k").agg(F.sum("v").alias("s")).where("k <> 'k5'")
-    same(look_up(hot, dim, ["k"]), hot.join(dim, "k", "left"))
+    for size in (None, 0):
+        same(look_up(hot, dim, ["k"], size=size), hot.join(dim, "k", "left"))
 
 
 def test_a_hot_receiver_spreads_in_a_stream(spark):
@@ -105,8 +106,9 @@ def test_a_hot_receiver_spreads_in_a_stream(spark):
     assert max(r["count"] for r in seen) < 12_000 and len(seen) == 8
 
 
-def test_a_shared_exporter_is_split_without_adaptive_joins(spark):
+def test_a_shared_exporter_is_split_without_adaptive_joins(spark, monkeypatch):
     """One exporter in all pipelines, adaptive execution off."""
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
     n = 4000
     pipelines = spark.range(n).select(F.lit("f").alias("agent_id"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("pipeline"))
     receivers = pipelines.withColumn("id", F.col("pipeline"))
