@@ -135,3 +135,20 @@ def test_a_payload_of_many_frames(spark):
     df = spark.range(1).select(F.concat(F.repeat(F.lit("9 message 1"), n), F.lit("7 tail")).alias("payload"))
     got = split_octet_frames(df).agg(F.count("message"), F.max("frame_no"), F.countDistinct("message"), F.min("message"), F.max("_leftover")).first()
     assert tuple(got) == (n, n - 1, 1, "message 1", "7 tail")
+
+
+def test_delivered_times_add_up_to_more_than_a_long_holds(spark, tmp_path):
+    import shutil
+    from decimal import Decimal
+
+    from logweave.plans.delivery import live_delivery
+    late = 7 * 10**18  # microseconds: two of them are more than a long holds
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    few = events.limit(40).withColumns({"user_id": F.lit(0).cast(events.schema["user_id"].dataType), "event_type": F.lit("error"),
+                                        "ts": F.timestamp_micros(F.lit(late)).cast(events.schema["ts"].dataType)})
+    few.write.parquet(f"{tmp_path}/events.parquet")
+    shutil.copy("/root/testdata/sf0.001/nation.parquet", f"{tmp_path}/nation.parquet")
+    out = live_delivery(spark, str(tmp_path)).collect()
+    sent = [r for r in out if r.exporter.startswith("splunk_hec/")]
+    assert sent and all(r.us == Decimal(late) * r.events for r in sent)
+    assert all(r.us is None for r in out if r not in sent)
