@@ -76,3 +76,9 @@ def test_only_measured_sides_are_broadcast_by_hint(spark):
         hits += [(m.name, line.strip()) for line in source.splitlines() if "F.broadcast(" in line]
     # The index of a table has a name per file, as the listing of the table itself.
     assert [m for m, _ in hits] == ["joins", "log_index"], hits
+
+
+@pytest.mark.parametrize("name", ["orphans", "dangling", "config_audit"])
+def test_ids_out_of_documents_are_not_broadcast(spark, name):
+    """By statistics they are as small as the packed files they come from."""
+    assert "Broadcast" not in physical(JOBS[name](spark, SF))
