@@ -170,3 +170,20 @@ def test_rollout_equals_sequential_fold(spark, span):
     m = spark.createDataFrame(outcomes, "agent_id string, seq bigint, config_status struct<status:string,error:string>")
     got = {r.agent_id: (r.pending_config, r.last_known_good_config, r.last_config_error) for r in fleet.config_rollout(m, p, span).collect()}
     assert got == expected
+
+
+def test_exploded_rows_are_more_than_statistics_say(spark, tmp_path):
+    spark.range(100_000).select(F.concat(F.lit("agent-"), "id").alias("k")).write.parquet(f"{tmp_path}/keys")
+    keys = spark.read.parquet(f"{tmp_path}/keys")
+    made = keys.select("k", F.explode(F.array(*[F.concat("k", F.lit(f"/{i}")) for i in range(50)])).alias("member"))
+    assert is_small(keys) and not is_small(made) and not is_small(made.select(F.lit(1).alias("one")))
+
+
+def test_a_key_is_copied_only_to_its_salts(spark):
+    """Of a thousand keys with one row each, not 32 copies of a dimension's rows."""
+    fact = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 3).alias("v"))
+    dim = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("d"))
+    joined = join_dimension(fact, dim, ["k"], size=1)
+    same(joined, fact.join(dim, "k"))
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_or" in plan and "Generate explode" in plan
