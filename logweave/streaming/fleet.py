@@ -156,7 +156,7 @@ def report_runs(out: str, scrape_type: str = "bigint", **options) -> Runs:
 
 def report_stream(lines: DataFrame, routes: DataFrame, receivers: DataFrame, exporters: DataFrame, out: str, checkpoint: str,
                   every: str | None = "15 seconds", timeout: float = SCRAPE_TIMEOUT, **options) -> StreamingQuery:
-    """A report of every scrape, as soon as all of its lines are there.
+    """The newest report of each agent, as soon as all lines of its scrape are there.
 
     ``lines`` is ``(agent_id, scrape_id, lines, line_no, text, error, started_at,
     scraped_at)``: ``lines`` says how many rows the scrape has, ``scrape_id``
@@ -165,8 +165,10 @@ def report_stream(lines: DataFrame, routes: DataFrame, receivers: DataFrame, exp
     complete ``timeout`` seconds after its first line arrived has failed: the agent is
     unhealthy, and the lines are dropped. That is looked at when a batch comes; lines that
     come after it wait as a scrape of their own, and fail again. An agent is reported
-    from its first scrape that is complete or has failed. ``routes``, ``receivers`` and
-    ``exporters`` are as in ``metrics.snapshot``. See ``current_reports``.
+    from its first scrape that is complete or has failed. Of the good scrapes that a batch
+    completes for an agent, the newest replaces the others: only of that one the samples are
+    read and a document is made, so a batch makes at most one for each agent. ``routes``,
+    ``receivers`` and ``exporters`` are as in ``metrics.snapshot``. See ``current_reports``.
     """
     by = ["agent_id", "scrape_id"]
     runs = report_runs(out, lines.schema["scrape_id"].dataType.simpleString(), **options)
@@ -186,17 +188,19 @@ def report_stream(lines: DataFrame, routes: DataFrame, receivers: DataFrame, exp
         cut = F.concat(F.lit("scrape incomplete: "), F.col("_here").cast("string"), F.lit(" of "), F.coalesce(F.col("_lines").cast("string"), F.lit("?")), F.lit(" lines"))
         counted = counted.withColumn("_done", whole | late).withColumn("error", F.when(late, cut).otherwise(F.col("error"))).persist()
         done = counted.where("_done").select(*by, "error", "started_at", "scraped_at")
-        good = done.where("error is null").drop("error")
+        # Combined before the shuffle: a row per agent, however many scrapes it has in the batch.
+        newest = F.max_by(F.struct("scrape_id", "started_at", "scraped_at"), "scrape_id")
+        good = done.where("error is null").groupBy("agent_id").agg(newest.alias("_newest")).select("agent_id", "_newest.*").persist()
         samples = read_metric_scrapes(rows.join(good.select(*by), by, "left_semi").select(*by, "line_no", "text")).persist()
-        of_scrape = lambda df: df.join(good.select(*by), "agent_id")
-        documents = m.status_documents(good, samples, of_scrape(routes), of_scrape(receivers), of_scrape(exporters), by)
+        graphs = [df.join(good.select(*by), "agent_id").persist() for df in (routes, receivers, exporters)]
+        documents = m.status_documents(good, samples, *graphs, by)
         fresh = done.select(*by, F.col("error").isNull().alias("healthy"), F.coalesce("error", F.lit("")).alias("last_error"),
                             F.when(F.col("error").isNull(), F.col("scrape_id")).alias("good_scrape_id")).join(documents, by, "left")
         rows.join(counted.where("not _done").select(*by), by, "left_semi").write.mode("overwrite").parquet(f"{out}/open/version={batch_id}")
         runs.write(runs.combine(fresh, False), batch_id)
         for old in ("open/version", "arrivals/batch"):
             remove(spark, f"{out}/{old}={batch_id - 2}")
-        for kept in (samples, counted, rows):
+        for kept in (*graphs, samples, good, counted, rows):
             kept.unpersist()
 
     return lines.writeStream.foreachBatch(report).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()

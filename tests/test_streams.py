@@ -149,6 +149,27 @@ def test_a_scrape_that_never_ends_fails(spark):
     assert waiting(3) == 0 and not os.path.exists(f"{root}/out/open/version=1")
 
 
+def test_a_batch_makes_one_document_for_an_agent(spark, monkeypatch):
+    root = shared_dir(spark)
+    sample = 'otelcol_receiver_accepted_log_records{receiver="r"} %d'
+    routes = spark.createDataFrame([(a, "p", ["r"], ["x"]) for a in "ab"], "agent_id string, pipeline string, receivers array<string>, exporters array<string>")
+    ids = lambda i: spark.createDataFrame([(a, i) for a in "ab"], "agent_id string, id string")
+    made, documents = [], live.m.status_documents
+
+    def counted(agents, samples, *rest):
+        made.append((sorted(r.scrape_id for r in agents.collect()), samples.count()))
+        return documents(agents, samples, *rest)
+
+    monkeypatch.setattr(live.m, "status_documents", counted)
+    rows = [("a", scrape, 1, 1, sample % (10 * scrape), None, "2024-01-01T00:00:00Z", None) for scrape in (3, 1, 5, 2, 4)]
+    rows += [("a", 6, 1, 1, None, "refused", None, None), ("b", 7, 1, 1, None, "refused", None, None), ("b", 2, 2, 1, sample % 1, None, None, None)]
+    spark.createDataFrame(rows, LINE).coalesce(1).write.parquet(f"{root}/in")
+    live.report_stream(spark.readStream.schema(LINE).parquet(f"{root}/in"), routes, ids("r"), ids("x"), f"{root}/out", f"{root}/cp", every=None).awaitTermination()
+    got = live.current_reports(spark, f"{root}/out").select("agent_id", "healthy", "last_error", F.get_json_object("snapshot_json", "$.receivers.r.events_in").alias("n"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", False, "refused", "50"), ("b", False, "refused", None)]
+    assert made == [([5], 1)] and spark.read.parquet(f"{root}/out/open/version=0").count() == 1
+
+
 def test_a_batch_keeps_its_arrival(spark):
     folder = shared_dir(spark)
     seen = [spark.range(1).select(F.unix_micros(live._arrival(spark, folder, n))).first()[0] for n in (0, 0, 1, 1)]
