@@ -19,6 +19,8 @@ from .logs import search, searched_text
 #: Bits of a file's bitmap, in pieces of ``_PIECE`` bits as Spark builds them.
 BITS = 1 << 19
 _PIECE = 1 << 15
+#: Characters of a text of which the trigrams are taken together.
+_CUT = 64
 #: Trigrams of a text sought that are looked up at most: more do not tell files apart any better.
 MOST_GRAMS = 64
 
@@ -33,16 +35,25 @@ def build_index(spark: SparkSession, records: str, index: str) -> None:
     df = spark.read.parquet(records)
     own = [c for c in df.columns if c in ("body", "attributes", "resource")]
     text = searched_text()
-    grams = F.regexp_extract_all("text", F.lit("(?s)(?=(...))"), F.lit(1))  # overlapping, in one pass however long the text is
     texts = df.select("_metadata.file_path", *own).select("file_path", text.alias("text"))
     known = _entries(spark, index)
     if known is not None:
         texts = texts.join(F.broadcast(known.select(F.col("file").alias("file_path")).distinct()), "file_path", "left_anti")
-    # Of a record each trigram once; of a file each bit once, before anything is shuffled.
-    each = texts.select("file_path", F.explode(F.array_distinct(grams)).alias("gram"))
-    bits = each.select(F.col("file_path").alias("file"), _place(F.col("gram")).alias("at")).groupBy("file", F.expr(f"cast(at div {_PIECE} as int)").alias("piece")).agg(
-        F.bitmap_construct_agg(F.col("at") % _PIECE).alias("bits"))
-    bits.write.mode("append").parquet(index)
+    _bitmaps(texts).write.mode("append").parquet(index)
+
+
+def _bitmaps(texts: DataFrame) -> DataFrame:
+    """``(file, piece, bits)`` of all trigrams in ``(file_path, text)``."""
+    # Cut into short pieces that overlap by two characters: a trigram is found by counting characters from the start of its piece.
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{3,{_CUT + 2}}})).{{1,{_CUT}}}"), F.lit(1))
+    cut = texts.select(F.xxhash64("file_path").alias("_file"), F.explode(pieces).alias("text"))
+    each = cut.select("_file", "text", F.explode(F.sequence(F.lit(1), F.length("text") - 2)).alias("i"))
+    # Of a file each bit once, by hashing, before anything is shuffled or sorted; long names join at the end. Of
+    # names with equal hashes each has the bits of all, so that no file is left out.
+    at = each.select("_file", _place(F.col("text").substr(F.col("i"), F.lit(3))).alias("at")).distinct()
+    bits = at.groupBy("_file", F.expr(f"cast(at div {_PIECE} as int)").alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % _PIECE).alias("bits"))
+    names = texts.select(F.col("file_path").alias("file")).distinct().withColumn("_file", F.xxhash64("file"))
+    return bits.join(names, "_file").select("file", "piece", "bits")
 
 
 def _entries(spark: SparkSession, index: str) -> DataFrame | None:

@@ -54,3 +54,17 @@ def test_tables_in_folders_and_odd_names(spark):
     out = log_index.search_stored(spark, f"{root}/records", f"{root}/index", "word2")
     assert [tuple(r) for r in out.select("seq", "Day of").collect()] == [(2, "2024/2")] and len(out.inputFiles()) == 1
     assert os.path.isdir(f"{root}/index")
+
+
+def test_each_bit_of_a_file_is_sorted_once(spark):
+    alphabet = "aäb é\n\U0001f600c"
+    rows = [(f"file:/f{i % 3}", "".join(random.Random(i).choice(alphabet) for _ in range(i))) for i in [*range(200), 5000]] + [("file:/f3", None), ("file:/f3", "ab")]
+    found = log_index._bitmaps(spark.createDataFrame(rows, "file_path string, text string"))
+    want = {(f, t[i:i + 3]) for f, t in rows for i in range(len(t or "") - 2)}
+    places = spark.createDataFrame(sorted(want), "file string, gram string").select("file", log_index._place(F.col("gram")).alias("at")).distinct()
+    assert sum(bin(int.from_bytes(r.bits)).count("1") for r in found.collect()) == places.count()
+    whole = places.groupBy("file", F.expr(f"cast(at div {log_index._PIECE} as int)").alias("piece")).agg(F.bitmap_construct_agg(F.col("at") % log_index._PIECE).alias("bits"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect()))
+    # The exploded trigrams are combined by hashing; only what is left meets the sort of the bitmaps.
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" in plan and "HashAggregate" in plan[plan.rindex("SortAggregate"):plan.index("Generate")]
