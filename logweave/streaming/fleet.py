@@ -28,16 +28,21 @@ from .runs import Runs, added_up, newest_by
 _PUSHES = {"config": ["content", "hash"], "package": ["name", "version", "hash"]}
 
 
-def summarise(rows: DataFrame) -> DataFrame:
+def living(rows: DataFrame) -> DataFrame:
+    """Rows after the last delete of their agent, without the deletes."""
+    return f.current_incarnation(rows.filter("deleted is null or not deleted"), rows.filter("deleted").select("agent_id", "seq"))
+
+
+def summarise(rows: DataFrame, alive: DataFrame | None = None) -> DataFrame:
     """One row per agent for a stretch of the message log.
 
     ``rows`` is the message shape plus the operator actions ``config_push``
     (struct content), ``package_push`` (struct name, version, hash) and
-    ``deleted`` (boolean), NULL where a row is something else.
+    ``deleted`` (boolean), NULL where a row is something else. ``alive`` is ``living(rows)``,
+    which is read six times: a caller with many rows hands it over persisted.
     """
-    deletes = rows.filter("deleted").select("agent_id", "seq")
-    gone = deletes.groupBy("agent_id").agg(F.lit(True).alias("reset"))
-    alive = f.current_incarnation(rows.filter("deleted is null or not deleted"), deletes)
+    gone = rows.filter("deleted").groupBy("agent_id").agg(F.lit(True).alias("reset"))
+    alive = living(rows) if alive is None else alive
     has = lambda name: F.col(name).isNotNull()
     from_agent = F.col("config_push").isNull() & F.col("package_push").isNull()
     started = F.coalesce("started_at", F.lit("")) != ""
@@ -110,12 +115,14 @@ def fleet_state_stream(rows: DataFrame, out: str, checkpoint: str, every: str |
         spark = batch.sparkSession
         runs.begin(spark, batch_id)
         batch = batch.persist()
-        summary = summarise(batch).persist()
+        # Whole messages meet the deletes once; without that each part of the summary would join, and shuffle, them again.
+        alive = living(batch).persist()
+        summary = summarise(batch, alive).persist()
         touched = [r[0] for r in summary.select(runs.bucket()).distinct().collect()]
         old = runs.before(spark, batch_id, touched).join(summary.select("agent_id"), "agent_id", "left_semi")
         runs.write(merge(runs.combine(old, True), summary).withColumn("batch", F.lit(batch_id).cast("long")), batch_id)
-        summary.unpersist()
-        batch.unpersist()
+        for kept in (summary, alive, batch):
+            kept.unpersist()
 
     return rows.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(**trigger_args(every)).start()
 

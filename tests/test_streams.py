@@ -124,6 +124,25 @@ def test_state_over_many_batches_is_that_of_one(spark):
 LINE = "agent_id string, scrape_id long, lines long, line_no long, text string, error string, started_at string, scraped_at timestamp"
 
 
+def test_messages_of_a_batch_meet_the_deletes_once(spark, monkeypatch):
+    root, kept, summarise = shared_dir(spark), [], live.summarise
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def watched(rows, alive):
+        kept.append((alive.storageLevel.useMemory, sorted((r.agent_id, r.seq) for r in alive.collect())))
+        return summarise(rows, alive)
+
+    monkeypatch.setattr(live, "summarise", watched)
+    row = lambda agent, seq, **more: {"agent_id": agent, "seq": seq, "ts": datetime(2024, 1, 1, 0, seq), **more}
+    rows = [row("a", 1, started_at="x"), row("a", 2, deleted=True), row("a", 3, started_at="y"), row("a", 4, started_at="z"), row("b", 5, deleted=True), row("c", 6, config_push={"content": "k"})]
+    spark.createDataFrame(rows, MESSAGE).coalesce(1).write.parquet(f"{root}/in")
+    live.fleet_state_stream(spark.readStream.schema(MESSAGE).parquet(f"{root}/in"), f"{root}/out", f"{root}/cp").awaitTermination()
+    assert kept == [(True, [("a", 3), ("a", 4), ("c", 6)])]
+    got = live.current_state(spark, f"{root}/out").select("agent_id", "last_started_at", F.array_join("restart_history", ","), "pending_config")
+    assert sorted(map(tuple, got.collect())) == [("a", "z", "z", ""), ("c", "", "", "k")]
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
 def test_a_scrape_that_never_ends_fails(spark):
     root = shared_dir(spark)
     sample = 'otelcol_receiver_accepted_log_records{receiver="r"} %d'
