@@ -156,6 +156,13 @@ def test_tokens(spark, tables):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def test_encoding_and_decoding_are_not_in_one_stage(spark, tables):
+    """A core would have a Python process for each of them."""
+    out = STAGES["byte-level BPE"](spark, spark.read.parquet(f"{tables[0]}/documents.parquet"), tables[0])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+
+
 def test_run_is_its_stages_one_after_the_other(spark, tables):
     folder, _, _ = tables
     docs = spark.read.parquet(f"{folder}/documents.parquet")
