@@ -218,7 +218,7 @@ def _leaf_pairs(leaves, tokens, offs, sizes, kept, num, den) -> Iterator[tuple[i
     pairs = np.zeros((1, 2), np.int64)
     for level in range(len(levels) - 1, -1, -1):
         m, lo, hi, ex = levels[level]
-        kept_pairs = []
+        kept_pairs = [pairs[:0]]  # there may be no pair left, from any level on
         for at in range(0, len(pairs), 1 << 14):
             a, b = pairs[at:at + (1 << 14)].T
             most = np.bitwise_count(m[a] & m[b]).sum(1, dtype=np.int64) + np.minimum(ex[a], ex[b])

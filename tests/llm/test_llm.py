@@ -167,6 +167,20 @@ def test_jaccard_join_with_common_shingles(spark, monkeypatch, num, den):
     assert out == dict(enumerate(label))
 
 
+@pytest.mark.parametrize("n", [33, 40, 300, 3000])
+@pytest.mark.parametrize("linked", [0, 2])
+def test_sets_of_which_no_nodes_can_link(n, linked):
+    """Sets that share too little for a pair: the walk ends above the leaves. Some copies, and it goes on."""
+    rng = np.random.default_rng(n)
+    sets = [np.unique(np.append(rng.integers(1 << 32, 1 << 63, 60, dtype=np.uint64), np.uint64(i % 5))) for i in range(n)]
+    for i in range(linked):
+        sets[n - 1 - i] = np.append(sets[i][:-1], np.uint64(1 << 63))
+    for side in (None, np.arange(n) < n // 2):
+        classes = jaccard_join.Classes(n)
+        jaccard_join.join_sets(sets, 4, 5, classes, side)
+        assert [classes.root(i) for i in range(n)] == [*range(n - linked), *range(linked)[::-1]]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, x) for x in range(101, 160)] + [(7, 7), (100, 101)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
