@@ -220,3 +220,22 @@ def test_a_stream_waits_for_its_first_file(spark, pattern):
         assert sorted(r.body for r in spark.table("late").collect()) == ["first", "second"]
     finally:
         query.stop()
+
+
+def test_delivered_text_is_packed_and_totals_go_part_by_part(spark, monkeypatch):
+    from logweave.plans import delivery as plans
+    sf = "/root/testdata/sf0.001"
+    roots, parts = [], []
+    feed, delivered = plans._feed, plans._delivered
+    monkeypatch.setattr(plans, "_feed", lambda *a, **b: roots.append(feed(*a, **b)) or roots[-1])
+    monkeypatch.setattr(plans, "_delivered", lambda sent: parts.append(1) or delivered(sent))
+    whole = sorted(map(str, plans.live_delivery(spark, sf).collect()))
+    out = roots[0]
+    files = [f"{d}/{f}" for d, _, names in os.walk(out.removeprefix("file://")) for f in names if f.startswith("part-")]
+    raw = spark.read.option("recursiveFileLookup", "true").text(out).agg(F.sum(F.octet_length("value") + 1)).first()[0]
+    assert files and all(f.endswith(".gz") for f in files) and 2 * sum(map(os.path.getsize, files)) < raw
+    monkeypatch.setattr(plans, "PART_BYTES", sum(map(os.path.getsize, files)) // 4)
+    key, parts[:] = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", []
+    before = spark.conf.get(key)
+    assert sorted(map(str, plans.live_delivery(spark, sf).collect())) == whole
+    assert len(parts) > 3 and spark.conf.get(key) == before
